@@ -157,17 +157,3 @@ def infer_issue_severity(
         for severity, names in ISSUE_SEVERITY_LABELS
     ] + [(severity, _contains_any(text, phrases)) for severity, phrases in ISSUE_SEVERITY_PHRASES]
     return _first_match(tests, F.lit(UNKNOWN))
-
-
-def infer_issue_category(
-    title: str | Column = "title",
-    body: str | Column = "body",
-    labels: str | Column = "labels",
-    engine: str = "scan",
-) -> Column:
-    """Labels first; the text only when the labels say nothing."""
-    by_label = category_from_labels(labels)
-    text = query_text(title, F.coalesce(_col(body), F.lit("")))
-    # Rows decided by label hand an empty text to the keyword search.
-    by_text = category_from_text(F.when(by_label == UNKNOWN, text).otherwise(F.lit("")), engine)
-    return F.when(by_label != UNKNOWN, by_label).otherwise(by_text["category"])

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triagelake.functions.responses import (
     extract_json,
@@ -44,7 +45,8 @@ def respond(prompts: DataFrame, fn: Responder, batch_size: int = BATCH_SIZE) ->
     A failing list is asked again prompt by prompt, so one bad prompt costs no
     other its answer.
     """
-    schema = prompts.schema.add("response", "string").add("response_error", "string")
+    added = [T.StructField("response", T.StringType()), T.StructField("response_error", T.StringType())]
+    schema = T.StructType([*prompts.schema.fields, *added])
 
     def ask(texts: list[str]) -> list[tuple[str | None, str | None]]:
         try:
@@ -72,11 +74,12 @@ def respond(prompts: DataFrame, fn: Responder, batch_size: int = BATCH_SIZE) ->
 
 def check_answers(answered: DataFrame) -> DataFrame:
     """Add ``passed`` and ``generation_error`` to rows with a ``response``."""
-    verdict = answered.withColumn("_verdict", validate_response(extract_json("response")))
     return (
-        verdict.withColumn("passed", F.col("_verdict.passed"))
+        answered.withColumn("_answer", extract_json("response"))  # parsed once, used many times
+        .withColumn("_verdict", validate_response("_answer"))
+        .withColumn("passed", F.col("_verdict.passed"))
         .withColumn("generation_error", F.col("_verdict.error"))
-        .drop("_verdict")
+        .drop("_verdict", "_answer")
     )
 
 
@@ -111,37 +114,29 @@ def generation_rounds(
     )
 
 
-def build_results(answers: DataFrame) -> DataFrame:
-    """Answer fields of rows that passed."""
-    return (
-        answers.filter("passed")
-        .withColumn("_answer", extract_json("response"))
-        .select(
-            *answers.columns,
-            text_field("_answer", "root_cause_hypothesis").alias("root_cause_hypothesis"),
-            parse_actions("_answer").alias("recommended_actions"),
-            text_field("_answer", "estimated_impact").alias("estimated_impact"),
-            parse_citations("_answer").alias("citations"),
-            text_field("_answer", "analysis_summary").alias("analysis_summary"),
-            json_text("response").alias("raw_llm_response"),
-        )
+def results(answers: DataFrame) -> DataFrame:
+    """Answer fields of rows that passed, the fixed answer for those that never did."""
+    passed = F.col("passed")
+    no_citations = F.array().cast(f"array<{CITATION_TYPE.simpleString()}>")
+    cause = F.concat(F.lit(FALLBACK_CAUSE), F.coalesce("generation_error", F.lit("None")))
+    fallback_actions = F.array(*[F.lit(a) for a in FALLBACK_ACTIONS])
+    fields = {
+        "root_cause_hypothesis": (text_field("_answer", "root_cause_hypothesis"), cause),
+        "recommended_actions": (parse_actions("_answer"), fallback_actions),
+        "estimated_impact": (text_field("_answer", "estimated_impact"), F.lit(FALLBACK_IMPACT)),
+        "citations": (parse_citations("_answer"), no_citations),
+        "analysis_summary": (text_field("_answer", "analysis_summary"), F.lit(FALLBACK_SUMMARY)),
+        "raw_llm_response": (json_text("response"), F.lit(None).cast("string")),
+    }
+    return answers.withColumn("_answer", F.when(passed, extract_json("response"))).select(
+        *answers.columns,
+        *[F.when(passed, good).otherwise(bad).alias(name) for name, (good, bad) in fields.items()],
     )
 
 
-def fallback_results(answers: DataFrame) -> DataFrame:
-    """The fixed answer for rows that never passed."""
-    return answers.filter(~F.col("passed")).select(
-        *answers.columns,
-        F.concat(F.lit(FALLBACK_CAUSE), F.coalesce("generation_error", F.lit("None"))).alias(
-            "root_cause_hypothesis"
-        ),
-        F.array(*[F.lit(a) for a in FALLBACK_ACTIONS]).alias("recommended_actions"),
-        F.lit(FALLBACK_IMPACT).alias("estimated_impact"),
-        F.array().cast(f"array<{CITATION_TYPE.simpleString()}>").alias("citations"),
-        F.lit(FALLBACK_SUMMARY).alias("analysis_summary"),
-        F.lit(None).cast("string").alias("raw_llm_response"),
-    )
+def build_results(answers: DataFrame) -> DataFrame:
+    return results(answers.filter("passed"))
 
 
-def results(answers: DataFrame) -> DataFrame:
-    return build_results(answers).unionByName(fallback_results(answers))
+def fallback_results(answers: DataFrame) -> DataFrame:
+    return results(answers.filter(~F.col("passed")))

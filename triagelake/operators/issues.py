@@ -7,9 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.functions.rules import infer_issue_category, infer_issue_severity
+from triagelake.functions.rules import (
+    category_from_labels,
+    category_from_text,
+    infer_issue_severity,
+)
+from triagelake.functions.text import query_text
 from triagelake.functions.vocabulary import RESOLUTION_PATTERNS, RESOLUTION_PREFIX
 from triagelake.operators.ranking import first_per_key, top_n_per_key
+from triagelake.schema import UNKNOWN
 
 # --- fixed values -----------------------------------------------------------
 INCIDENT_LABELS = ["bug", "performance", "crash", "outage", "incident"]
@@ -77,6 +83,27 @@ def extract_resolution(body: Column, state: Column) -> Column:
     return F.when(state == "closed", F.concat(F.lit(RESOLUTION_PREFIX), F.coalesce(*found)))
 
 
+def infer_category(
+    issues: DataFrame, title: str = "title", body: str = "body", names: str = "names", engine: str = "scan"
+) -> DataFrame:
+    """Add ``category``: by label, or by text where the labels say nothing.
+
+    Done in steps, each a column of its own: issues decided by label hand an
+    empty text to the keyword search.
+    """
+    text = query_text(title, F.coalesce(F.col(body), F.lit("")))
+    return (
+        issues.withColumn("_by_label", category_from_labels(names))
+        .withColumn("_text", F.when(F.col("_by_label") == UNKNOWN, text).otherwise(""))
+        .withColumn("_by_text", category_from_text("_text", engine))
+        .withColumn(
+            "category",
+            F.when(F.col("_by_label") != UNKNOWN, F.col("_by_label")).otherwise(F.col("_by_text.category")),
+        )
+        .drop("_by_label", "_text", "_by_text")
+    )
+
+
 def issues_to_incidents(issues: DataFrame, engine: str = "scan") -> DataFrame:
     """The incident form of each issue."""
     names = F.transform(
@@ -93,13 +120,14 @@ def issues_to_incidents(issues: DataFrame, engine: str = "scan") -> DataFrame:
             F.coalesce(F.col("comments"), F.lit(0)).alias("comments_count"),
         )
     )
-    return issues.withColumn("_names", names).select(
+    labelled = infer_category(issues.withColumn("_names", names), names="_names", engine=engine)
+    return labelled.select(
         F.concat(
             F.lit("gh-"), F.replace(F.col("repo"), F.lit("/"), F.lit("-")), F.lit("-"), F.col("number")
         ).alias("id"),
         F.col("title"),
         body.alias("description"),
-        infer_issue_category("title", body, "_names", engine).alias("category"),
+        F.col("category"),
         infer_issue_severity("title", body, "_names").alias("severity"),
         F.lit("github").alias("source"),
         F.to_timestamp("created_at").alias("created_at"),
