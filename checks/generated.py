@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.tables import sql_choice, sql_list, sql_str, table
 from triagelake.operators import synth
 from triagelake.schema import KNOWN_CATEGORIES
+from triagelake.session import spread
 
 QUERIES: dict = {}
 
@@ -66,7 +67,7 @@ FROM filled"""
 
 
 def generate_incidents(spark, sf_dir):
-    seeds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seed"))
+    seeds = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seed")))
     made = synth.incidents_from_seeds(seeds, as_of=_AS_OF)
     return made.select(
         "id",

@@ -161,7 +161,7 @@ LABEL_SETS_SQL = (
 
 
 def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     key = F.col("o_orderkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     closed = F.col("o_orderstatus") == "F"
@@ -223,7 +223,7 @@ ANSWERS = [
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     text = F.replace(choice(ANSWERS, F.col("o_orderkey")), F.lit("@"), F.col("o_custkey").cast("string"))
     text = F.when(F.col("o_orderkey") % 23 != 0, text)
     return orders.select(F.col("o_orderkey").alias("query_id"), text.alias("response"))
