@@ -348,13 +348,13 @@ def json_files_round_trip(spark, sf_dir):
     "incident_table_round_trip",
     f"""WITH {DOCUMENT_INCIDENTS}
 SELECT id, md5(description) AS digest, epoch_us(created_at) AS created_us FROM incidents
-WHERE category = 'data' AND created_at >= TIMESTAMP '2024-01-08'""",
+WHERE category = 'data' AND created_at >= TIMESTAMP '2024-01-02'""",
 )
 def incident_table_round_trip(spark, sf_dir):
     """Write the partitioned table; read one category from a date on."""
     path = scratch_path(spark, "incidents-table")
     write_incidents(document_incidents(spark, sf_dir), path)
-    found = filters.filter_incidents(spark.read.parquet(path), categories=["data"], after="2024-01-08")
+    found = filters.filter_incidents(spark.read.parquet(path), categories=["data"], after="2024-01-02")
     return found.select("id", F.md5("description").alias("digest"), F.unix_micros("created_at").alias("created_us"))
 
 
