@@ -74,7 +74,7 @@ def topk_similar_in_blocks(spark, sf_dir):
         k=3,
         threshold=0.25,
         query_bytes=0,
-        block_bytes=64 << 10,
+        block_bytes=(64 << 10, 64 << 10),
     )
 
 

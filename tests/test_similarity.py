@@ -49,7 +49,7 @@ def data(spark):
 @pytest.mark.parametrize("blocks", [False, True])
 def test_topk_is_exact(data, k, threshold, exclude, blocks):
     qids, q, cids, c, queries, corpus = data
-    how = dict(query_bytes=0, block_bytes=1500) if blocks else {}
+    how = dict(query_bytes=0, block_bytes=(700, 3000)) if blocks else {}
     got = rows(similarity.topk_similar(queries, corpus, k, threshold, exclude, **how))
     assert got == brute(qids, q, cids, c, k, threshold, exclude)
 

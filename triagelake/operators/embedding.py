@@ -78,10 +78,13 @@ def build_vectors(
     searches need no join.
     """
     require_rows(incidents, 1, "incidents")
-    unique = first_per_key(incidents, ["id"], [F.desc("created_at"), F.asc("title")])
-    texts = unique.select("id", *VECTOR_FILTER_COLUMNS, embedding_text().alias("text"))
+    text = embedding_text()
+    texts = incidents.select("id", *VECTOR_FILTER_COLUMNS, text.alias("text"), F.xxhash64(text).alias("_digest"))
     if fn is not None:
-        return embed_with(texts, fn).drop("text"), None
-    if embedder is None:
-        embedder = fit_embedder(texts, dim=dim)
-    return embed(texts, embedder).drop("text"), embedder
+        vectors, embedder = embed_with(texts, fn), None
+    else:
+        embedder = embedder or fit_embedder(texts, dim=dim)
+        vectors = embed(texts, embedder)
+    # Only now is anything shuffled: vectors, not texts.
+    latest = [F.desc("created_at"), F.asc("_digest")]
+    return first_per_key(vectors.drop("text"), ["id"], latest).drop("_digest"), embedder

@@ -55,20 +55,11 @@ def issue_quota(
         F.array().cast("array<int>")
     )
     branches = candidates.withColumn("branch_rank", F.explode(F.concat(positions, closed)))
+    per_label, per_state = max_per_repo // len(labels), max_per_repo // 2
     newest = [F.desc("updated_at"), F.asc("id")]
-    by_label = top_n_per_key(
-        branches.filter(F.col("branch_rank") < len(labels)),
-        ["repo", "branch_rank"],
-        newest,
-        max_per_repo // len(labels),
-    )
-    by_state = top_n_per_key(
-        branches.filter(F.col("branch_rank") == len(labels)),
-        ["repo", "branch_rank"],
-        newest,
-        max_per_repo // 2,
-    )
-    return by_label.unionByName(by_state)
+    most = top_n_per_key(branches, ["repo", "branch_rank"], newest, max(per_label, per_state), "_place")
+    cap = F.when(F.col("branch_rank") < len(labels), per_label).otherwise(per_state)
+    return most.filter(F.col("_place") <= cap).drop("_place")
 
 
 def dedupe_issues(picked: DataFrame) -> DataFrame:

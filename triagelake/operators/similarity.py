@@ -11,26 +11,33 @@ import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from triagelake.operators.blocks import BlockTopK, as_matrix
 from triagelake.operators.conform import clamp_score
-from triagelake.operators.filters import Instant, filter_incidents, incident_predicate
-from triagelake.session import broadcast_if
+from triagelake.operators.filters import Instant, filter_incidents, incident_predicate, lookup
+from triagelake.session import broadcast_if, count_up_to
 
 # Queries up to this size travel to every task; larger tables are cut in blocks.
 QUERY_BYTES = 64 << 20
-# Size of a block of either side when both are cut.
-BLOCK_BYTES = 128 << 20
+# Sizes of the blocks when both sides are cut. The corpus is sent once per block
+# of queries, so those are the larger ones.
+QUERY_BLOCK_BYTES = 256 << 20
+CORPUS_BLOCK_BYTES = 128 << 20
 
 # Weak results are searched again with these allowances.
 RELAX_THRESHOLD = 0.1
 RELAX_EXTRA = 5
 RELAX_BELOW = 2
 
+# Terms of a search request that names none.
+SEARCH_K = 10
+SEARCH_THRESHOLD = 0.0
+
 
 def topk_similar(
     queries: DataFrame,
@@ -39,7 +46,7 @@ def topk_similar(
     threshold: float = 0.0,
     exclude_self: bool = False,
     query_bytes: int = QUERY_BYTES,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: tuple[int, int] = (QUERY_BLOCK_BYTES, CORPUS_BLOCK_BYTES),
 ) -> DataFrame:
     """The ``k`` corpus rows of highest inner product for every query.
 
@@ -58,23 +65,31 @@ def topk_similar(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    shape = queries.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    size = shape["n"] * (shape["dim"] or 0) * 4
-    if size <= query_bytes:
-        best = _against_all(queries, corpus, schema, k, threshold, exclude_self)
+    queries.persist(StorageLevel.MEMORY_AND_DISK)  # measured, then read: embedded only once
+    try:
+        size = _bytes(queries)
+        table = queries.toArrow().combine_chunks() if size <= query_bytes else None
+    finally:
+        queries.unpersist()
+    if table is not None:
+        best = _against_all(table, corpus, schema, k, threshold, exclude_self)
     else:
         best = _block_by_block(queries, corpus, schema, k, threshold, exclude_self, size, block_bytes)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("incident_id"))
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _bytes(vectors: DataFrame) -> int:
+    shape = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    return shape["n"] * (shape["dim"] or 0) * 4
+
+
 def _against_all(
-    queries: DataFrame, corpus: DataFrame, schema: T.StructType, k: int, threshold: float, exclude_self: bool
+    queries: pa.Table, corpus: DataFrame, schema: T.StructType, k: int, threshold: float, exclude_self: bool
 ) -> DataFrame:
     """All queries (checked to be few) against each corpus partition in place."""
-    table = queries.toArrow().combine_chunks()
-    query_ids = _one_array(table["query_id"])
-    matrix = as_matrix(table["vec"])
+    query_ids = _one_array(queries["query_id"])
+    matrix = as_matrix(queries["vec"])
     arrow_schema = to_arrow_schema(schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,12 +109,11 @@ def _block_by_block(
     threshold: float,
     exclude_self: bool,
     size: int,
-    block_bytes: int,
+    block_bytes: tuple[int, int],
 ) -> DataFrame:
-    """Both sides cut into blocks of bounded size; one task per pair of blocks."""
-    shape = corpus.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    query_blocks = math.ceil(size / block_bytes)
-    corpus_blocks = max(1, math.ceil(shape["n"] * (shape["dim"] or 0) * 4 / block_bytes))
+    """Both sides cut into blocks of bounded size; one group per pair of blocks."""
+    query_blocks = math.ceil(size / block_bytes[0])
+    corpus_blocks = max(1, math.ceil(_bytes(corpus) / block_bytes[1]))
     arrow_schema = to_arrow_schema(schema)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -131,8 +145,7 @@ def similar_to_incidents(
     ids: DataFrame, corpus: DataFrame, k: int = 5, threshold: float = 0.0, exclude_self: bool = True
 ) -> DataFrame:
     """Neighbours of stored incidents, by their own vectors."""
-    wanted = ids.select("id").distinct()
-    queries = corpus.join(wanted, "id", "left_semi").select(F.col("id").alias("query_id"), "vec")
+    queries = lookup(corpus.select("id", "vec"), ids).withColumnRenamed("id", "query_id")
     return topk_similar(queries, corpus, k, threshold, exclude_self)
 
 
@@ -163,15 +176,17 @@ def retrieve(
     elif mode == "prefilter":
         hits = topk_similar(queries, allowed_vectors(vectors, incidents, filters), k, threshold)
     else:
-        hits = topk_similar(queries, vectors, 3 * k, threshold)
-        allowed = filter_incidents(incidents, **filters).select(F.col("id").alias("incident_id"))
+        wide = topk_similar(queries, vectors, 3 * k, threshold)
+        kept = attach_incidents(wide, filter_incidents(incidents, **filters), _most_hits(queries, 3 * k))
         order = Window.partitionBy("query_id").orderBy("rank")
-        hits = (
-            hits.join(allowed, "incident_id", "left_semi")
-            .withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= k)
-        )
-    return attach_incidents(hits, incidents)
+        return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return attach_incidents(hits, incidents, _most_hits(queries, k))
+
+
+def _most_hits(queries: DataFrame, k: int) -> int | None:
+    """Upper bound on the hits of a search, None when there are many queries."""
+    n = count_up_to(queries.select("query_id"))
+    return None if n is None else n * k
 
 
 def allowed_vectors(vectors: DataFrame, incidents: DataFrame, filters: dict) -> DataFrame:
@@ -213,8 +228,9 @@ def retrieve_with_relaxation(
 def attach_incidents(hits: DataFrame, incidents: DataFrame, hit_rows: int | None = None) -> DataFrame:
     """Incident fields of every hit; hits without an incident are dropped.
 
-    ``hit_rows`` is an upper bound on the hits, if the caller knows one. Small
-    hit tables are broadcast, so the incidents are read in place.
+    Incidents have one row per id. ``hit_rows`` is an upper bound on the hits, if
+    the caller knows one: few hits are broadcast and the incidents read in place,
+    many are joined by shuffle.
     """
     fields = incidents.withColumnRenamed("id", "incident_id")
     return (
@@ -240,24 +256,22 @@ def search_view(found: DataFrame) -> DataFrame:
 def search(
     requests: DataFrame, incidents: DataFrame, vectors: DataFrame, max_k: int = 50, **filters
 ) -> DataFrame:
-    """Search requests that bring their own ``top_k`` and ``threshold``.
+    """Search requests that may bring their own ``top_k`` and ``threshold``.
 
     Takes the largest allowed k for all and cuts each query to its own terms,
     which gives the same rows as one search per request.
     """
-    wide = topk_similar(
-        requests, allowed_vectors(vectors, incidents, filters) if filters else vectors, max_k, 0.0
-    )
-    terms = requests.select(
-        "query_id",
-        F.coalesce("top_k", F.lit(10)).alias("top_k") if "top_k" in requests.columns else F.lit(10).alias("top_k"),
-        F.coalesce("threshold", F.lit(0.0)).alias("threshold")
-        if "threshold" in requests.columns
-        else F.lit(0.0).alias("threshold"),
-    )
+    corpus = allowed_vectors(vectors, incidents, filters) if filters else vectors
+    wide = topk_similar(requests, corpus, max_k, 0.0)
+
+    def term(name: str, default: int | float) -> Column:
+        given = F.col(name) if name in requests.columns else F.lit(None)
+        return F.coalesce(given, F.lit(default)).alias(name)
+
+    terms = requests.select("query_id", term("top_k", SEARCH_K), term("threshold", SEARCH_THRESHOLD))
     hits = (
         wide.join(terms, "query_id")
         .filter((F.col("rank") <= F.col("top_k")) & (F.col("score") >= F.col("threshold")))
         .drop("top_k", "threshold")
     )
-    return search_view(attach_incidents(hits, incidents))
+    return search_view(attach_incidents(hits, incidents, _most_hits(requests, max_k)))
