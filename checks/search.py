@@ -15,9 +15,9 @@ from checks.tables import (
 from triagelake.functions.text import embedding_text
 from triagelake.functions.vectors import l2_normalize
 from triagelake.operators import embedding, similarity
-from triagelake.session import spread
+from triagelake.plans.search import retrieve_for_incidents
+from triagelake.session import cut, scratch_path
 from triagelake.sources.vectors import read_vectors, vector_count, write_vectors
-from triagelake.session import scratch_path
 
 QUERIES: dict = {}
 
@@ -222,3 +222,13 @@ def embed_with_callers_model(spark, sf_dir):
         F.round(F.get("vec", F.lit(0)).cast("double"), 4).alias("a"),
         F.round(F.get("vec", F.lit(1)).cast("double"), 4).alias("b"),
     )
+
+
+@query("retrieve_for_incidents", None)
+def for_incidents(spark, sf_dir):
+    """Every document against all documents, by text; it finds itself first, or a copy of it."""
+    incidents = document_incidents(spark, sf_dir)
+    vectors, embedder = embedding.build_vectors(incidents)
+    vectors = cut(vectors, "vectors")
+    found = retrieve_for_incidents(incidents, incidents, vectors, 3, 0.3, embedder)
+    return similarity.search_view(found)

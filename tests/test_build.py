@@ -5,6 +5,7 @@ from conftest import ids
 from triagelake.operators import similarity, synth
 from triagelake.operators.embedding import embed
 from triagelake.plans.build import build_tables
+from triagelake.plans.search import retrieve_for_incidents, search_texts
 from triagelake.session import count_up_to, cut, shared_dir, spread
 from triagelake.sources.incidents import read_incident_table
 from triagelake.sources.vectors import read_vectors
@@ -24,6 +25,17 @@ def test_build_and_search(spark, tmp_path):
     found = similarity.retrieve(embed(query, embedder), incidents, vectors, 3, 0.0, categories=["network"])
     assert {r["category"] for r in found.collect()} == {"network"}
 
+    requests = spark.createDataFrame([("a", "dns lookups fail", 2), ("b", "", 3), ("c", "q", 51)], "query_id string, query string, top_k int")
+    hits, rejected = search_texts(requests, incidents, vectors, embedder, severities=["low", "medium"])
+    rows = hits.collect()
+    assert 0 < len(rows) <= 2 and {r["severity"] for r in rows} <= {"low", "medium"}
+    assert ids(rejected, "query_id") == ["b", "c"]
+
+    some = incidents.limit(5)
+    best = retrieve_for_incidents(some, incidents, vectors, 1, 0.0, embedder).collect()
+    titles = {r["id"]: r["title"] for r in some.collect()}
+    assert len(best) == 5 and all(r["score"] > 0.999 and r["title"] == titles[r["query_id"]] for r in best)
+
 
 def test_helpers(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")

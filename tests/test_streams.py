@@ -81,6 +81,19 @@ def test_search_equals_batch_and_reruns_leave_no_duplicates(spark, tmp_path, bas
     assert spark.read.parquet(out2).groupBy("query_id").count().filter("count > 2").count() == 0
 
 
+def test_search_by_text(spark, tmp_path, base):
+    _, vectors, incidents = base
+    schema = "query_id string, query string"
+    path = str(tmp_path / "in")
+    put(spark, [("a", "x"), ("b", ""), ("c", "yy")], schema, path)
+    out = str(tmp_path / "out")
+    model = lambda ts: [[1.0] + [0.0] * 7 for _ in ts]
+    finish(streams.search_stream(stream_of(spark, path, schema), incidents, vectors, out, str(tmp_path / "cp"), embed_fn=model))
+    got = spark.read.parquet(out)
+    assert got.filter("query_id = 'b'").first()["error"] == "query must be 1 to 5000 characters"
+    assert got.filter("query_id = 'a'").count() == got.filter("query_id = 'c'").count() == 10
+
+
 def test_analyze_marks_bad_rows(spark, tmp_path, base):
     v, vectors, incidents = base
     schema = "query_id string, title string, description string, vec array<float>"

@@ -66,7 +66,11 @@ def category_from_text(text: str | Column, engine: str = "scan") -> Column:
     engine="expr" is the same rule in built-in expressions only: one substring
     search per keyword, which costs several times more on long texts.
     """
-    lowered = F.lower(_col(text))
+    return category_of(F.lower(_col(text)), engine)
+
+
+def category_of(lowered: Column, engine: str = "scan") -> Column:
+    """`category_from_text` for a text that is in lower case already."""
     if engine == "scan":
         best = _scan_keywords(lowered)
     elif engine == "expr":
@@ -141,8 +145,12 @@ def _keyword_finder():
 
 
 def estimate_severity(title: str | Column = "title", description: str | Column = "description") -> Column:
-    text = F.lower(query_text(title, description))
-    tests = [(severity, _contains_any(text, phrases)) for severity, phrases in SEVERITY_PHRASES]
+    return severity_of(F.lower(query_text(title, description)))
+
+
+def severity_of(lowered: Column) -> Column:
+    """Severity of a text in lower case."""
+    tests = [(severity, _contains_any(lowered, phrases)) for severity, phrases in SEVERITY_PHRASES]
     return _first_match(tests, F.lit(SEVERITY_DEFAULT))
 
 
@@ -150,10 +158,14 @@ def infer_issue_severity(
     title: str | Column = "title", body: str | Column = "body", labels: str | Column = "labels"
 ) -> Column:
     """Severity labels win over words in the text; a text never makes an issue critical."""
-    lowered = F.transform(F.coalesce(_col(labels), F.array().cast("array<string>")), F.lower)
-    text = F.lower(query_text(title, F.coalesce(_col(body), F.lit(""))))
+    return issue_severity_of(F.lower(query_text(title, F.coalesce(_col(body), F.lit("")))), _col(labels))
+
+
+def issue_severity_of(lowered: Column, labels: Column) -> Column:
+    """`infer_issue_severity` for a text in lower case."""
+    names = F.transform(F.coalesce(labels, F.array().cast("array<string>")), F.lower)
     tests = [
-        (severity, F.coalesce(F.arrays_overlap(lowered, F.array(*[F.lit(x) for x in names])), F.lit(False)))
-        for severity, names in ISSUE_SEVERITY_LABELS
-    ] + [(severity, _contains_any(text, phrases)) for severity, phrases in ISSUE_SEVERITY_PHRASES]
+        (severity, F.coalesce(F.arrays_overlap(names, F.array(*[F.lit(x) for x in wanted])), F.lit(False)))
+        for severity, wanted in ISSUE_SEVERITY_LABELS
+    ] + [(severity, _contains_any(lowered, phrases)) for severity, phrases in ISSUE_SEVERITY_PHRASES]
     return _first_match(tests, F.lit(UNKNOWN))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions.text import embedding_text
@@ -66,6 +66,18 @@ def embed_with(
     return df.withColumn(out, encode(F.col(text_col)))
 
 
+def with_vectors(
+    df: DataFrame, text: Column, embedder: PipelineModel | None = None, fn: Callable | None = None
+) -> DataFrame:
+    """Add ``vec`` for a text expression, by an embedder or by the caller's model."""
+    texts = df.withColumn("text", text)
+    if embedder is not None:
+        return embed(texts, embedder).drop("text")
+    if fn is not None:
+        return embed_with(texts, fn).drop("text")
+    raise ValueError("texts need an embedder or an embedding function")
+
+
 def build_vectors(
     incidents: DataFrame,
     embedder: PipelineModel | None = None,

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from triagelake.functions.rules import (
     category_from_labels,
-    category_from_text,
-    infer_issue_severity,
+    category_of,
+    issue_severity_of,
 )
 from triagelake.functions.text import query_text
 from triagelake.functions.vocabulary import RESOLUTION_PATTERNS, RESOLUTION_PREFIX
@@ -74,24 +74,24 @@ def extract_resolution(body: Column, state: Column) -> Column:
     return F.when(state == "closed", F.concat(F.lit(RESOLUTION_PREFIX), F.coalesce(*found)))
 
 
-def infer_category(
+def infer_labels(
     issues: DataFrame, title: str = "title", body: str = "body", names: str = "names", engine: str = "scan"
 ) -> DataFrame:
-    """Add ``category``: by label, or by text where the labels say nothing.
+    """Add ``category`` and ``severity``: by label, or by text where the labels say nothing.
 
     Done in steps, each a column of its own: issues decided by label hand an
     empty text to the keyword search.
     """
-    text = query_text(title, F.coalesce(F.col(body), F.lit("")))
+    lowered = F.lower(query_text(title, F.coalesce(F.col(body), F.lit(""))))
+    by_label = F.col("_by_label")
     return (
-        issues.withColumn("_by_label", category_from_labels(names))
-        .withColumn("_text", F.when(F.col("_by_label") == UNKNOWN, text).otherwise(""))
-        .withColumn("_by_text", category_from_text("_text", engine))
-        .withColumn(
-            "category",
-            F.when(F.col("_by_label") != UNKNOWN, F.col("_by_label")).otherwise(F.col("_by_text.category")),
-        )
-        .drop("_by_label", "_text", "_by_text")
+        issues.withColumn("_lowered", lowered)
+        .withColumn("_by_label", category_from_labels(names))
+        .withColumn("_open", F.when(by_label == UNKNOWN, F.col("_lowered")).otherwise(""))
+        .withColumn("_by_text", category_of(F.col("_open"), engine))
+        .withColumn("category", F.when(by_label != UNKNOWN, by_label).otherwise(F.col("_by_text.category")))
+        .withColumn("severity", issue_severity_of(F.col("_lowered"), F.col(names)))
+        .drop("_lowered", "_by_label", "_open", "_by_text")
     )
 
 
@@ -111,7 +111,7 @@ def issues_to_incidents(issues: DataFrame, engine: str = "scan") -> DataFrame:
             F.coalesce(F.col("comments"), F.lit(0)).alias("comments_count"),
         )
     )
-    labelled = infer_category(issues.withColumn("_names", names), names="_names", engine=engine)
+    labelled = infer_labels(issues.withColumn("_names", names), names="_names", engine=engine)
     return labelled.select(
         F.concat(
             F.lit("gh-"), F.replace(F.col("repo"), F.lit("/"), F.lit("-")), F.lit("-"), F.col("number")
@@ -119,7 +119,7 @@ def issues_to_incidents(issues: DataFrame, engine: str = "scan") -> DataFrame:
         F.col("title"),
         body.alias("description"),
         F.col("category"),
-        infer_issue_severity("title", body, "_names").alias("severity"),
+        F.col("severity"),
         F.lit("github").alias("source"),
         F.to_timestamp("created_at").alias("created_at"),
         F.to_timestamp("closed_at").alias("resolved_at"),

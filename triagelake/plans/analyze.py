@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions.text import query_text
 from triagelake.operators.classify import classify
-from triagelake.operators.embedding import embed, embed_with
+from triagelake.operators.embedding import with_vectors
 from triagelake.operators.generation import MAX_ROUNDS, Responder, generation_rounds, results
 from triagelake.operators.prompts import DEFAULT_TEMPLATE, build_prompts
 from triagelake.operators.similarity import (
@@ -40,13 +40,7 @@ def analyze(
     """
     judged = classify(queries, model)
     if "vec" not in judged.columns:
-        texts = judged.withColumn("text", query_text())
-        if embedder is not None:
-            judged = embed(texts, embedder).drop("text")
-        elif embed_fn is not None:
-            judged = embed_with(texts, embed_fn).drop("text")
-        else:
-            raise ValueError("queries need a vec column, an embedder or an embedding function")
+        judged = with_vectors(judged, query_text(), embedder, embed_fn)
     judged = cut(judged, "queries")
     n = count_up_to(judged)
     hits = retrieve_with_relaxation(judged, vectors, k, threshold)

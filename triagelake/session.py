@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # Row bound up to which a side may be broadcast on the strength of a count.
 BROADCAST_ROWS = 1_000_000
 
+# A scan of at most this many splits counts as small (8 GB at the default split size).
+SMALL_SPLITS = 64
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -67,13 +70,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a few input splits to all cores.
+    """Give CPU-heavy work on a scan of a few splits to all cores.
 
-    A table whose scan already fills the cluster is left alone, so large inputs
-    pay no shuffle for this.
+    Only small inputs are moved: a scan of more than ``SMALL_SPLITS`` splits, or
+    one that fills the cluster anyway, pays no shuffle for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores and splits <= SMALL_SPLITS else df
 
 
 def count_up_to(df: DataFrame, limit: int = BROADCAST_ROWS) -> int | None:

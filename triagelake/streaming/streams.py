@@ -7,8 +7,10 @@ is run again after a failure leaves no duplicates.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from triagelake.operators.conform import ERRORS, conform_incidents, split_valid,
 from triagelake.operators.generation import Responder
 from triagelake.operators.similarity import attach_incidents, search, topk_similar
 from triagelake.plans.analyze import analyze
+from triagelake.plans.search import search_texts
 from triagelake.schema import CORRUPT, INCIDENT_FILE_SCHEMA
 
 
@@ -41,7 +44,15 @@ def ingest_stream(
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     valid, _ = split_valid(conform_incidents(reader.json(path)))
-    return valid.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["id"])
+    # An id that fills much of a batch is thinned out before rows move to their state.
+    thinned = valid.mapInArrow(first_of_each_id, valid.schema)
+    return thinned.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["id"])
+
+
+def first_of_each_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        _, first = np.unique(batch.column("id").to_numpy(zero_copy_only=False), return_index=True)
+        yield batch.take(pa.array(np.sort(first)))
 
 
 def classify_stream(
@@ -52,10 +63,30 @@ def classify_stream(
 
 
 def search_stream(
-    stream: DataFrame, incidents: DataFrame, vectors: DataFrame, out: str, checkpoint: str, **filters
+    stream: DataFrame,
+    incidents: DataFrame,
+    vectors: DataFrame,
+    out: str,
+    checkpoint: str,
+    embedder: PipelineModel | None = None,
+    embed_fn: Callable | None = None,
+    **filters,
 ) -> DataStreamWriter:
-    """Answer arriving searches ``(query_id, vec[, top_k, threshold])``; start it with ``.start()``."""
-    return per_batch(stream, lambda batch: search(batch, incidents, vectors, **filters), out, checkpoint)
+    """Answer arriving searches; start it with ``.start()``.
+
+    Requests are ``(query_id, vec)`` or, with an embedder, ``(query_id, query)``,
+    each with ``top_k`` and ``threshold`` if it likes.
+    """
+
+    def work(batch: DataFrame) -> DataFrame:
+        if "vec" in batch.columns:
+            return search(batch, incidents, vectors, **filters)
+        found, refused = search_texts(batch, incidents, vectors, embedder, embed_fn, **filters)
+        return found.withColumn("error", F.lit(None).cast("string")).unionByName(
+            refused.select("query_id", F.array_join(ERRORS, "; ").alias("error")), allowMissingColumns=True
+        )
+
+    return per_batch(stream, work, out, checkpoint)
 
 
 def similar_stream(
