@@ -30,7 +30,7 @@ def query(name: str, sql: str | None):
     return register
 
 
-_BEST = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, incident_id)"
+_BEST = "(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, incident_id))::INT"
 
 
 @query(

@@ -85,7 +85,7 @@ def ingest_stream(spark, sf_dir):
     "search_stream",
     f"""WITH {SCORES}, {DOCUMENT_INCIDENTS}
 SELECT query_id, rank, incident_id, title, category, severity, least(greatest(score, 0), 1) AS similarity_score FROM (
-  SELECT query_id, incident_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, incident_id) AS rank FROM scores)
+  SELECT query_id, incident_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, incident_id))::INT AS rank FROM scores)
 JOIN incidents ON incident_id = id WHERE rank <= 10 AND score >= 0""",
 )
 def search_stream(spark, sf_dir):

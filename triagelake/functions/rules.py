@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from triagelake.functions.binding import bind
 from triagelake.functions.text import _col, query_text
 from triagelake.functions.vocabulary import (
     CATEGORY_KEYWORDS,
@@ -84,24 +85,25 @@ def category_of(lowered: Column, engine: str = "scan") -> Column:
 
 
 def _score_by_expressions(lowered: Column) -> Column:
-    # Words sit in array literals: 138 separate conditions would outgrow the
-    # size of method the JVM is willing to compile.
-    scored = [
-        F.struct(
-            F.size(
-                F.filter(
-                    F.array(*[F.lit(w) for w in CATEGORY_KEYWORDS[c]]), lambda w: F.contains(lowered, w)
-                )
-            ).alias("score"),
-            F.lit(-i).alias("order"),
-            F.lit(c).alias("category"),
+    def best(text: Column) -> Column:
+        # Words sit in array literals: 138 separate conditions would outgrow the
+        # size of method the JVM is willing to compile.
+        scored = [
+            F.struct(
+                F.size(
+                    F.filter(F.array(*[F.lit(w) for w in CATEGORY_KEYWORDS[c]]), lambda w: F.contains(text, w))
+                ).alias("score"),
+                F.lit(-i).alias("order"),
+                F.lit(c).alias("category"),
+            )
+            for i, c in enumerate(KNOWN_CATEGORIES)
+        ]
+        nothing = F.struct(
+            F.lit(0).alias("score"), F.lit(1).alias("order"), F.lit(UNKNOWN).alias("category")
         )
-        for i, c in enumerate(KNOWN_CATEGORIES)
-    ]
-    nothing = F.struct(
-        F.lit(0).alias("score"), F.lit(1).alias("order"), F.lit(UNKNOWN).alias("category")
-    )
-    return F.array_max(F.array(nothing, *scored))
+        return F.array_max(F.array(nothing, *scored))
+
+    return bind(lowered, best)
 
 
 _BEST = T.StructType(
@@ -118,9 +120,9 @@ def _scan_keywords(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             owners.setdefault(word, []).append(i)
     for texts in batches:
         categories, scores = [], []
-        for text in texts:
+        for text in texts.to_pylist():
             counts = [0] * len(KNOWN_CATEGORIES)
-            for word in find(text.as_py() or ""):
+            for word in find(text or ""):
                 for i in owners[word]:
                     counts[i] += 1
             top = max(counts)

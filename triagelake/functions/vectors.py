@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from triagelake.functions.binding import bind
 from triagelake.functions.text import _col
 
 
@@ -12,7 +13,9 @@ def l2_normalize(vec: str | Column) -> Column:
     """Unit-length form of an array of numbers; a zero vector stays zero."""
     values = F.transform(_col(vec), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(values, lambda x: x / norm)).otherwise(values)
+    return bind(
+        F.when(norm > 0, norm).otherwise(1.0), lambda n: F.transform(_col(vec), lambda x: x.cast("double") / n)
+    )
 
 
 def dot(a: str | Column, b: str | Column) -> Column:

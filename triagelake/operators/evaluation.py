@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.functions.binding import bind
+
 
 def score_classification() -> list[Column]:
     return [
@@ -41,7 +43,7 @@ def score_analysis() -> list[Column]:
         )
     )
     expected = F.coalesce("expected_keywords", F.array().cast("array<string>"))
-    found = F.size(F.filter(expected, lambda word: F.contains(text, F.lower(word))))
+    found = bind(text, lambda t: F.size(F.filter(expected, lambda word: F.contains(t, F.lower(word)))))
     return [
         (F.length(_text("root_cause_hypothesis")) > 0).alias("has_root_cause"),
         (_count("recommended_actions") > 0).alias("has_actions"),
