@@ -31,32 +31,37 @@ def score_retrieval() -> list[Column]:
     ]
 
 
-def score_analysis() -> list[Column]:
-    """Share of the expected keywords found in cause, actions and summary."""
-    text = F.lower(
-        F.concat(
+def keywords_found() -> Column:
+    """How many expected keywords occur in cause, actions and summary."""
+    said = F.lower(
+        F.concat_ws(
+            " ",
             _text("root_cause_hypothesis"),
-            F.lit(" "),
             F.array_join(F.coalesce("recommended_actions", F.array().cast("array<string>")), " "),
-            F.lit(" "),
             _text("analysis_summary"),
         )
     )
-    expected = F.coalesce("expected_keywords", F.array().cast("array<string>"))
-    found = bind(text, lambda t: F.size(F.filter(expected, lambda word: F.contains(t, F.lower(word)))))
+    return bind(said, lambda t: F.size(F.filter(_expected(), lambda word: F.contains(t, F.lower(word)))))
+
+
+def score_analysis(found: Column) -> list[Column]:
+    """Scores of the answer texts; ``found`` holds `keywords_found`."""
+    expected = F.size(_expected())
     return [
         (F.length(_text("root_cause_hypothesis")) > 0).alias("has_root_cause"),
         (_count("recommended_actions") > 0).alias("has_actions"),
         _count("recommended_actions").alias("action_count"),
         (F.length(_text("analysis_summary")) > 0).alias("has_summary"),
         found.alias("keywords_found"),
-        F.size(expected).alias("keywords_expected"),
-        F.when(F.size(expected) == 0, F.lit(1.0))
-        .otherwise(F.try_divide(found, F.size(expected)))
-        .alias("keyword_coverage"),
+        expected.alias("keywords_expected"),
+        F.when(expected == 0, F.lit(1.0)).otherwise(F.try_divide(found, expected)).alias("keyword_coverage"),
     ]
 
 
+def _expected() -> Column:
+    return F.coalesce("expected_keywords", F.array().cast("array<string>"))
+
+
 def _count(name: str) -> Column:
     return F.coalesce(F.size(name), F.lit(0))
 
@@ -89,9 +94,9 @@ def score_cases(results: DataFrame, cases: DataFrame) -> DataFrame:
         "analysis_summary",
         *[c.alias(n) for n, c in extra.items()],
     )
-    joined = cases.join(judged, "case_id", "left")
+    joined = cases.join(judged, "case_id", "left").withColumn("_found", keywords_found())
     ok = F.coalesce(F.col("_success"), F.lit(False))
-    scores = [*score_classification(), *score_retrieval(), *score_analysis()]
+    scores = [*score_classification(), *score_retrieval(), *score_analysis(F.col("_found"))]
     names = [
         "category_correct", "severity_correct", "retrieved_count", "has_similar_incidents",
         "citation_count", "has_required_citations", "has_root_cause", "has_actions",
