@@ -216,28 +216,51 @@ _GOOD = (
 )
 
 
+def _reply(text: str, kind: int) -> str:
+    """Answers well, at the second try, badly, or not at all."""
+    if kind == 0:
+        return _GOOD
+    if kind == 1:
+        return _GOOD if "\n\nPrevious attempt failed validation:" in text else "no"
+    if kind == 2:
+        return '{"recommended_actions": []}'
+    raise ValueError("model is busy")
+
+
 def _stand_in(texts):
-    """Answers well, at the second try, badly, or not at all, by the text asked."""
-    replies = []
-    for text in texts:
-        first = text.split("\n\nPrevious attempt failed validation:")[0]
-        kind = len(first) % 4
-        if kind == 0:
-            replies.append(_GOOD)
-        elif kind == 1:
-            replies.append(_GOOD if first != text else "no")
-        elif kind == 2:
-            replies.append('{"recommended_actions": []}')
-        else:
-            raise ValueError("model is busy")
-    return replies
+    """A model whose mood follows from the length of what it is asked."""
+    asked = [t.split("\n\nPrevious attempt failed validation:")[0] for t in texts]
+    return [_reply(t, len(a) % 4) for t, a in zip(texts, asked)]
+
+
+def stand_in_by_title(texts):
+    """The same for whole prompts, by the title in them."""
+    titles = [t.split("\nTitle: ", 1)[1].split("\nDescription: ", 1)[0] for t in texts]
+    return [_reply(t, len(title) % 4) for t, title in zip(texts, titles)]
+
+
+_FIELDS_MISSING = (
+    "Missing required field: root_cause_hypothesis; Missing required field: estimated_impact; "
+    "Missing required field: analysis_summary"
+)
+
+
+def outcome_sql(title: str) -> dict[str, str]:
+    """What an analysis with `stand_in_by_title` comes to."""
+    kind = f"length({title}) % 4"
+    return {
+        "attempts": f"CASE {kind} WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END",
+        "root_cause": f"CASE {kind} WHEN 2 THEN 'Unable to generate analysis: {_FIELDS_MISSING}' "
+        f"WHEN 3 THEN 'Unable to generate analysis: LLM response is None' ELSE 'seen before' END",
+        "citations": f"CASE WHEN {kind} < 2 THEN 1 ELSE 0 END",
+    }
 
 
 @query(
     "generation_rounds",
     """WITH asked AS (SELECT conv_id * 100 + turn AS query_id, length(text) % 4 AS kind FROM conversations)
 SELECT query_id, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS attempts, kind < 2 AS passed,
-       CASE kind WHEN 2 THEN 'Missing required field: root_cause_hypothesis; Missing required field: estimated_impact; Missing required field: analysis_summary'
+       CASE kind WHEN 2 THEN '""" + _FIELDS_MISSING + """'
                  WHEN 3 THEN 'LLM response is None' END AS generation_error,
        CASE WHEN kind = 3 THEN 'model is busy' END AS response_error
 FROM asked""",
@@ -249,7 +272,19 @@ def generation_rounds(spark, sf_dir):
     return done.select("query_id", "attempts", "passed", "generation_error", "response_error")
 
 
-@query("analyze", None)
+_ANALYZED = outcome_sql("title")
+
+
+@query(
+    "analyze",
+    f"""WITH asked AS (SELECT conv_id * 100 + turn AS query_id, substring(text, 1, 80) AS title, text AS description
+               FROM conversations WHERE role = 'user'),
+{rules_sql.keyword_scores('asked', 'query_id', "title || ' ' || description")}
+SELECT query_id, t.category AS predicted_category, {rules_sql.severity_case("lower(title || ' ' || description)")} AS predicted_severity,
+       round(t.confidence, 6) AS category_confidence, {_ANALYZED['root_cause']} AS root_cause_hypothesis,
+       {_ANALYZED['citations']} AS citations, {_ANALYZED['attempts']} AS attempts
+FROM asked JOIN by_text t USING (query_id)""",
+)
 def analyzed(spark, sf_dir):
     """User turns as new incidents, all documents as past ones."""
     incidents = document_incidents(spark, sf_dir)
@@ -260,13 +295,12 @@ def analyzed(spark, sf_dir):
         F.substring("text", 1, 80).alias("title"),
         F.col("text").alias("description"),
     )
-    done = analyze(asked, incidents, cut(vectors, "vectors"), _stand_in, embedder=embedder)
+    done = analyze(asked, incidents, cut(vectors, "vectors"), stand_in_by_title, embedder=embedder)
     return done.select(
         "query_id",
         "predicted_category",
         "predicted_severity",
         F.round("category_confidence", 6).alias("category_confidence"),
-        F.size("similar_incidents").alias("similar"),
         "root_cause_hypothesis",
         F.size("citations").alias("citations"),
         "attempts",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import rules_sql
-from checks.answers import _stand_in
+from checks.answers import outcome_sql, stand_in_by_title
 from checks.tables import (
     DOCUMENT_INCIDENTS,
     SCORES,
@@ -45,9 +45,10 @@ def finish(writer) -> None:
 
 @query(
     "classify_stream",
-    f"""WITH {rules_sql.keyword_scores('conversations', '(conv_id * 100 + turn) AS id', "role || ' ' || text").replace('SELECT (conv_id * 100 + turn) AS id, (', 'SELECT id, (').replace('SELECT (conv_id * 100 + turn) AS id, CASE', 'SELECT id, CASE')}
-SELECT h.id, h.category, round(h.confidence, 6) AS confidence, {rules_sql.severity_case("lower(role || ' ' || text)")} AS severity
-FROM by_text h JOIN conversations c ON h.id = c.conv_id * 100 + c.turn""",
+    f"""WITH arriving AS (SELECT conv_id * 100 + turn AS id, role || ' ' || text AS t FROM conversations),
+{rules_sql.keyword_scores('arriving', 'id', 't')}
+SELECT id, category, round(confidence, 6) AS confidence, {rules_sql.severity_case("lower(t)")} AS severity
+FROM by_text JOIN arriving USING (id)""",
 )
 def classify_stream(spark, sf_dir):
     arriving = table_stream(spark, sf_dir, "conversations").select(
@@ -95,7 +96,22 @@ def search_stream(spark, sf_dir):
     return spark.read.parquet(out).drop("batch_id")
 
 
-@query("analyze_stream", None)
+_OUTCOME = outcome_sql("role")
+_PROBLEMS = """concat_ws('; ', CASE WHEN conv_id % 9 = 0 THEN 'title must be 1 to 500 characters' END,
+  CASE WHEN length(text) NOT BETWEEN 1 AND 10000 THEN 'description must be 1 to 10000 characters' END)"""
+
+
+@query(
+    "analyze_stream",
+    f"""WITH asked AS (SELECT *, conv_id * 100 + turn AS query_id, nullif({_PROBLEMS}, '') AS problem FROM conversations),
+{rules_sql.keyword_scores('asked', 'query_id', "role || ' ' || text")}
+SELECT query_id, problem IS NULL AS success, problem AS error,
+       CASE WHEN problem IS NULL THEN t.category END AS predicted_category,
+       CASE WHEN problem IS NULL THEN {rules_sql.severity_case("lower(role || ' ' || text)")} END AS predicted_severity,
+       CASE WHEN problem IS NULL THEN {_OUTCOME['attempts']} END AS attempts,
+       CASE WHEN problem IS NULL THEN {_OUTCOME['root_cause']} END AS root_cause_hypothesis
+FROM asked JOIN by_text t USING (query_id)""",
+)
 def analyze_stream(spark, sf_dir):
     incidents = document_incidents(spark, sf_dir)
     vectors, embedder = build_vectors(incidents)
@@ -107,7 +123,7 @@ def analyze_stream(spark, sf_dir):
     out, checkpoint = scratch_path(spark, "analyzed"), scratch_path(spark, "analyzed-checkpoint")
     finish(
         streams.analyze_stream(
-            arriving, incidents, cut(vectors, "vectors"), _stand_in, out, checkpoint, embedder=embedder
+            arriving, incidents, cut(vectors, "vectors"), stand_in_by_title, out, checkpoint, embedder=embedder
         )
     )
     done = spark.read.parquet(out)
