@@ -207,7 +207,7 @@ def built_vectors(spark, sf_dir):
     f"""WITH {DOCUMENT_INCIDENTS}, texts AS (
   SELECT id, title || ' ' || description || CASE WHEN length(resolution) > 0 THEN ' Resolution: ' || resolution ELSE '' END AS t FROM incidents),
 raw AS (SELECT id, length(t)::DOUBLE AS a, (length(t) - length(replace(t, ' ', '')))::DOUBLE AS b FROM texts)
-SELECT id, round(a / sqrt(a * a + b * b), 4) AS a, round(b / sqrt(a * a + b * b), 4) AS b FROM raw""",
+SELECT id, round((a / sqrt(a * a + b * b))::FLOAT::DOUBLE, 4) AS a, round((b / sqrt(a * a + b * b))::FLOAT::DOUBLE, 4) AS b FROM raw""",
 )
 def embed_with_callers_model(spark, sf_dir):
     """A stand-in model: number of characters and of spaces."""

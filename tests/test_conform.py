@@ -52,6 +52,19 @@ def test_missing_time_becomes_now(spark, tmp_path):
     assert valid.filter(F.col("created_at") > F.current_timestamp() - F.make_interval(hours=F.lit(1))).count() == 1
 
 
+def test_instants_without_zone_are_utc(spark):
+    texts = ["2024-06-01T12:00:00", "2024-06-01 12:00:00Z", "2024-06-01T14:00:00+02:00", "2024-06-01", "soon", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        got = [r["s"] for r in df.orderBy("i").select(F.unix_timestamp(conform.utc_instant(F.col("t"))).alias("s")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    noon = 1717243200
+    assert got == [noon, noon, noon, noon - 43200, None, None]
+
+
 def test_failfast(spark, tmp_path):
     path = write(tmp_path / "x.jsonl", [GOOD, {**GOOD, "category": "weather"}])
     valid, _ = files.read_incidents(spark, path, mode="failfast")

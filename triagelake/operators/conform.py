@@ -36,7 +36,7 @@ def conform_incidents(df: DataFrame) -> DataFrame:
         if name not in present:
             return F.lit(None).cast("timestamp")
         if dict(df.dtypes)[name] == "string":
-            return F.try_to_timestamp(F.col(name))
+            return utc_instant(F.col(name))
         return F.col(name).cast("timestamp")
 
     problems = [
@@ -71,6 +71,13 @@ def conform_incidents(df: DataFrame) -> DataFrame:
     )
 
 
+def utc_instant(text: Column) -> Column:
+    """ISO text as an instant, null if it is none; without a zone it means UTC."""
+    zoned = text.rlike(r"(?:[Zz]|UTC|[+-]\d{2}:?\d{2})$")
+    midnight = F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00"))).otherwise(text)
+    return F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(midnight, F.lit("Z"))))
+
+
 def validate_inputs(queries: DataFrame, profile: str = "analyze") -> tuple[DataFrame, DataFrame]:
     """Split request rows into ``(valid, rejected)``.
 
