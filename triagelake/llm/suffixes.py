@@ -422,9 +422,9 @@ def repeated_bytes(docs: DataFrame, most_runs: int = MOST_RUNS) -> DataFrame:
 
 def _with_spans(docs: DataFrame, most_runs: int) -> DataFrame:
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
-    spans = cut(repeated_bytes(keyed, most_runs), "spans").withColumnsRenamed({"doc_id": "_id", "text_key": "_text_key"})
+    spans = cut(repeated_bytes(keyed, most_runs), "spans").withColumnsRenamed({"doc_id": "_id", "text_key": "_text_key", "spans": "_spans"})
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_text_key"))
-    return docs.join(spans, same, "left").select(*docs.columns, F.col("spans").alias("_spans"))
+    return docs.join(spans, same, "left").select(*docs.columns, "_spans")
 
 
 def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
