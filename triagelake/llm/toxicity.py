@@ -185,9 +185,10 @@ def fit_chain(labelled: DataFrame, categories: Sequence[str] = CHAIN, bound: int
     sample = sample.withColumn("_fold", F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(FOLDS)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = pa.Table.from_batches(list(batches)) if batches else None
-        if gathered is None or gathered.num_rows == 0:
+        found = [b for b in batches if b.num_rows]
+        if not found:
             return
+        gathered = pa.Table.from_batches(found)
         order = np.lexsort((np.array(gathered.column("text").to_pandas().fillna("")), gathered.column("doc_id").to_numpy()))
         gathered = gathered.take(pa.array(order))
         targets = np.column_stack([gathered.column(c).to_numpy() for c in names])
