@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.llm import decontam, licenses, lines, mixing, neardup, quality, suffixes, tokens, toxicity, urls
+from triagelake.llm.sql import DECONTAMINATION, LICENSES, LINES, MIXING, NEAR, QUALITY, URLS
 
 OVER_LIMIT = 512
 
@@ -59,9 +60,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
-
-from triagelake.llm.sql import DECONTAMINATION, LICENSES, LINES, MIXING, NEAR, QUALITY, URLS  # noqa: E402
-
 QUERIES: dict = {
     "op1_quality_rules": (op1_quality_rules, QUALITY),
     "op2_minhash_near_dedup": (op2_minhash_near_dedup, NEAR),
