@@ -19,12 +19,14 @@ MAX_ROUNDS = 60
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("_low")).select(F.col("u").alias("_u"), F.least("u", "_low").alias("low"))
+    low = cut(low, "lowest")  # grouped: written, so that a crowded node can be split in the join
     return both.where("v > u").join(low, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     low = down.groupBy("u").agg(F.min("v").alias("low"))
+    low = cut(low, "lowest")
     moved = down.join(low.withColumnRenamed("u", "_u"), F.col("u") == F.col("_u")).where("v <> low")
     return moved.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v")))
 

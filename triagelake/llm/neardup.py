@@ -197,7 +197,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table = cut(signatures(docs), "signatures")
     known = table.where("doc_id is not null and n_shingles > 0")
     firsts = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
-    firsts = firsts.select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "node")
+    # Grouped sides are written before they are joined: Spark splits a crowded key of a join
+    # only if neither side was grouped for it.
+    firsts = cut(firsts.select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "node"), "firsts")
     same_set = (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2"))
     members = cut(known.join(firsts, same_set).select("doc_id", "n_shingles", "node", "f1", "f2"), "members")
     heads = members.where("doc_id = node").select(F.col("node").alias("_node"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2"))
@@ -210,8 +212,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     banded = classes.select("node", F.explode("bands").alias("key"))
     centers = banded.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("_last")).where("center < _last")
+    centers = cut(centers.withColumnRenamed("key", "_key"), "centers")
     shared = cut(
-        banded.join(centers.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")).select("key", "node", "center"),
+        banded.join(centers, F.col("key") == F.col("_key")).select("key", "node", "center"),
         "buckets",
     )
     stars = shared.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
@@ -230,6 +233,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where("_a < _b and _n > 2")
         .select(F.col("key").alias("_key"))
     )
+    open_keys = cut(open_keys, "open-keys")
     detail = classes.select(F.col("node").alias("_node"), "n_shingles", "sig")
     left = placed.join(open_keys, F.col("key") == F.col("_key"), "left_semi").join(detail, F.col("node") == F.col("_node"))
     left = cut(left.select("key", "node", "component", "n_shingles", "sig"), "open-buckets")

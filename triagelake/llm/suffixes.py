@@ -392,6 +392,8 @@ def repeated_bytes(docs: DataFrame, most_runs: int = MOST_RUNS) -> DataFrame:
     runs = cut(runs, "runs")
     shared = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("_a"), F.max("whole").alias("_b"))
     shared = shared.where("n > 1").select(F.col("key").alias("_key"), (F.col("_a") != F.col("_b")).alias("differ"))
+    # Written, as Spark splits a crowded key of a join only if neither side was grouped for it.
+    shared = cut(shared, "shared-keys")
     suspects = cut(runs.join(shared, F.col("key") == F.col("_key")).drop("_key"), "suspects")
 
     differing = suspects.where("differ")
