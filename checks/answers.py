@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 from pyspark.sql import functions as F
@@ -50,9 +51,9 @@ def query(name: str, sql: str | None):
 _TEMPLATE = "T {title} ({category}, {severity})\n{description}\n{{past}}\n{similar_incidents}\nend"
 
 _HITS = f"""{SCORES},
-ranked AS (SELECT query_id, incident_id, least(greatest(score, 0), 1) AS score,
-                  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, incident_id) AS rank
-           FROM scores QUALIFY rank <= 3 AND score >= 0.3),
+ranked AS (SELECT query_id, incident_id, least(greatest(round(score, 6), 0), 1) AS score,
+                  row_number() OVER (PARTITION BY query_id ORDER BY scores.score DESC, incident_id) AS rank
+           FROM scores QUALIFY rank <= 3 AND scores.score >= 0.3),
 found AS (SELECT * FROM ranked JOIN incidents ON incident_id = id),
 blocks AS (
   SELECT query_id, string_agg(
@@ -230,13 +231,13 @@ def _reply(text: str, kind: int) -> str:
 def _stand_in(texts):
     """A model whose mood follows from the length of what it is asked."""
     asked = [t.split("\n\nPrevious attempt failed validation:")[0] for t in texts]
-    return [_reply(t, len(a) % 4) for t, a in zip(texts, asked)]
+    return [_reply_or_error(t, len(a) % 4) for t, a in zip(texts, asked)]
 
 
 def stand_in_by_title(texts):
     """The same for whole prompts, by the title in them."""
     titles = [t.split("\nTitle: ", 1)[1].split("\nDescription: ", 1)[0] for t in texts]
-    return [_reply(t, len(title) % 4) for t, title in zip(texts, titles)]
+    return [_reply_or_error(t, len(title) % 4) for t, title in zip(texts, titles)]
 
 
 _FIELDS_MISSING = (
@@ -275,27 +276,90 @@ def generation_rounds(spark, sf_dir):
 _ANALYZED = outcome_sql("title")
 
 
+def echo_by_title(texts, system=None):
+    """`stand_in_by_title`, with a digest of what it was asked, so that prompts can be compared."""
+    if not system:
+        raise ValueError("no system prompt")
+    asked = [t.split("\n\nPrevious attempt failed validation:")[0] for t in texts]
+    titles = [a.split("T ", 1)[1].split(" (", 1)[0] for a in asked]
+    answers = [_reply_or_error(t, len(title) % 4) for t, title in zip(texts, titles, strict=True)]
+    return [
+        r if isinstance(r, Exception) else r.replace('"short"', '"' + hashlib.md5(a.encode()).hexdigest() + '"')
+        for r, a in zip(answers, asked, strict=True)
+    ]
+
+
+def _reply_or_error(text: str, kind: int):
+    return ValueError("model is busy") if kind == 3 else _reply(text, kind)
+
+
+# A turn asks with the vector of the row its number points to, on its own terms.
+ASKED = """asked AS (SELECT conv_id * 100 + turn AS query_id, role || repeat('!', (turn % 4)::INT) AS title, text AS description,
+  (conv_id * 100 + turn) % 500 AS vec_id, (conv_id + turn) % 4 + 1 AS k, ((conv_id + turn) % 5) / 10.0 AS least FROM conversations)"""
+
+_RELAXED = f"""{SCORES},
+ranked AS (SELECT a.query_id, incident_id, score, k, least,
+    row_number() OVER (PARTITION BY a.query_id ORDER BY score DESC, incident_id) AS rank
+  FROM asked a JOIN scores s ON s.query_id = a.vec_id),
+wide AS (SELECT *, count(*) FILTER (rank <= k AND score >= least) OVER (PARTITION BY query_id) < 2 AS weak FROM ranked),
+chosen AS (SELECT query_id, incident_id, least(greatest(round(score, 6), 0), 1) AS score, rank FROM wide
+  WHERE CASE WHEN weak THEN rank <= k + 5 AND score >= greatest(0, least - 0.1::DOUBLE) ELSE rank <= k AND score >= least END),
+found AS (SELECT * FROM chosen JOIN incidents ON incident_id = id),
+blocks AS ({_HITS.split("blocks AS (", 1)[1].rsplit(")", 1)[0]}),
+listed AS (SELECT query_id, string_agg(rank || ':' || incident_id || ':' || printf('%.6f', score::DOUBLE) || ':' || md5(description)
+    || ':' || source || ':' || epoch_us(created_at), ',' ORDER BY rank) AS hits FROM found GROUP BY query_id)"""
+
+_ASKED_PROMPT = """'T ' || title || ' (' || t.category || ', ' || severity || ')' || chr(10) || description
+  || chr(10) || '{past}' || chr(10) || coalesce(similar_incidents, 'No similar incidents found.') || chr(10) || 'end'"""
+
+
+def asked_turns(turns):
+    key = F.col("conv_id") * 100 + F.col("turn")
+    own = F.col("conv_id") + F.col("turn")
+    return turns.select(
+        key.alias("query_id"),
+        F.concat("role", F.repeat(F.lit("!"), (F.col("turn") % 4).cast("int"))).alias("title"),
+        F.col("text").alias("description"),
+        (key % 500).alias("vec_id"),
+        (own % 4 + 1).alias("top_k"),
+        ((own % 5) / 10.0).alias("similarity_threshold"),
+    )
+
+
+def listed_hits(hits="similar_incidents"):
+    return F.when(
+        F.size(hits) > 0,
+        F.array_join(
+            F.transform(
+                F.array_sort(hits),
+                lambda h: F.concat_ws(
+                    ":", h["rank"], h["incident_id"], F.format_string("%.6f", h["similarity_score"]), F.md5(h["description"]),
+                    h["source"], F.unix_micros(h["created_at"]),
+                ),
+            ),
+            ",",
+        ),
+    )
+
+
 @query(
     "analyze",
-    f"""WITH asked AS (SELECT conv_id * 100 + turn AS query_id, substring(text, 1, 80) AS title, text AS description
-               FROM conversations WHERE role = 'user'),
-{rules_sql.keyword_scores('asked', 'query_id', "title || ' ' || description")}
-SELECT query_id, t.category AS predicted_category, {rules_sql.severity_case("lower(title || ' ' || description)")} AS predicted_severity,
+    f"""WITH {DOCUMENT_INCIDENTS}, {ASKED},
+{rules_sql.keyword_scores('asked', 'query_id', "title || ' ' || description")}, {_RELAXED},
+judged AS (SELECT *, {rules_sql.severity_case("lower(title || ' ' || description)")} AS severity FROM asked)
+SELECT query_id, t.category AS predicted_category, severity AS predicted_severity,
        round(t.confidence, 6) AS category_confidence, {_ANALYZED['root_cause']} AS root_cause_hypothesis,
-       {_ANALYZED['citations']} AS citations, {_ANALYZED['attempts']} AS attempts
-FROM asked JOIN by_text t USING (query_id)""",
+       {_ANALYZED['citations']} AS citations, {_ANALYZED['attempts']} AS attempts, hits,
+       CASE WHEN length(title) % 4 < 2 THEN md5({_ASKED_PROMPT}) ELSE 'LLM analysis unavailable' END AS summary
+FROM judged JOIN by_text t USING (query_id) LEFT JOIN blocks USING (query_id) LEFT JOIN listed USING (query_id)""",
 )
 def analyzed(spark, sf_dir):
-    """User turns as new incidents, all documents as past ones."""
-    incidents = document_incidents(spark, sf_dir)
-    vectors, embedder = build_vectors(incidents)
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    asked = turns.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"),
-        F.substring("text", 1, 80).alias("title"),
-        F.col("text").alias("description"),
+    """All turns as new incidents, all documents with a vector as past ones."""
+    asked = asked_turns(table(spark, sf_dir, "conversations"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    done = analyze(
+        asked.join(vectors, "vec_id"), document_incidents(spark, sf_dir), corpus(spark, sf_dir), echo_by_title, template=_TEMPLATE
     )
-    done = analyze(asked, incidents, cut(vectors, "vectors"), stand_in_by_title, embedder=embedder)
     return done.select(
         "query_id",
         "predicted_category",
@@ -304,6 +368,8 @@ def analyzed(spark, sf_dir):
         "root_cause_hypothesis",
         F.size("citations").alias("citations"),
         "attempts",
+        listed_hits().alias("hits"),
+        F.col("analysis_summary").alias("summary"),
     )
 
 

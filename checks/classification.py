@@ -23,7 +23,7 @@ from triagelake.functions import rules
 from triagelake.operators import classifier, metrics, profile, splitting
 from triagelake.operators.classify import classify
 from triagelake.schema import KNOWN_CATEGORIES
-from triagelake.session import spread
+
 
 QUERIES: dict = {}
 
@@ -75,7 +75,7 @@ def classify_documents(spark, sf_dir):
 SELECT page_id, category, round(confidence, 6) AS confidence FROM by_text""",
 )
 def category_from_text_expressions(spark, sf_dir):
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     best = rules.category_from_text("html", engine="expr")
     return pages.select("page_id", best.alias("b")).select(
         "page_id", "b.category", F.round("b.confidence", 6).alias("confidence")
@@ -226,7 +226,7 @@ FROM normed GROUP BY term""",
 )
 def tfidf_table(spark, sf_dir):
     """Weights of all terms of all texts, summed per term."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = classifier.tfidf_table(docs, "text", "doc_id", _STOP_WORDS)
     return weights.groupBy("term").agg(
         F.count("*").alias("documents"),
@@ -253,7 +253,7 @@ def train_and_predict(spark, sf_dir):
     ids = table(spark, sf_dir, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"))
     judged = classify(documents).withColumn("category", F.col("predicted_category"))
     labelled = judged.join(ids, "id", "left_semi").select("id", "title", "description", "category")
-    model, _ = classifier.train_classifier(labelled, max_iter=50)
+    model, _ = classifier.train_classifier(labelled)
     return (
         classifier.predict(model, documents.select("id", "title", "description"))
         .groupBy(F.col("predicted").alias("category"))

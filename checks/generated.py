@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from checks.tables import sql_choice, sql_list, sql_str, table
 from triagelake.operators import synth
 from triagelake.schema import KNOWN_CATEGORIES
-from triagelake.session import spread
 
 QUERIES: dict = {}
 
@@ -57,7 +56,7 @@ _SEVERITY = (
 _SQL = f"""WITH seeds AS (SELECT o_orderkey AS seed, {sql_choice(KNOWN_CATEGORIES, 'o_orderkey')} AS category FROM orders),
 templates(category, variant, t, d, r) AS (VALUES {_TEMPLATES}),
 rows AS (SELECT seed, s.category, t, d, r, {_MAP} AS vals
-         FROM seeds s JOIN templates p ON s.category = p.category AND {_draw('template', 2)} = p.variant),
+         FROM seeds s JOIN templates p ON s.category = p.category AND {_draw('template', synth.VARIANTS)} = p.variant),
 filled AS (SELECT seed, category, {_fill('t')} AS title, {_fill('d')} AS description, {_fill('r')} AS resolution,
                   TIMESTAMP '{_AS_OF}' - to_days(({_draw('age', 365)} + 1)::INT) AS created_at FROM rows)
 SELECT 'syn-' || lpad(lower(to_hex(seed)), 8, '0') AS id, title, description, resolution, category, {_SEVERITY} AS severity,
@@ -67,7 +66,7 @@ FROM filled"""
 
 
 def generate_incidents(spark, sf_dir):
-    seeds = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seed")))
+    seeds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seed"))
     made = synth.incidents_from_seeds(seeds, as_of=_AS_OF)
     return made.select(
         "id",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.tables import (
     DOCUMENT_INCIDENTS,
     SCORES,
+    SHOWN,
     corpus,
     document_incidents,
     table,
@@ -53,7 +54,7 @@ def normalized(spark, sf_dir):
 @query(
     "topk_similar",
     f"""WITH {SCORES}
-SELECT query_id, incident_id, score, rank FROM (SELECT query_id, incident_id, score, {_BEST} AS rank FROM scores)
+SELECT query_id, incident_id, {SHOWN} AS score, rank FROM (SELECT query_id, incident_id, score, {_BEST} AS rank FROM scores)
 WHERE rank <= 5 AND score >= 0""",
 )
 def topk_similar(spark, sf_dir):
@@ -63,25 +64,18 @@ def topk_similar(spark, sf_dir):
 @query(
     "topk_similar_in_blocks",
     f"""WITH {SCORES}
-SELECT query_id, incident_id, score, rank FROM (SELECT query_id, incident_id, score, {_BEST} AS rank FROM scores)
+SELECT query_id, incident_id, {SHOWN} AS score, rank FROM (SELECT query_id, incident_id, score, {_BEST} AS rank FROM scores)
 WHERE rank <= 3 AND score >= 0.25""",
 )
 def topk_similar_in_blocks(spark, sf_dir):
-    """The way taken when the queries are too many to send to every task."""
-    return similarity.topk_similar(
-        vector_queries(spark, sf_dir),
-        corpus(spark, sf_dir),
-        k=3,
-        threshold=0.25,
-        query_bytes=0,
-        block_bytes=(64 << 10, 64 << 10),
-    )
+    """Queries in several broadcasts."""
+    return similarity.topk_similar(vector_queries(spark, sf_dir), corpus(spark, sf_dir), k=3, threshold=0.25, query_bytes=1 << 16)
 
 
 @query(
     "similar_to_incidents",
     f"""WITH {SCORES}
-SELECT 'doc-' || query_id AS query_id, incident_id, score, rank FROM (
+SELECT 'doc-' || query_id AS query_id, incident_id, {SHOWN} AS score, rank FROM (
   SELECT query_id, incident_id, score, {_BEST} AS rank FROM scores WHERE query_id <> vec_id) WHERE rank <= 5 AND score >= 0.2""",
 )
 def similar_to_incidents(spark, sf_dir):
@@ -94,7 +88,7 @@ _ALLOWED = (
     "category IN ('latency', 'data', 'network') AND severity IN ('critical', 'high', 'low') "
     "AND created_at >= TIMESTAMP '2024-01-02'"
 )
-_FOUND = "query_id, rank, incident_id, title, category, severity, least(greatest(score, 0), 1) AS similarity_score"
+_FOUND = f"query_id, rank, incident_id, title, category, severity, least(greatest({SHOWN}, 0), 1) AS similarity_score"
 
 
 @query(
@@ -165,9 +159,9 @@ def retrieve_overfetch(spark, sf_dir):
     f"""WITH {SCORES}, ranked AS (SELECT query_id, incident_id, score, {_BEST} AS rank FROM scores),
 strict AS (SELECT * FROM ranked WHERE rank <= 5 AND score >= 0.4),
 weak AS (SELECT query_id FROM ranked GROUP BY query_id HAVING count(*) FILTER (rank <= 5 AND score >= 0.4) < 2)
-SELECT query_id, incident_id, score, rank, 1 AS attempts FROM strict WHERE query_id NOT IN (SELECT query_id FROM weak)
+SELECT query_id, incident_id, {SHOWN} AS score, rank, 1 AS attempts FROM strict WHERE query_id NOT IN (SELECT query_id FROM weak)
 UNION ALL
-SELECT query_id, incident_id, score, rank, 2 FROM ranked
+SELECT query_id, incident_id, {SHOWN}, rank, 2 FROM ranked
 WHERE query_id IN (SELECT query_id FROM weak) AND rank <= 10 AND score >= 0.3""",
 )
 def retrieve_with_relaxation(spark, sf_dir):
@@ -176,22 +170,63 @@ def retrieve_with_relaxation(spark, sf_dir):
 
 @query(
     "search_requests",
-    f"""WITH {SCORES}, {DOCUMENT_INCIDENTS}
-SELECT {_FOUND} FROM (SELECT query_id, incident_id, score, {_BEST} AS rank FROM scores) JOIN incidents ON incident_id = id
-WHERE rank <= query_id % 12 + 1 AND score >= (query_id % 5) / 10.0""",
+    f"""WITH {SCORES}, {DOCUMENT_INCIDENTS}, asked AS (
+  SELECT vec_id AS query_id, CASE WHEN vec_id % 7 <> 3 THEN vec_id % 60 END AS top_k,
+         CASE WHEN vec_id % 6 <> 1 THEN (vec_id % 12 - 1) / 10.0 END AS threshold FROM embeddings),
+checked AS (SELECT *, concat_ws('; ', CASE WHEN top_k NOT BETWEEN 1 AND 50 THEN 'top_k must be 1 to 50' END,
+  CASE WHEN threshold NOT BETWEEN 0 AND 1 THEN 'threshold must be 0.0 to 1.0' END) AS problem FROM asked)
+SELECT {_FOUND}, NULL AS error FROM (SELECT query_id, incident_id, score, {_BEST} AS rank FROM scores) JOIN incidents ON incident_id = id
+JOIN checked USING (query_id) WHERE problem = '' AND rank <= coalesce(top_k, 10) AND score >= coalesce(threshold, 0)
+UNION ALL SELECT query_id, NULL, NULL, NULL, NULL, NULL, NULL, problem FROM checked WHERE problem <> ''""",
 )
 def search_requests(spark, sf_dir):
-    """Every request with its own number of hits and threshold."""
+    """Every request with its own number of hits and threshold; some out of bounds, some left out."""
+    key = F.col("query_id")
+    requests = vector_queries(spark, sf_dir).withColumns(
+        {"top_k": F.when(key % 7 != 3, key % 60), "threshold": F.when(key % 6 != 1, (key % 12 - 1) / 10.0)}
+    )
+    found, rejected = similarity.search(requests, document_incidents(spark, sf_dir), corpus(spark, sf_dir))
+    refused = rejected.select("query_id", F.array_join("errors", "; ").alias("error"))
+    return found.withColumn("error", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
+
+
+_OWN_CATEGORIES = "CASE query_id % 4 WHEN 0 THEN ['latency', 'data', 'network'] WHEN 1 THEN []::VARCHAR[] WHEN 2 THEN ['outage'] END"
+_OWN_SEVERITIES = "CASE WHEN query_id % 3 = 0 THEN ['critical', 'low'] END"
+_OWN_AFTER = "CASE WHEN query_id % 5 = 0 THEN TIMESTAMP '2024-01-02' + to_hours(query_id % 40) END"
+_OWN_BEFORE = "CASE WHEN query_id % 6 = 0 THEN TIMESTAMP '2024-01-08' + to_hours(query_id % 90) END"
+
+
+@query(
+    "search_requests_filtered",
+    f"""WITH {SCORES}, {DOCUMENT_INCIDENTS},
+allowed AS (SELECT query_id, incident_id, score FROM scores JOIN incidents ON incident_id = id
+  WHERE coalesce(list_contains({_OWN_CATEGORIES}, category), true) AND coalesce(list_contains({_OWN_SEVERITIES}, severity), true)
+    AND coalesce(created_at >= {_OWN_AFTER}, true) AND coalesce(created_at <= {_OWN_BEFORE}, true))
+SELECT {_FOUND} FROM (SELECT query_id, incident_id, score, {_BEST} AS rank FROM allowed) JOIN incidents ON incident_id = id
+WHERE rank <= query_id % 8 + 1 AND score >= 0""",
+)
+def search_requests_filtered(spark, sf_dir):
+    """Every request with filters of its own; an empty list allows nothing."""
+    key = F.col("query_id")
+    after, before = ((F.lit(text).cast("timestamp"), hours) for text, hours in (("2024-01-02 00:00:00Z", 40), ("2024-01-08 00:00:00Z", 90)))
     requests = vector_queries(spark, sf_dir).withColumns(
-        {"top_k": F.col("query_id") % 12 + 1, "threshold": (F.col("query_id") % 5) / 10.0}
+        {
+            "top_k": key % 8 + 1,
+            "categories": F.when(key % 4 == 0, F.array(*[F.lit(c) for c in ("latency", "data", "network")]))
+            .when(key % 4 == 1, F.array().cast("array<string>"))
+            .when(key % 4 == 2, F.array(F.lit("outage"))),
+            "severities": F.when(key % 3 == 0, F.array(F.lit("critical"), F.lit("low"))),
+            "after": F.when(key % 5 == 0, after[0] + F.make_dt_interval(hours=(key % after[1]).cast("int"))),
+            "before": F.when(key % 6 == 0, before[0] + F.make_dt_interval(hours=(key % before[1]).cast("int"))),
+        }
     )
-    return similarity.search(requests, document_incidents(spark, sf_dir), corpus(spark, sf_dir))
+    found, _ = similarity.search(requests, document_incidents(spark, sf_dir), corpus(spark, sf_dir))
+    return found
 
 
 @query("vector_count", "SELECT count(*) AS vectors FROM embeddings")
 def count_vectors(spark, sf_dir):
-    n = vector_count(corpus(spark, sf_dir))
-    return spark.range(1).select(F.lit(n).cast("bigint").alias("vectors"))
+    return vector_count(corpus(spark, sf_dir))
 
 
 @query("built_vectors", None)

@@ -10,6 +10,7 @@ from checks.answers import outcome_sql, stand_in_by_title
 from checks.tables import (
     DOCUMENT_INCIDENTS,
     SCORES,
+    SHOWN,
     corpus,
     document_incidents,
     table,
@@ -67,25 +68,39 @@ def classify_stream(spark, sf_dir):
 
 @query(
     "ingest_stream",
-    f"WITH {DOCUMENT_INCIDENTS} SELECT id, category, md5(description) AS digest, epoch_us(created_at) AS created_us FROM incidents",
+    f"""WITH {DOCUMENT_INCIDENTS}
+SELECT id, category, md5(description) AS digest, epoch_us(created_at) AS created_us, 1 AS n, NULL AS error FROM incidents
+UNION ALL SELECT 'bad-' || id, NULL, md5(description), NULL, 2, 'invalid source: fax' FROM incidents WHERE source = 'manual'""",
 )
 def ingest_stream(spark, sf_dir):
-    """Files in which every incident occurs twice."""
+    """Files in which every incident occurs twice, and rows from an unknown source among them."""
     source = scratch_path(spark, "arriving")
     incidents = document_incidents(spark, sf_dir)
-    write_incidents(incidents.unionByName(incidents), source, "json")
-    arriving = streams.ingest_stream(spark, source, "400 days", pattern="*.json").select(
-        "id", "category", F.md5("description").alias("digest"), F.unix_micros("created_at").alias("created_us")
-    )
-    out, checkpoint = scratch_path(spark, "ingested"), scratch_path(spark, "ingested-checkpoint")
-    finish(arriving.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
-    return spark.read.schema(arriving.schema).parquet(out)
+    bad = incidents.where("source = 'manual'").withColumns({"id": F.concat(F.lit("bad-"), "id"), "source": F.lit("fax")})
+    together = incidents.unionByName(bad)
+    write_incidents(together.unionByName(together), source, "json")
+    valid, rejected = streams.ingest_stream(spark, source, "400 days", pattern="*.json")
+    shown = ["id", F.md5("description").alias("digest")]
+    parts = {
+        "valid": valid.select(*shown, "category", F.unix_micros("created_at").alias("created_us"), F.lit(None).cast("string").alias("error")),
+        "rejected": rejected.select(
+            *shown, F.lit(None).cast("string").alias("category"), F.lit(None).cast("bigint").alias("created_us"),
+            F.array_join("errors", "; ").alias("error"),
+        ),
+    }
+    found = []
+    for name, part in parts.items():
+        out, checkpoint = scratch_path(spark, f"ingested-{name}"), scratch_path(spark, f"ingested-{name}-checkpoint")
+        finish(part.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
+        found.append(spark.read.schema(part.schema).parquet(out))
+    both = found[0].unionByName(found[1])
+    return both.groupBy("id", "category", "digest", "created_us", "error").agg(F.count("*").alias("n"))
 
 
 @query(
     "search_stream",
     f"""WITH {SCORES}, {DOCUMENT_INCIDENTS}
-SELECT query_id, rank, incident_id, title, category, severity, least(greatest(score, 0), 1) AS similarity_score FROM (
+SELECT query_id, rank, incident_id, title, category, severity, least(greatest({SHOWN}, 0), 1) AS similarity_score, NULL AS error FROM (
   SELECT query_id, incident_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, incident_id))::INT AS rank FROM scores)
 JOIN incidents ON incident_id = id WHERE rank <= 10 AND score >= 0""",
 )

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.schema import CATEGORIES, KNOWN_CATEGORIES, SEVERITIES
-from triagelake.session import spread
 
 EPOCH_2024 = 1704067200
 
@@ -40,7 +39,7 @@ SOURCE_OF_LANG = {"en": "github", "fr": "synthetic", "de": "kaggle"}
 
 
 def document_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     created = F.timestamp_seconds(F.lit(EPOCH_2024) + F.col("doc_id") * 37 * 60)
     source = F.lit("manual")
     for lang, name in SOURCE_OF_LANG.items():
@@ -50,7 +49,7 @@ def document_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return docs.select(
         F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"),
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 500).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.col("text").alias("description"),
         choice(CATEGORIES, F.col("doc_id")).alias("category"),
         choice(SEVERITIES, F.col("n_chars")).alias("severity"),
@@ -67,7 +66,7 @@ def document_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DOCUMENT_INCIDENTS = f"""incidents AS (
   SELECT 'doc-' || doc_id AS id,
-         substring(split_part(text, chr(10), 1), 1, 500) AS title,
+         split_part(text, chr(10), 1) AS title,
          text AS description,
          {sql_choice(CATEGORIES, 'doc_id')} AS category,
          {sql_choice(SEVERITIES, 'n_chars')} AS severity,
@@ -161,7 +160,7 @@ LABEL_SETS_SQL = (
 
 
 def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     closed = F.col("o_orderstatus") == "F"
@@ -223,7 +222,7 @@ ANSWERS = [
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders")
     text = F.replace(choice(ANSWERS, F.col("o_orderkey")), F.lit("@"), F.col("o_custkey").cast("string"))
     text = F.when(F.col("o_orderkey") % 23 != 0, text)
     return orders.select(F.col("o_orderkey").alias("query_id"), text.alias("response"))
@@ -287,7 +286,9 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
 
 
+# Compared as they are; rounded where they are shown.
+SHOWN = "round(score, 6)"
 SCORES = """scores AS (
   SELECT q.vec_id AS query_id, 'doc-' || c.vec_id AS incident_id, c.vec_id,
-         round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
+         list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
   FROM embeddings q CROSS JOIN embeddings c)"""

@@ -90,25 +90,26 @@ def test_rounds_and_number_of_calls(spark, tmp_path):
     good = json.dumps(GOOD)
 
     def model(texts):
-        if len(texts) > 1:
-            raise RuntimeError("one at a time")
+        kinds = [t.split("\n")[0] for t in texts]
         with open(log, "a") as f:
-            f.write(texts[0].split("\n")[0] + "\n")
-        kind = texts[0].split("\n")[0]
-        if kind == "good" or (kind == "second" and "Previous attempt failed validation: LLM response is None" in texts[0]):
-            return [good]
-        if kind == "raises":
+            f.write("".join(k + "\n" for k in kinds))
+        if "raises" in kinds:
             raise RuntimeError("busy")
-        return ["no"]
+        retried = ["Previous attempt failed validation: LLM response is None" in t for t in texts]
+        return [good if k == "good" or k == "second" and r else ValueError("odd") if k == "odd" else "no" for k, r in zip(kinds, retried)]
 
-    rows = [("1", "good"), ("2", "second"), ("3", "never"), ("4", "raises")]
-    done = generation.generation_rounds(spark.createDataFrame(rows, "query_id string, prompt string"), model)
+    rows = [("1", "good"), ("2", "second"), ("3", "never"), ("4", "raises"), ("5", "odd")]
+    asked = spark.createDataFrame(rows, "query_id string, prompt string").coalesce(1)
+    done = generation.generation_rounds(asked, model)
     got = {r["query_id"]: r for r in done.collect()}
-    assert {k: (r["attempts"], r["passed"]) for k, r in got.items()} == {"1": (1, True), "2": (2, True), "3": (3, False), "4": (3, False)}
+    # One prompt spoils the first list; from then on those of the list are sent alone.
+    wanted = {"1": (2, True), "2": (2, True), "3": (3, False), "4": (3, False), "5": (3, False)}
+    assert {k: (r["attempts"], r["passed"]) for k, r in got.items()} == wanted
+    assert got["5"]["response_error"] == "odd"
     assert got["4"]["response_error"] == "busy" and got["4"]["generation_error"] == "LLM response is None"
     done.count()
     calls = open(log).read().split()
-    assert sorted(calls) == sorted(["good"] + ["second"] * 2 + ["never"] * 3 + ["raises"] * 3)
+    assert sorted(calls) == sorted(["good"] * 2 + ["second"] * 2 + ["never"] * 3 + ["raises"] * 3 + ["odd"] * 3)
 
     final = {r["query_id"]: r for r in generation.results(done).collect()}
     assert final["1"]["root_cause_hypothesis"] == "h" and json.loads(final["1"]["raw_llm_response"]) == GOOD
@@ -118,7 +119,7 @@ def test_rounds_and_number_of_calls(spark, tmp_path):
     assert (bad["estimated_impact"], bad["analysis_summary"], bad["citations"], bad["raw_llm_response"]) == (
         "Unknown - requires manual assessment", "LLM analysis unavailable", [], None,
     )
-    assert generation.build_results(done).count() == 2 and generation.fallback_results(done).count() == 2
+    assert generation.build_results(done).count() == 2 and generation.fallback_results(done).count() == 3
 
 
 def test_all_pass_in_one_round(spark):
@@ -133,6 +134,13 @@ def test_wrong_number_of_answers(spark):
     assert row["response"] is None and row["response_error"] == "0 answers for 1 prompts"
 
 
+def test_system_prompt_is_handed_over(spark):
+    df = spark.createDataFrame([("1", "x")], "query_id string, prompt string")
+    row = generation.respond(df, lambda texts, system: [system] * len(texts)).first()
+    assert row["response"] == generation.SYSTEM_PROMPT
+    assert generation.respond(df, lambda texts: texts).first()["response"] == "x"
+
+
 def test_analyze(spark):
     def model_vectors(texts):
         return [[float("disk" in t.lower()), float("dns" in t.lower()), 0.2] for t in texts]
@@ -161,6 +169,11 @@ def test_analyze(spark):
     assert got["a"]["citations"][0]["incident_id"] == "d0" and got["a"]["attempts"] == 1
     assert got["c"]["similar_incidents"] == [] and got["c"]["attempts"] == 3
     assert got["c"]["root_cause_hypothesis"].startswith("Unable to generate analysis")
+    hit = got["b"]["similar_incidents"][0]
+    assert (hit["description"], hit["resolution"], hit["similarity_score"]) == ("dns fails", "", 1.0)
+    own = queries.withColumns({"top_k": F.lit(2), "similarity_threshold": F.lit(0.9)})
+    few = {r["query_id"]: r for r in analyze(own, incidents, vectors, model, embed_fn=model_vectors, threshold=0.0).collect()}
+    assert [h["incident_id"] for h in few["a"]["similar_incidents"]] == ["d0", "d1"]
     with pytest.raises(ValueError):
         analyze(queries, incidents, vectors, model)
 

@@ -6,7 +6,7 @@ from triagelake.operators import similarity, synth
 from triagelake.operators.embedding import embed
 from triagelake.plans.build import build_tables
 from triagelake.plans.search import retrieve_for_incidents, search_texts
-from triagelake.session import count_up_to, cut, shared_dir, spread
+from triagelake.session import cut, shared_dir, temporary
 from triagelake.sources.incidents import read_incident_table
 from triagelake.sources.vectors import read_vectors
 
@@ -19,13 +19,14 @@ def test_build_and_search(spark, tmp_path):
     incidents, vectors = read_incident_table(spark, f"{out}/incidents"), read_vectors(spark, f"{out}/vectors")
     n = incidents.count()
     assert 0 < n <= 200 and vectors.count() == n
-    assert stats.filter("dimension = 'total'").first()["incidents"] == n
+    # Statistics are of all current versions, before titles are deduplicated.
+    assert stats.filter("dimension = 'total'").first()["incidents"] == 400
     assert not [i for i in ids(incidents) if i.startswith("copy-")]
-    query = spark.createDataFrame([("q", "dns lookups fail")], "query_id string, text string")
+    query = spark.createDataFrame([("q", "lost dns after a router change")], "query_id string, text string")
     found = similarity.retrieve(embed(query, embedder), incidents, vectors, 3, 0.0, categories=["network"])
     assert {r["category"] for r in found.collect()} == {"network"}
 
-    requests = spark.createDataFrame([("a", "dns lookups fail", 2), ("b", "", 3), ("c", "q", 51)], "query_id string, query string, top_k int")
+    requests = spark.createDataFrame([("a", "lost dns after a router change", 2), ("b", "", 3), ("c", "q", 51)], "query_id string, query string, top_k int")
     hits, rejected = search_texts(requests, incidents, vectors, embedder, severities=["low", "medium"])
     rows = hits.collect()
     assert 0 < len(rows) <= 2 and {r["severity"] for r in rows} <= {"low", "medium"}
@@ -41,10 +42,45 @@ def test_helpers(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = cut(spark.range(5).withColumn("x", F.rand()))
     assert df.collect() == df.collect()
-    assert count_up_to(df, 5) == 5 and count_up_to(df, 4) is None
-    assert spread(spark.range(0, 8, 1, 1)).rdd.getNumPartitions() == 4
-    many = spark.range(0, 100, 1, 16)
-    assert spread(many) is many
+    with temporary(spark):
+        gone = cut(spark.range(3))
+        assert gone.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(gone.inputFiles()[0])
+    assert df.count() == 5
+
+
+def test_only_one_machine_may_lack_a_shared_folder():
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+            self.conf = {}
+
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(Session(master))
+
+
+def test_one_row_per_id(spark, tmp_path):
+    """Versions of an id with other titles: the last stays, so k hits are k incidents."""
+    made = synth.generate_incidents(spark, 60, as_of="2024-06-01")
+    later = made.withColumns(
+        {"title": F.concat(F.lit("later "), "title"), "created_at": F.col("created_at") + F.expr("interval 1 hour")}
+    )
+    stats, embedder = build_tables(spark, [(0, made), (1, later), (2, made)], str(tmp_path), dedupe=False, dim=64)
+    incidents, vectors = read_incident_table(spark, f"{tmp_path}/incidents"), read_vectors(spark, f"{tmp_path}/vectors")
+    assert incidents.count() == vectors.count() == 60
+    assert incidents.where("not startswith(title, 'later ')").count() == 0
+    assert stats.where("dimension = 'total'").first()["incidents"] == 60
+    found = retrieve_for_incidents(incidents, incidents, vectors, 3, -1.0, embedder)
+    assert found.groupBy("query_id").count().where("count <> 3").count() == 0
 
 
 @pytest.mark.parametrize("name", ["localCheckpoint", "crossJoin", "toPandas"])

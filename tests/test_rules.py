@@ -25,11 +25,11 @@ def test_labels(spark):
 
 
 TEXTS = [
-    ("High latency detected, p99 response times increased", "latency", 1.0),
-    ("Service is down, returning 503 errors, complete outage", "outage", 1.0),
-    ("Security vulnerability CVE-2024-1234 found in authentication", "security", 1.0),
-    ("Something happened somewhere", "unknown", 0.0),
-    ("HIGH LATENCY on PRODUCTION", "latency", 1 / 3),
+    ("Pages load with latency, p99 doubled, response time poor", "latency", 1.0),
+    ("Checkout crash, site down, nothing but 503", "outage", 1.0),
+    ("A breach through a known CVE, maybe an exploit", "security", 1.0),
+    ("The cat sat on the mat", "unknown", 0.0),
+    ("SOME LATENCY AT NOON", "latency", 1 / 3),
     ("flag", "latency", 1 / 3),  # lag before flag: the first category wins a tie
     ("", "unknown", 0.0),
     ("latency latency latency", "latency", 1 / 3),  # a repeated word counts once
@@ -53,21 +53,11 @@ def test_engines_agree_on_every_keyword_pair(spark):
     assert df.select(a.alias("a"), b.alias("b")).filter("a <> b").count() == 0
 
 
-def test_search_without_the_automaton(monkeypatch):
-    import builtins
-
-    real = builtins.__import__
-
-    def refuse(name, *args, **kw):
-        if name == "ahocorasick":
-            raise ImportError
-        return real(name, *args, **kw)
-
-    fast = rules._keyword_finder()
-    monkeypatch.setattr(builtins, "__import__", refuse)
-    slow = rules._keyword_finder()
-    for t, _, _ in TEXTS:
-        assert set(slow(t.lower())) == set(fast(t.lower()))
+def test_without_the_automaton_expressions_stand_in(spark, monkeypatch):
+    monkeypatch.setattr(rules, "find_spec", lambda name: None)
+    df = spark.createDataFrame([(t,) for t, _, _ in TEXTS], "t string").select(rules.category_from_text("t").alias("c"))
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().toString()
+    assert [r["c"]["category"] for r in df.collect()] == [c for _, c, _ in TEXTS]
 
 
 def test_unknown_engine():

@@ -14,10 +14,10 @@ from triagelake.sources.vectors import read_vectors, vector_count, write_vectors
 
 def brute(qids, q, cids, c, k, threshold, exclude_self=False):
     rows = []
-    scores = np.round(q.astype(np.float64) @ c.astype(np.float64).T, 6)
+    scores = np.array([[np.einsum("j,j->", a, b) for b in c.astype(np.float64)] for a in q.astype(np.float64)]).reshape(len(q), len(c))
     for i, qid in enumerate(qids):
         best = sorted((-scores[i, j], cid) for j, cid in enumerate(cids) if not (exclude_self and cid == qid))[:k]
-        rows += [(qid, cid, -s, r + 1) for r, (s, cid) in enumerate(best) if -s >= threshold]
+        rows += [(qid, cid, round(-s, 6), r + 1) for r, (s, cid) in enumerate(best) if -s >= threshold]
     return sorted(rows)
 
 
@@ -49,7 +49,7 @@ def data(spark):
 @pytest.mark.parametrize("blocks", [False, True])
 def test_topk_is_exact(data, k, threshold, exclude, blocks):
     qids, q, cids, c, queries, corpus = data
-    how = dict(query_bytes=0, block_bytes=(700, 3000)) if blocks else {}
+    how = dict(query_bytes=700) if blocks else {}
     got = rows(similarity.topk_similar(queries, corpus, k, threshold, exclude, **how))
     assert got == brute(qids, q, cids, c, k, threshold, exclude)
 
@@ -65,13 +65,13 @@ def test_block_topk_property(seed, nq, nc, dim, k, threshold, exclude):
     q = rng.integers(-2, 3, size=(nq, dim)).astype(np.float32)
     c = rng.integers(-2, 3, size=(nc, dim)).astype(np.float32)
     qids, cids = [f"i{i}" for i in range(nq)], [f"i{i}" for i in rng.permutation(nc)]
-    block = BlockTopK(pa.array(qids), q, k, threshold, exclude)
+    block = BlockTopK(pa.array(qids), q, np.full(nq, k), np.full(nq, threshold), exclude)
     at = 0
     while at < nc:
         step = int(rng.integers(1, nc + 1))
         block.add(pa.array(cids[at : at + step]), c[at : at + step])
         at += step
-    schema = pa.schema([("query_id", pa.string()), ("incident_id", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("query_id", pa.string()), ("incident_id", pa.string()), ("score", pa.float64()), ("_k", pa.int32())])
     got = block.result(schema).to_pylist()
     expected = [(a, b, s) for a, b, s, _ in brute(qids, q, cids, c, k, threshold, exclude)]
     assert sorted((r["query_id"], r["incident_id"], r["score"]) for r in got) == expected
@@ -94,7 +94,7 @@ def test_guards(spark, data):
         similarity.topk_similar(frame(spark, "query_id", ["a"], np.ones((1, 3))), corpus).collect()
     assert similarity.topk_similar(queries.limit(0), corpus).count() == 0
     assert similarity.topk_similar(queries, corpus.limit(0)).count() == 0
-    assert vector_count(None) == 0 and vector_count(corpus) == 400
+    assert vector_count(corpus).first()["vectors"] == 400
 
 
 def test_self_is_excluded(data):
@@ -161,7 +161,7 @@ def test_missing_incidents_are_dropped_without_refill(data, incidents):
 def test_search_with_own_terms(data, incidents):
     qids, q, cids, c, queries, corpus = data
     requests = queries.withColumn("top_k", F.length("query_id")).withColumn("threshold", F.lit(0.35))
-    got = similarity.search(requests, incidents, corpus)
+    got, _ = similarity.search(requests, incidents, corpus)
     assert got.columns == ["query_id", "rank", "incident_id", "title", "category", "severity", "similarity_score"]
     expected = [r for i, x in enumerate(qids) for r in brute([x], q[i : i + 1], cids, c, len(x), 0.35)]
     assert sorted((r["query_id"], r["incident_id"], r["similarity_score"], r["rank"]) for r in got.collect()) == sorted(expected)
@@ -189,7 +189,7 @@ def test_embedding(spark, incidents, tmp_path):
     best = similarity.topk_similar(embedding.embed(query, embedder), vectors, 1, 0.3).first()
     assert best["incident_id"] == "inc-007"
     write_vectors(vectors, str(tmp_path / "v"))
-    assert vector_count(read_vectors(spark, str(tmp_path / "v"))) == 400
+    assert vector_count(read_vectors(spark, str(tmp_path / "v"))).first()["vectors"] == 400
     with pytest.raises(Exception):
         read_vectors(spark, str(tmp_path / "nothing"))
     with pytest.raises(ValueError, match="need at least 1"):
@@ -200,3 +200,72 @@ def test_callers_model(spark):
     df = spark.createDataFrame([("a b",), ("",)], "text string")
     got = embedding.embed_with(df, lambda ts: [[float(len(t)), 0.0] for t in ts], batch_size=1)
     assert [r["vec"] for r in got.collect()] == [[1.0, 0.0], [0.0, 0.0]]
+
+
+def test_every_request_gets_what_it_asks_for(spark, data, incidents):
+    qids, q, cids, c, queries, corpus = data
+    terms = [(50, 0.0), (51, 0.0), (0, 0.0), (3, -0.1), (4, 1.5), (None, None), (40, 0.1)]
+    asked = spark.createDataFrame([(qids[i], k, t) for i, (k, t) in enumerate(terms)], "query_id string, top_k int, threshold double")
+    found, rejected = similarity.search(queries.join(asked, "query_id"), incidents, corpus)
+    counts = {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()}
+    for i, (k, t) in {0: (50, 0.0), 5: (10, 0.0), 6: (40, 0.1)}.items():
+        assert counts[qids[i]] == len(brute([qids[i]], q[i : i + 1], cids, c, k, t))
+    reasons = {r["query_id"]: r["errors"] for r in rejected.collect()}
+    assert reasons == {
+        qids[1]: ["top_k must be 1 to 50"], qids[2]: ["top_k must be 1 to 50"],
+        qids[3]: ["threshold must be 0.0 to 1.0"], qids[4]: ["threshold must be 0.0 to 1.0"],
+    }
+
+
+def test_filters_of_requests(spark, data, incidents):
+    qids, q, cids, c, queries, corpus = data
+    own = [
+        (["data"], None, None, None), ([], None, None, None), (None, ["high"], None, None), (None, None, "2024-01-20", None),
+        (["latency", "outage"], ["low"], "2024-01-03", "2024-01-10"), (None, None, None, None),
+    ]
+    schema = "query_id string, categories array<string>, severities array<string>, after string, before string"
+    asked = spark.createDataFrame([(qids[i], *o) for i, o in enumerate(own)], schema).withColumn("top_k", F.lit(7))
+    found, _ = similarity.search(queries.join(asked, "query_id"), incidents, corpus)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["incident_id"]))
+    facts = {r["id"]: r for r in incidents.collect()}
+    for i, (cats, sevs, after, before) in enumerate(own):
+        keep = [
+            j for j, x in enumerate(cids)
+            if (cats is None or facts[x]["category"] in cats) and (sevs is None or facts[x]["severity"] in sevs)
+            and (after is None or facts[x]["created"] >= f"{after} 00:00:00") and (before is None or facts[x]["created"] <= f"{before} 00:00:00")
+        ]
+        want = [(r, x) for _, x, _, r in brute([qids[i]], q[i : i + 1], [cids[j] for j in keep], c[keep].reshape(-1, 16), 7, 0.0)]
+        assert sorted(got.get(qids[i], [])) == sorted(want)
+
+
+def test_floors_from_a_sample_change_nothing(data, monkeypatch):
+    qids, q, cids, c, queries, corpus = data
+    monkeypatch.setattr(similarity, "SAMPLE_ROWS", 40)
+    monkeypatch.setattr(similarity, "SAMPLE_FROM", 2)
+    assert rows(similarity.topk_similar(queries, corpus, 5, 0.1, True)) == brute(qids, q, cids, c, 5, 0.1, True)
+
+
+def test_scores_are_compared_unrounded(spark):
+    queries = frame(spark, "query_id", ["q"], np.array([[1.0, 0.0]]))
+    corpus = spark.createDataFrame([("a", [0.29999989, 0.0]), ("b", [0.30000001, 0.0])], "id string, vec array<float>")
+    assert [r["incident_id"] for r in similarity.topk_similar(queries, corpus, 2, 0.3).collect()] == ["b"]
+    assert [r["incident_id"] for r in similarity.topk_similar(queries, corpus, 1).collect()] == ["b"]
+
+
+def test_the_model_is_asked_once_per_text(spark, incidents, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def model(texts):
+        with open(log, "a") as f:
+            f.write("x\n" * len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    twice = incidents.unionByName(incidents.withColumn("created_at", F.col("created_at") - F.expr("interval 1 day")))
+    vectors, _ = embedding.build_vectors(twice, fn=model)
+    vectors.write.parquet(str(tmp_path / "vectors"))
+    assert len(open(log).read().split()) == 400
+    queries = embedding.embed_with(incidents.select(F.col("id").alias("query_id"), F.col("title").alias("text")), model)
+    similarity.topk_similar(queries, read_vectors(spark, str(tmp_path / "vectors")), 2, query_bytes=2000).collect()
+    assert len(open(log).read().split()) == 800

@@ -41,14 +41,23 @@ def test_ingest_keeps_the_first_of_an_id(spark, tmp_path):
 
     folder = tmp_path / "in"
     folder.mkdir()
-    source = streams.ingest_stream(spark, str(folder), "10 days")
-    writer = lambda: source.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+    source, refused = streams.ingest_stream(spark, str(folder), "10 days")
+
+    def writer(stream=source, name="out"):
+        return stream.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"cp-{name}"))
+
     (folder / "1.jsonl").write_text("\n".join([line("a", "first", 1), line("b", "only", 1), "", line("x", "bad", 1, category="weather"), "{"]))
     finish(writer())
     (folder / "2.jsonl").write_text("\n".join([line("a", "second", 2), line("c", "new", 2)]))
     finish(writer())
     got = {r["id"]: r["title"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": "first", "b": "only", "c": "new"}
+    finish(writer(refused, "refused"))
+    bad = spark.read.parquet(str(tmp_path / "refused")).collect()
+    assert sorted(r["errors"][0] for r in bad) == ["invalid category: weather", "malformed record"]
+    strict, _ = streams.ingest_stream(spark, str(folder), "10 days", mode="failfast")
+    with pytest.raises(Exception, match="invalid category|malformed"):
+        finish(writer(strict, "strict"))
 
 
 @pytest.fixture(scope="module")
@@ -74,7 +83,7 @@ def test_search_equals_batch_and_reruns_leave_no_duplicates(spark, tmp_path, bas
     for run in ("cp1", "cp2"):  # the second run repeats all batches, as after a lost checkpoint
         finish(streams.search_stream(stream_of(spark, path, schema), incidents, vectors, out, str(tmp_path / run)))
     got = spark.read.parquet(out).drop("batch_id")
-    batch = similarity.search(spark.read.parquet(path), incidents, vectors)
+    batch = similarity.search(spark.read.parquet(path), incidents, vectors)[0].withColumn("error", F.lit(None).cast("string"))
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
     out2 = str(tmp_path / "out2")
     finish(streams.similar_stream(stream_of(spark, path, schema), incidents, vectors, out2, str(tmp_path / "cp3"), 2, 0.1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from triagelake.functions.binding import bind
 from triagelake.functions.text import _col
 from triagelake.schema import CITATION_TYPE
 
@@ -47,9 +48,8 @@ def extract_json(response: str | Column) -> Column:
     return F.try_parse_json(json_text(response))
 
 
-def _python_type(value: Column) -> Column:
-    """What a Python reader of the JSON value would call its type."""
-    kind = F.schema_of_variant(value)
+def _python_type(kind: Column) -> Column:
+    """What a Python reader of a JSON value would call its type, from the kind Spark gives it."""
     return (
         F.when(kind == "STRING", "str")
         .when(kind == "BOOLEAN", "bool")
@@ -61,18 +61,23 @@ def _python_type(value: Column) -> Column:
     )
 
 
+def _field_problem(name: str, wanted: str, kind: Column) -> Column:
+    """Null if the field is there and of the wanted type. The kind is found once, and named once."""
+    return bind(
+        bind(kind, lambda k: F.when(k.isNotNull(), _python_type(k))),
+        lambda found: F.when(found.isNull(), F.lit(f"Missing required field: {name}")).when(
+            found != wanted, F.concat(F.lit(f"Field '{name}' expected {wanted}, got "), found)
+        ),
+    )
+
+
 def validate_response(answer: str | Column) -> Column:
     """``struct<passed, error>`` for an answer given as VARIANT."""
     v = _col(answer)
     problems = []
     for name, wanted in REQUIRED_FIELDS:
-        field = F.try_variant_get(v, f"$.{name}", "variant")
-        found = _python_type(field)
-        problems.append(
-            F.when(field.isNull(), F.lit(f"Missing required field: {name}")).when(
-                found != wanted, F.concat(F.lit(f"Field '{name}' expected {wanted}, got "), found)
-            )
-        )
+        kind = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+        problems.append(_field_problem(name, wanted, kind))
     actions = F.try_variant_get(v, "$.recommended_actions", "array<variant>")
     problems.append(
         F.when(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib.util import find_spec
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -63,7 +64,8 @@ def category_from_text(text: str | Column, engine: str = "scan") -> Column:
     """``struct<category, confidence>`` from the number of distinct keywords of
     each category that occur in the text as substrings.
 
-    engine="scan" finds all keywords in one pass per text, on Arrow batches.
+    engine="scan" finds all keywords in one pass per text, on Arrow batches; it needs
+    pyahocorasick on driver and executors, and where the driver lacks it "expr" stands in.
     engine="expr" is the same rule in built-in expressions only: one substring
     search per keyword, which costs several times more on long texts.
     """
@@ -72,6 +74,8 @@ def category_from_text(text: str | Column, engine: str = "scan") -> Column:
 
 def category_of(lowered: Column, engine: str = "scan") -> Column:
     """`category_from_text` for a text that is in lower case already."""
+    if engine == "scan" and find_spec("ahocorasick") is None:
+        engine = "expr"  # decided here, for all executors alike
     if engine == "scan":
         best = _scan_keywords(lowered)
     elif engine == "expr":
@@ -134,11 +138,9 @@ def _scan_keywords(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def _keyword_finder():
+    import ahocorasick
+
     words = sorted({w for group in CATEGORY_KEYWORDS.values() for w in group})
-    try:
-        import ahocorasick
-    except ImportError:  # same set of words, one search each
-        return lambda text: [w for w in words if w in text]
     automaton = ahocorasick.Automaton()
     for word in words:
         automaton.add_word(word, word)

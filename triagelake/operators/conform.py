@@ -104,9 +104,11 @@ def validate_inputs(queries: DataFrame, profile: str = "analyze") -> tuple[DataF
             continue
         measure = F.char_length(name) if kind == "chars" else F.col(name)
         unit = " characters" if kind == "chars" else ""
+        # A term left out takes its default; a text must be there.
+        left_out = F.lit(kind == "value")
         problems.append(
             F.when(
-                ~F.coalesce(measure.between(low, high), F.lit(False)),
+                ~F.coalesce(measure.between(low, high), left_out),
                 F.lit(f"{name} must be {low} to {high}{unit}"),
             )
         )

@@ -30,7 +30,10 @@ def dedupe_titles(df: DataFrame, order: Sequence[Column] | None = None) -> DataF
 
 
 def combine_sources(
-    sources: Sequence[tuple[int, DataFrame]], dedupe: bool = True, seq: Sequence[Column] | None = None
+    sources: Sequence[tuple[int, DataFrame]],
+    dedupe: bool = True,
+    seq: Sequence[Column] | None = None,
+    keep_rank: bool = False,
 ) -> DataFrame:
     """One table from several; on equal titles the source of lowest rank wins."""
     ranked = [df.withColumn(SOURCE_RANK, F.lit(rank)) for rank, df in sources]
@@ -39,7 +42,7 @@ def combine_sources(
         combined = combined.unionByName(df, allowMissingColumns=True)
     if dedupe:
         combined = dedupe_titles(combined, [F.col(SOURCE_RANK), *(seq or default_sequence())])
-    return combined.drop(SOURCE_RANK)
+    return combined if keep_rank else combined.drop(SOURCE_RANK)
 
 
 def _names_or_columns(items: Sequence[str | Column]) -> list[Column]:

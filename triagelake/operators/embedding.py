@@ -91,12 +91,18 @@ def build_vectors(
     """
     require_rows(incidents, 1, "incidents")
     text = embedding_text()
+    # The last version of every id is found on narrow rows, so no text that loses is
+    # embedded or counted.
+    narrow = incidents.select("id", "created_at", F.xxhash64(text).alias("_digest"))
+    latest = first_per_key(narrow, ["id"], [F.desc("created_at"), F.asc("_digest")])
+    latest = latest.toDF("_id", "_created_at", "_latest")
     texts = incidents.select("id", *VECTOR_FILTER_COLUMNS, text.alias("text"), F.xxhash64(text).alias("_digest"))
+    same = (F.col("id") == F.col("_id")) & F.col("created_at").eqNullSafe(F.col("_created_at")) & (F.col("_digest") == F.col("_latest"))
+    texts = texts.join(latest, same, "left_semi").drop("_digest")
     if fn is not None:
-        vectors, embedder = embed_with(texts, fn), None
+        vectors, embedder = embed_with(texts, fn).drop("text"), None
     else:
         embedder = embedder or fit_embedder(texts, dim=dim)
-        vectors = embed(texts, embedder)
-    # Only now is anything shuffled: vectors, not texts.
-    latest = [F.desc("created_at"), F.asc("_digest")]
-    return first_per_key(vectors.drop("text"), ["id"], latest).drop("_digest"), embedder
+        vectors = embed(texts, embedder).drop("text")
+    # Only rows alike in id, time and text are left to thin out, by their vectors' narrow columns.
+    return first_per_key(vectors, ["id"], [F.asc_nulls_last(c) for c in ("category", "severity")]), embedder

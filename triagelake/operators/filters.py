@@ -7,9 +7,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triagelake.schema import UNKNOWN
-from triagelake.session import broadcast_if, count_up_to
+
+# Ids up to this number are pushed into the scan; more go as a table.
+LISTED_IDS = 100
 
 Instant = str | dt.date | dt.datetime
 
@@ -87,9 +90,10 @@ def intersect_ids(first: DataFrame, *others: DataFrame) -> DataFrame:
 def lookup(df: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
     """Incidents with the given ids; unknown ids give no row."""
     if not isinstance(ids, DataFrame):
-        return df.filter(F.col("id").isin(list(ids)))
-    wanted = ids.select("id").distinct()
-    return df.join(broadcast_if(wanted, count_up_to(wanted)), "id", "left_semi")
+        if len(ids) <= LISTED_IDS:
+            return df.filter(F.col("id").isin(list(ids)))
+        ids = df.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([df.schema["id"]]))
+    return df.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def labelled_only(df: DataFrame) -> DataFrame:

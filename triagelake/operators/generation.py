@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -24,10 +25,6 @@ from triagelake.session import cut
 
 # --- fixed values -----------------------------------------------------------
 MAX_ROUNDS = 3
-SYSTEM_PROMPT = (
-    "You are an expert SRE incident analyst. Respond only with valid JSON."
-    "\n\nRespond only with valid JSON, no other text."
-)
 FALLBACK_CAUSE = "Unable to generate analysis: "
 FALLBACK_ACTIONS = ["Investigate manually", "Check logs", "Review recent changes"]
 FALLBACK_IMPACT = "Unknown - requires manual assessment"
@@ -36,34 +33,52 @@ FALLBACK_SUMMARY = "LLM analysis unavailable"
 
 BATCH_SIZE = 32
 
-Responder = Callable[[list[str]], Sequence[str | None]]
+# Handed to models that take a part of the prompt in the system's name.
+SYSTEM_PROMPT = "You help engineers on call to understand an incident. Your whole answer is one JSON object and nothing else."
+
+# ``fn(prompts)``, or ``fn(prompts, system=...)`` where it has that parameter. For a prompt it
+# cannot answer it may return an exception instead of a text.
+Responder = Callable[..., Sequence[str | Exception | None]]
+
 
+def takes_system(fn: Responder) -> bool:
+    try:
+        return "system" in inspect.signature(fn).parameters
+    except (TypeError, ValueError):
+        return False
 
-def respond(prompts: DataFrame, fn: Responder, batch_size: int = BATCH_SIZE) -> DataFrame:
+
+def respond(
+    prompts: DataFrame, fn: Responder, batch_size: int = BATCH_SIZE, system: str = SYSTEM_PROMPT
+) -> DataFrame:
     """Add ``response`` and ``response_error`` by calling ``fn`` on lists of prompts.
 
-    A failing list is asked again prompt by prompt, so one bad prompt costs no
-    other its answer.
+    Every prompt is sent once. If a call fails as a whole, all its prompts carry the error.
+    Rows with a true ``_alone`` are sent by themselves.
     """
+    more = {"system": system} if takes_system(fn) else {}
     added = [T.StructField("response", T.StringType()), T.StructField("response_error", T.StringType())]
     schema = T.StructType([*prompts.schema.fields, *added])
 
     def ask(texts: list[str]) -> list[tuple[str | None, str | None]]:
         try:
-            answers = list(fn(texts))
+            answers = list(fn(texts, **more))
             if len(answers) != len(texts):
                 raise ValueError(f"{len(answers)} answers for {len(texts)} prompts")
-            return [(answer, None) for answer in answers]
+            return [(None, str(a)) if isinstance(a, Exception) else (a, None) for a in answers]
         except Exception as problem:  # whatever the caller's model throws
-            if len(texts) == 1:
-                return [(None, str(problem))]
-            return [pair for text in texts for pair in ask([text])]
+            return [(None, str(problem))] * len(texts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = []
-            for start in range(0, len(batch), batch_size):
-                pairs.extend(ask(batch["prompt"].iloc[start : start + batch_size].tolist()))
+            alone = batch["_alone"].tolist() if "_alone" in batch else [False] * len(batch)
+            together = [i for i, a in enumerate(alone) if not a]
+            calls = [together[i : i + batch_size] for i in range(0, len(together), batch_size)]
+            calls += [[i] for i, a in enumerate(alone) if a]
+            texts, pairs = batch["prompt"].tolist(), [(None, None)] * len(batch)
+            for call in calls:
+                for i, pair in zip(call, ask([texts[i] for i in call]), strict=True):
+                    pairs[i] = pair
             yield batch.assign(
                 response=pd.Series([p[0] for p in pairs], index=batch.index, dtype=object),
                 response_error=pd.Series([p[1] for p in pairs], index=batch.index, dtype=object),
@@ -91,15 +106,20 @@ def generation_rounds(
 
     Each round asks only for the rows that still fail and is written to the
     shared folder before it is looked at, so no prompt is sent twice by a plan
-    that runs again.
+    that runs again. Prompts whose call failed are sent alone from then on, so a prompt
+    that spoils a list costs the others one round. No prompt is sent more than
+    ``max_rounds`` times.
     """
-    pending = prompts.select("query_id", "prompt", F.lit(None).cast("string").alias("generation_error"))
+    pending = prompts.select(
+        "query_id", "prompt", F.lit(None).cast("string").alias("generation_error"), F.lit(False).alias("_alone")
+    )
     finished = []
     for attempt in range(1, max_rounds + 1):
         asked = pending.select(
             "query_id",
             F.col("prompt").alias("_first"),
             with_feedback(F.col("prompt"), F.col("generation_error")).alias("prompt"),
+            "_alone",
         )
         answered = check_answers(respond(asked, fn, batch_size)).withColumn("attempts", F.lit(attempt))
         answered = cut(answered, f"answers-{attempt}")
@@ -108,7 +128,8 @@ def generation_rounds(
         finished.append(answered if last else answered.filter("passed"))
         if last:
             break
-        pending = failed.select("query_id", F.col("_first").alias("prompt"), "generation_error")
+        alone = F.col("_alone") | F.col("response_error").isNotNull()
+        pending = failed.select("query_id", F.col("_first").alias("prompt"), "generation_error", alone.alias("_alone"))
     return reduce(DataFrame.unionByName, finished).select(
         "query_id", "response", "response_error", "attempts", "passed", "generation_error"
     )

@@ -7,11 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows per key Spark cuts every partition down before the
-# shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
-EARLY_CUT = 1000
-SALTS = 64
-
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
     """The first row of every key; ``order`` must decide every tie.
@@ -29,12 +24,12 @@ def top_n_per_key(
     """The first ``n`` rows of every key, numbered from 1 in column ``rank``.
 
     Rows of a key are cut in two steps, first per (key, slice of the input) and
-    then per key, so no task sees more than a bounded multiple of ``n`` rows
-    of one key, whatever the skew and however large ``n`` is.
+    then per key: as many slices as the shuffle has partitions, so the second step
+    sees at most that many times ``n`` rows of a key. Up to n = 1000 Spark also cuts
+    every input partition down before the first shuffle.
     """
-    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    if n >= EARLY_CUT:
-        salted = salted.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS * SALTS)))
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     local = Window.partitionBy(*keys, "_salt").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
     cut = salted.withColumn("_n", F.row_number().over(local)).filter(F.col("_n") <= n)

@@ -9,25 +9,28 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from triagelake.operators.blocks import BlockTopK, as_matrix
-from triagelake.operators.conform import clamp_score
+from triagelake.operators.blocks import BlockTopK, RequestFilters, as_matrix
+from triagelake.operators.conform import clamp_score, validate_inputs
 from triagelake.operators.filters import Instant, filter_incidents, incident_predicate, lookup
-from triagelake.session import broadcast_if, count_up_to
+from triagelake.session import cut
 
-# Queries up to this size travel to every task; larger tables are cut in blocks.
+# Queries go to the tasks in broadcasts of this size; the corpus is read in place once for each.
 QUERY_BYTES = 64 << 20
-# Sizes of the blocks when both sides are cut. The corpus is sent once per block
-# of queries, so those are the larger ones.
-QUERY_BLOCK_BYTES = 256 << 20
-CORPUS_BLOCK_BYTES = 128 << 20
+# Corpora of many times this size are sampled first, for a floor under each query's last hit.
+SAMPLE_ROWS = 20_000
+SAMPLE_FROM = 50
+
+# Columns by which a request brings filters of its own, and what they look at.
+REQUEST_FILTERS = {"categories": "category", "severities": "severity", "after": "created_at", "before": "created_at"}
+SHOWN_DECIMALS = 6
 
 # Weak results are searched again with these allowances.
 RELAX_THRESHOLD = 0.1
@@ -46,93 +49,97 @@ def topk_similar(
     threshold: float = 0.0,
     exclude_self: bool = False,
     query_bytes: int = QUERY_BYTES,
-    block_bytes: tuple[int, int] = (QUERY_BLOCK_BYTES, CORPUS_BLOCK_BYTES),
 ) -> DataFrame:
     """The ``k`` corpus rows of highest inner product for every query.
 
-    Every query meets every vector, as an exact search must, but pairs exist
-    only inside a task as blocks of a matrix product. A task passes on at most
-    ``k`` rows per query.
+    Every query meets every vector, as an exact search must, but pairs exist only
+    inside a task as blocks of a matrix product, and vectors of the corpus stay where
+    they are. A task passes on at most ``k`` rows per query. Ranks and the threshold
+    go by the score as it is; the score shown is rounded.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    queries = queries.select("query_id", F.col("vec").cast("array<float>").alias("vec"))
-    corpus = corpus.select("id", F.col("vec").cast("array<float>").alias("vec"))
+    terms = [F.lit(k).alias("_k"), F.lit(float(threshold)).alias("_threshold")]
+    hits = topk_of_requests(queries.select("query_id", "vec", *terms), corpus, exclude_self, query_bytes)
+    return hits.withColumn("score", shown(F.col("score")))
+
+
+def topk_of_requests(
+    requests: DataFrame, corpus: DataFrame, exclude_self: bool = False, query_bytes: int = QUERY_BYTES
+) -> DataFrame:
+    """The same for requests with terms of their own, with scores as they are.
+
+    ``requests`` has query_id, vec, ``_k`` and ``_threshold``, and any of categories,
+    severities (arrays), after and before (timestamps); the corpus then has the columns
+    these look at. Queries are computed once and written; every broadcast holds a bounded
+    part of them.
+    """
+    filters = [c for c in REQUEST_FILTERS if c in requests.columns]
+    looked_at = sorted({REQUEST_FILTERS[c] for c in filters})
+    corpus = corpus.select("id", F.col("vec").cast("array<float>").alias("vec"), *looked_at)
+    asked = requests.select("query_id", F.col("vec").cast("array<float>").alias("vec"), "_k", "_threshold", *filters)
+    asked = cut(asked, "queries")
+    shape = asked.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim"), F.max("_k").alias("k")).first()
+    row_bytes = 4 * max(shape["dim"] or 0, 0) + 100
+    parts = max(1, math.ceil(shape["n"] * row_bytes / query_bytes))
+
+    def best(asked: DataFrame, corpus: DataFrame) -> DataFrame:
+        found = [
+            _against_all(asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part), corpus, exclude_self)
+            for part in range(parts)
+        ]
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("incident_id"))
+        ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
+        return ranked.where((F.col("rank") <= (shape["k"] or 1)) & (F.col("rank") <= F.col("_k")))
+
+    rows = corpus.count()
+    if rows > SAMPLE_FROM * SAMPLE_ROWS:
+        # The k-th score among some of the corpus is at most the k-th among all.
+        some = corpus.where(F.pmod(F.xxhash64("id"), F.lit(rows // SAMPLE_ROWS)) == 0)
+        floors = best(asked, some).where("rank = _k").select("query_id", F.col("score").alias("_floor"))
+        raised = F.greatest("_threshold", F.coalesce("_floor", "_threshold"))
+        asked = cut(asked.join(floors, "query_id", "left").withColumn("_threshold", raised).drop("_floor"), "queries")
+    return best(asked, corpus).select("query_id", "incident_id", "score", "rank")
+
+
+def shown(score: Column) -> Column:
+    """A score as results show it; nothing is compared by it."""
+    return F.round(score, SHOWN_DECIMALS)
+
+
+def _against_all(queries: DataFrame, corpus: DataFrame, exclude_self: bool) -> DataFrame:
+    """A bounded number of queries against each corpus partition in place."""
     schema = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
             T.StructField("incident_id", corpus.schema["id"].dataType),
             T.StructField("score", T.DoubleType()),
+            T.StructField("_k", T.IntegerType()),
         ]
     )
-    queries.persist(StorageLevel.MEMORY_AND_DISK)  # measured, then read: embedded only once
-    try:
-        size = _bytes(queries)
-        table = queries.toArrow().combine_chunks() if size <= query_bytes else None
-    finally:
-        queries.unpersist()
-    if table is not None:
-        best = _against_all(table, corpus, schema, k, threshold, exclude_self)
-    else:
-        best = _block_by_block(queries, corpus, schema, k, threshold, exclude_self, size, block_bytes)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("incident_id"))
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _bytes(vectors: DataFrame) -> int:
-    shape = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    return shape["n"] * (shape["dim"] or 0) * 4
-
-
-def _against_all(
-    queries: pa.Table, corpus: DataFrame, schema: T.StructType, k: int, threshold: float, exclude_self: bool
-) -> DataFrame:
-    """All queries (checked to be few) against each corpus partition in place."""
-    query_ids = _one_array(queries["query_id"])
-    matrix = as_matrix(queries["vec"])
     arrow_schema = to_arrow_schema(schema)
+    # One broadcast: its size is bounded by the part of the queries it holds.
+    sent = queries.sparkSession.sparkContext.broadcast(queries.toArrow().combine_chunks())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = BlockTopK(query_ids, matrix, k, threshold, exclude_self)
+        table = sent.value
+        allowed = RequestFilters(table) if set(table.column_names) & set(REQUEST_FILTERS) else None
+        block = BlockTopK(
+            _one_array(table["query_id"]),
+            as_matrix(table["vec"]),
+            table["_k"].to_numpy(),
+            table["_threshold"].to_numpy(),
+            exclude_self,
+            allowed,
+        )
         for batch in batches:
-            block.add(batch.column("id"), as_matrix(batch.column("vec")))
+            fields = {c: batch.column(c) for c in batch.schema.names if c not in ("id", "vec")}
+            block.add(batch.column("id"), as_matrix(batch.column("vec")), fields)
         yield from block.result(arrow_schema).to_batches()
 
     return corpus.mapInArrow(search, schema)
 
 
-def _block_by_block(
-    queries: DataFrame,
-    corpus: DataFrame,
-    schema: T.StructType,
-    k: int,
-    threshold: float,
-    exclude_self: bool,
-    size: int,
-    block_bytes: tuple[int, int],
-) -> DataFrame:
-    """Both sides cut into blocks of bounded size; one group per pair of blocks."""
-    query_blocks = math.ceil(size / block_bytes[0])
-    corpus_blocks = max(1, math.ceil(_bytes(corpus) / block_bytes[1]))
-    arrow_schema = to_arrow_schema(schema)
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = BlockTopK(
-            _one_array(left["query_id"]), as_matrix(left["vec"]), k, threshold, exclude_self
-        )
-        block.add(_one_array(right["id"]), as_matrix(right["vec"]))
-        return block.result(arrow_schema)
-
-    def cut(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        )
-
-    left = cut(queries, "query_id", "_q", query_blocks, "_c", corpus_blocks)
-    right = cut(corpus, "id", "_c", corpus_blocks, "_q", query_blocks)
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(search, schema)
-
-
 def _one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -177,16 +184,10 @@ def retrieve(
         hits = topk_similar(queries, allowed_vectors(vectors, incidents, filters), k, threshold)
     else:
         wide = topk_similar(queries, vectors, 3 * k, threshold)
-        kept = attach_incidents(wide, filter_incidents(incidents, **filters), _most_hits(queries, 3 * k))
+        kept = attach_incidents(wide, filter_incidents(incidents, **filters))
         order = Window.partitionBy("query_id").orderBy("rank")
         return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return attach_incidents(hits, incidents, _most_hits(queries, k))
-
-
-def _most_hits(queries: DataFrame, k: int) -> int | None:
-    """Upper bound on the hits of a search, None when there are many queries."""
-    n = count_up_to(queries.select("query_id"))
-    return None if n is None else n * k
+    return attach_incidents(hits, incidents)
 
 
 def allowed_vectors(vectors: DataFrame, incidents: DataFrame, filters: dict) -> DataFrame:
@@ -211,31 +212,44 @@ def retrieve_with_relaxation(
 ) -> DataFrame:
     """Search, and search once more on easier terms where fewer than two hits came.
 
-    One pass answers both: the easier search contains the strict one, so the
-    strict hits are counted per query and decide which set to keep.
+    A query may bring ``top_k`` and ``similarity_threshold``; ``k`` and ``threshold`` stand
+    in where it does not. One pass answers both searches: the easier one contains the
+    strict one, so the strict hits are counted per query and decide which set to keep.
     """
-    wide = topk_similar(queries, corpus, k + RELAX_EXTRA, max(0.0, threshold - RELAX_THRESHOLD))
-    strict = (F.col("rank") <= k) & (F.col("score") >= threshold)
+    own_k = term(queries, "top_k", k).cast("int")
+    own_threshold = term(queries, "similarity_threshold", threshold).cast("double")
+    terms = cut(queries.select("query_id", "vec", own_k.alias("_own_k"), own_threshold.alias("_own_threshold")), "queries")
+    easier = F.greatest(F.lit(0.0), F.col("_own_threshold") - RELAX_THRESHOLD)
+    wide = topk_of_requests(
+        terms.select("query_id", "vec", (F.col("_own_k") + RELAX_EXTRA).alias("_k"), easier.alias("_threshold")), corpus
+    )
+    strict = (F.col("rank") <= F.col("_own_k")) & (F.col("score") >= F.col("_own_threshold"))
     per_query = Window.partitionBy("query_id")
     return (
-        wide.withColumn("_strict", F.count_if(strict).over(per_query))
+        wide.join(terms.drop("vec"), "query_id")
+        .withColumn("_strict", F.count_if(strict).over(per_query))
         .filter(strict | (F.col("_strict") < RELAX_BELOW))
         .withColumn("attempts", F.when(F.col("_strict") < RELAX_BELOW, 2).otherwise(1))
-        .drop("_strict")
+        .withColumn("score", shown(F.col("score")))
+        .drop("_strict", "_own_k", "_own_threshold")
     )
 
 
-def attach_incidents(hits: DataFrame, incidents: DataFrame, hit_rows: int | None = None) -> DataFrame:
+def term(requests: DataFrame, name: str, default: int | float) -> Column:
+    """A request's own term, the default where it has none."""
+    return F.coalesce(F.col(name), F.lit(default)) if name in requests.columns else F.lit(default)
+
+
+def attach_incidents(hits: DataFrame, incidents: DataFrame) -> DataFrame:
     """Incident fields of every hit; hits without an incident are dropped.
 
-    Incidents have one row per id. ``hit_rows`` is an upper bound on the hits, if
-    the caller knows one: few hits are broadcast and the incidents read in place,
-    many are joined by shuffle.
+    Incidents have one row per id. The hits are written first, so their real size decides
+    whether they are broadcast and the incidents read in place, or both shuffled.
     """
     fields = incidents.withColumnRenamed("id", "incident_id")
     return (
-        fields.join(broadcast_if(hits, hit_rows), "incident_id")
-        .withColumn("score", clamp_score(F.col("score")))
+        fields.join(cut(hits, "hits"), "incident_id")
+        .withColumn("score", clamp_score(shown(F.col("score"))))
         .select("query_id", "rank", "score", *fields.columns)
     )
 
@@ -253,25 +267,25 @@ def search_view(found: DataFrame) -> DataFrame:
     )
 
 
-def search(
-    requests: DataFrame, incidents: DataFrame, vectors: DataFrame, max_k: int = 50, **filters
-) -> DataFrame:
-    """Search requests that may bring their own ``top_k`` and ``threshold``.
+def search(requests: DataFrame, incidents: DataFrame, vectors: DataFrame, **filters) -> tuple[DataFrame, DataFrame]:
+    """``(found, rejected)`` for search requests with vectors.
 
-    Takes the largest allowed k for all and cuts each query to its own terms,
-    which gives the same rows as one search per request.
+    A request may bring ``top_k``, ``threshold`` and filters: categories, severities (arrays;
+    empty allows nothing), after, before (inclusive). ``filters`` hold for all requests.
+    Requests outside the input bounds are rejected with the reasons.
     """
-    corpus = allowed_vectors(vectors, incidents, filters) if filters else vectors
-    wide = topk_similar(requests, corpus, max_k, 0.0)
-
-    def term(name: str, default: int | float) -> Column:
-        given = F.col(name) if name in requests.columns else F.lit(None)
-        return F.coalesce(given, F.lit(default)).alias(name)
-
-    terms = requests.select("query_id", term("top_k", SEARCH_K), term("threshold", SEARCH_THRESHOLD))
-    hits = (
-        wide.join(terms, "query_id")
-        .filter((F.col("rank") <= F.col("top_k")) & (F.col("score") >= F.col("threshold")))
-        .drop("top_k", "threshold")
+    valid, rejected = validate_inputs(requests, "search")
+    own = [c for c in REQUEST_FILTERS if c in requests.columns]
+    terms = valid.select(
+        "query_id",
+        "vec",
+        term(valid, "top_k", SEARCH_K).cast("int").alias("_k"),
+        term(valid, "threshold", SEARCH_THRESHOLD).cast("double").alias("_threshold"),
+        *[c for c in own if c in ("categories", "severities")],
+        *[F.col(c).cast("timestamp").alias(c) for c in own if c in ("after", "before")],
     )
-    return search_view(attach_incidents(hits, incidents, _most_hits(requests, max_k)))
+    corpus = allowed_vectors(vectors, incidents, filters) if filters else vectors
+    missing = sorted({REQUEST_FILTERS[c] for c in own} - set(corpus.columns))
+    if missing:
+        corpus = corpus.join(incidents.select("id", *missing), "id")
+    return search_view(attach_incidents(topk_of_requests(terms, corpus), incidents)), rejected

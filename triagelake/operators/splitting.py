@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.schema import CATEGORIES
-from triagelake.session import broadcast_if, count_up_to
+from triagelake.session import cut
 
 _PREFIX = 3  # hex digits of the digest: 4096 slices per class
 
@@ -26,8 +25,6 @@ def stratified_split(
     is then one comparison per row, so classes are never gathered or sorted
     whole and the rows themselves are not shuffled.
     """
-    # One row per class: the category domain is fixed, other labels are counted.
-    classes = len(CATEGORIES) if label == "category" else count_up_to(df.select(label).distinct())
     digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
     keyed = df.select(
         F.col(label).alias("_label"),
@@ -42,20 +39,27 @@ def stratified_split(
         slices.withColumn("_end", F.sum("_n").over(upto))
         .withColumn("_quota", F.round(F.lit(test_size) * F.sum("_n").over(whole)).cast("bigint"))
         .filter((F.col("_end") >= F.col("_quota")) & (F.col("_end") - F.col("_n") < F.col("_quota")))
-        .select("_label", "_slice", (F.col("_quota") - F.col("_end") + F.col("_n")).alias("_need"))
+        .select(
+            F.col("_label").alias("_class"),
+            F.col("_slice").alias("_border"),
+            (F.col("_quota") - F.col("_end") + F.col("_n")).alias("_need"),
+        )
     )
+    # One row per class. Written, so that its real size decides how it is joined.
+    border = cut(border, "split-border")
     position = F.row_number().over(Window.partitionBy("_label").orderBy("_digest", "_id"))
     last = (
-        keyed.join(broadcast_if(border, classes), ["_label", "_slice"])
+        keyed.join(border, F.col("_label").eqNullSafe(F.col("_class")) & (F.col("_slice") == F.col("_border")))
         .withColumn("_position", position)
         .filter(F.col("_position") == F.col("_need"))
         .select("_label", F.col("_digest").alias("_last_digest"), F.col("_id").alias("_last_id"))
     )
+    last = cut(last, "split-last")
     inside = (digest < F.col("_last_digest")) | (
         (digest == F.col("_last_digest")) & (F.col(id_col) <= F.col("_last_id"))
     )
     return (
-        df.join(broadcast_if(last, classes), df[label].eqNullSafe(F.col("_label")), "left")
+        df.join(last, df[label].eqNullSafe(F.col("_label")), "left")
         .withColumn("is_test", F.coalesce(inside, F.lit(False)))
         .drop("_label", "_last_digest", "_last_id")
     )

@@ -11,12 +11,8 @@ from triagelake.operators.classify import classify
 from triagelake.operators.embedding import with_vectors
 from triagelake.operators.generation import MAX_ROUNDS, Responder, generation_rounds, results
 from triagelake.operators.prompts import DEFAULT_TEMPLATE, build_prompts
-from triagelake.operators.similarity import (
-    RELAX_EXTRA,
-    attach_incidents,
-    retrieve_with_relaxation,
-)
-from triagelake.session import count_up_to, cut
+from triagelake.operators.similarity import attach_incidents, retrieve_with_relaxation
+from triagelake.session import cut
 
 
 def analyze(
@@ -35,25 +31,24 @@ def analyze(
     """Analysis results for ``(query_id, title, description)`` rows, one per query.
 
     Queries are embedded with ``embedder`` or ``embed_fn`` unless they bring a
-    column ``vec``. The model behind ``fn`` is asked at most ``max_rounds``
-    times per query.
+    column ``vec``. A query's own ``top_k`` and ``similarity_threshold`` go before
+    ``k`` and ``threshold``. The model behind ``fn`` is sent each query's prompt at most
+    ``max_rounds`` times.
     """
     judged = classify(queries, model)
     if "vec" not in judged.columns:
         judged = with_vectors(judged, query_text(), embedder, embed_fn)
     judged = cut(judged, "queries")
-    n = count_up_to(judged)
     hits = retrieve_with_relaxation(judged, vectors, k, threshold)
-    found = cut(
-        attach_incidents(hits, incidents, None if n is None else n * (k + RELAX_EXTRA)), "found"
-    )
+    found = cut(attach_incidents(hits, incidents), "found")
     answers = generation_rounds(build_prompts(judged, found, template), fn, max_rounds)
     return assemble(judged, found, results(answers))
 
 
 def assemble(judged: DataFrame, found: DataFrame, answered: DataFrame) -> DataFrame:
-    """Join the three parts of a result by query."""
-    item = F.struct("rank", F.col("score").alias("similarity_score"), "incident_id", "title", "category", "severity")
+    """Join the three parts of a result by query; each hit carries its whole incident."""
+    fields = [c for c in found.columns if c not in ("query_id", "rank", "score")]
+    item = F.struct("rank", F.col("score").alias("similarity_score"), *fields)
     similar = found.groupBy("query_id").agg(
         F.array_sort(F.collect_list(item)).alias("similar_incidents")  # short: hits of one query
     )

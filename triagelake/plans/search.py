@@ -22,13 +22,14 @@ def search_texts(
     embed_fn: Callable | None = None,
     **filters,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(found, rejected)`` for ``(query_id, query[, top_k, threshold])`` rows.
+    """``(found, rejected)`` for ``(query_id, query)`` rows with the terms that `search` knows.
 
-    Requests outside the input bounds are rejected with the reasons.
+    Requests outside the input bounds are rejected with the reasons and never embedded.
     """
     valid, rejected = validate_inputs(requests, "search")
     asked = with_vectors(valid, F.col("query"), embedder, embed_fn)
-    return search(asked, incidents, vectors, **filters), rejected
+    found, _ = search(asked, incidents, vectors, **filters)
+    return found, rejected
 
 
 def retrieve_for_incidents(

@@ -1,30 +1,36 @@
-"""Session helpers: checkpoint folder, size checks, parallelism."""
+"""Session helpers: sessions for one machine, the shared folder, written intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Row bound up to which a side may be broadcast on the strength of a count.
-BROADCAST_ROWS = 1_000_000
-
-# A scan of at most this many splits counts as small (8 GB at the default split size).
-SMALL_SPLITS = 64
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Owners of written tables, innermost last: the paths to delete when each is done.
+_owners: list[list[str]] = []
+_kept: list[tuple[SparkSession, str]] = []
+
 
 def local_session(cores: str = "*", name: str = "triagelake", **conf: str) -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+    """A session for tests and benchmarks on one machine.
+
+    Scans are cut into splits of 1 MB, so small test tables keep all cores busy.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "1m")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
     )
@@ -36,20 +42,19 @@ def local_session(cores: str = "*", name: str = "triagelake", **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    Only a single-machine session without that setting gets a folder of its own.
+    Only where the driver is the one executor, as in tests, may the setting be missing;
+    a folder is then made. Any cluster, one on this machine included, has to name it.
     """
-    configured = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="triagelake-")
-    spark.sparkContext.setCheckpointDir(made)
+    context.setCheckpointDir(made)
     return made
 
 
@@ -61,31 +66,46 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write the rows to the shared folder and go on from there.
 
-    A written table survives the loss of executors, and what produced it is
-    never run again, which matters when a step calls an outside model.
+    A written table survives the loss of executors, and what produced it is never run
+    again, which matters when a step calls an outside model. The table belongs to the
+    innermost ``temporary`` block, or else to the session: it goes when its owner ends.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    if _owners:
+        _owners[-1].append(path)
+    else:
+        _kept.append((spark, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a scan of a few splits to all cores.
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``cut`` writes inside.
 
-    Only small inputs are moved: a scan of more than ``SMALL_SPLITS`` splits, or
-    one that fills the cluster anyway, pays no shuffle for this.
+    For work whose result has been written or counted by then; a table that is still to
+    be read must be written outside.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < cores and splits <= SMALL_SPLITS else df
-
-
-def count_up_to(df: DataFrame, limit: int = BROADCAST_ROWS) -> int | None:
-    """Number of rows if it is at most ``limit``, else None."""
-    n = df.limit(limit + 1).count()
-    return n if n <= limit else None
-
-
-def broadcast_if(df: DataFrame, rows: int | None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side for broadcast when its row bound is known and small enough."""
-    return F.broadcast(df) if rows is not None and rows <= limit else df
+    paths: list[str] = []
+    _owners.append(paths)
+    try:
+        yield
+    finally:
+        _owners.remove(paths)
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _delete_kept() -> None:
+    """What belongs to a session goes with the program, if its session is still there."""
+    for spark, path in _kept:
+        with contextlib.suppress(Exception):
+            delete(spark, path)

@@ -49,7 +49,9 @@ def write_incidents(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     files and keeps small ones in a single file.
     """
     if fmt == "json":
-        as_object = F.coalesce(F.try_parse_json("metadata"), F.parse_json(F.lit("{}")))
+        # Text that is no JSON is kept as a JSON string.
+        as_text = F.try_variant_get(F.parse_json(F.to_json(F.struct("metadata"))), "$.metadata", "variant")
+        as_object = F.coalesce(F.try_parse_json("metadata"), as_text)
         df.withColumn("metadata", as_object).write.mode("overwrite").option(
             "ignoreNullFields", "false"
         ).json(path)

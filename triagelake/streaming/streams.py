@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from triagelake.operators.classify import classify
-from triagelake.operators.conform import ERRORS, conform_incidents, split_valid, validate_inputs
+from triagelake.operators.conform import ERRORS, conform_incidents, require_valid, split_valid, validate_inputs
 from triagelake.operators.generation import Responder
 from triagelake.operators.similarity import attach_incidents, search, topk_similar
 from triagelake.plans.analyze import analyze
 from triagelake.plans.search import search_texts
 from triagelake.schema import CORRUPT, INCIDENT_FILE_SCHEMA
+from triagelake.session import temporary
 
 
 def ingest_stream(
@@ -31,11 +32,16 @@ def ingest_stream(
     watermark: str = "1 day",
     pattern: str = "*.jsonl",
     max_files: int | None = None,
-) -> DataFrame:
-    """Valid incidents from files that arrive in a folder, one row per id.
+    mode: str = "quarantine",
+) -> tuple[DataFrame, DataFrame]:
+    """``(valid, rejected)`` incidents from files that arrive in a folder.
 
-    Of several rows with one id inside the watermark the first to arrive stays.
+    Valid rows come once per id: of several inside the watermark the first to arrive stays.
+    Rejected rows carry their ``errors``; both are streams of their own.
+    mode="failfast" stops at the first bad record instead.
     """
+    if mode not in ("quarantine", "failfast"):
+        raise ValueError(f"unknown mode: {mode}")
     reader = (
         spark.readStream.schema(INCIDENT_FILE_SCHEMA)
         .option("columnNameOfCorruptRecord", CORRUPT)
@@ -43,16 +49,21 @@ def ingest_stream(
     )
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    valid, _ = split_valid(conform_incidents(reader.json(path)))
+    checked = conform_incidents(reader.json(path))
+    valid, rejected = split_valid(require_valid(checked) if mode == "failfast" else checked)
     # An id that fills much of a batch is thinned out before rows move to their state.
     thinned = valid.mapInArrow(first_of_each_id, valid.schema)
-    return thinned.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["id"])
+    return thinned.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["id"]), rejected
 
 
 def first_of_each_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each id, and the latest row, so that the watermark moves as far as it would with all."""
     for batch in batches:
+        if batch.num_rows == 0:
+            continue
         _, first = np.unique(batch.column("id").to_numpy(zero_copy_only=False), return_index=True)
-        yield batch.take(pa.array(np.sort(first)))
+        latest = np.argmax(batch.column("created_at").cast(pa.int64()).to_numpy(zero_copy_only=False))
+        yield batch.take(pa.array(np.unique([*first, latest])))
 
 
 def classify_stream(
@@ -75,13 +86,14 @@ def search_stream(
     """Answer arriving searches; start it with ``.start()``.
 
     Requests are ``(query_id, vec)`` or, with an embedder, ``(query_id, query)``,
-    each with ``top_k`` and ``threshold`` if it likes.
+    each with the terms that `search` knows. Requests outside the bounds come out with an error.
     """
 
     def work(batch: DataFrame) -> DataFrame:
         if "vec" in batch.columns:
-            return search(batch, incidents, vectors, **filters)
-        found, refused = search_texts(batch, incidents, vectors, embedder, embed_fn, **filters)
+            found, refused = search(batch, incidents, vectors, **filters)
+        else:
+            found, refused = search_texts(batch, incidents, vectors, embedder, embed_fn, **filters)
         return found.withColumn("error", F.lit(None).cast("string")).unionByName(
             refused.select("query_id", F.array_join(ERRORS, "; ").alias("error")), allowMissingColumns=True
         )
@@ -138,7 +150,8 @@ def per_batch(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            work(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            with temporary(batch.sparkSession):
+                work(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         finally:
             batch.unpersist()
 
