@@ -181,7 +181,7 @@ FROM ruled LEFT JOIN judged USING (host)
 
 # Lines within one edit share a form with one character left out at the same place, or the
 # longer one without a character is the shorter.
-LINES = rf"""
+_LINE_TABLES = rf"""
 WITH raw AS (
   SELECT doc_id, list_filter(
     list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')),
@@ -202,13 +202,33 @@ WITH raw AS (
   SELECT DISTINCT CASE WHEN (x.doc, x.pos) > (y.doc, y.pos) THEN x.line ELSE y.line END AS line
   FROM pairs JOIN long_lines x ON x.id = a JOIN long_lines y ON y.id = b
 ), judged AS (
-  SELECT doc_id, length(line) AS size, later.line IS NOT NULL OR doc_id > first.doc AS gone
+  SELECT doc_id, line, length(line) AS size, later.line IS NOT NULL OR doc_id > first.doc AS gone
   FROM each_line JOIN first USING (line) LEFT JOIN later USING (line)
-)
+)"""
+
+LINES = f"""{_LINE_TABLES}
 SELECT doc_id, count(size) AS n_lines, count(*) FILTER (gone) AS n_repeated,
   coalesce(sum(size) FILTER (NOT gone), 0)::BIGINT AS kept_chars
 FROM documents LEFT JOIN judged USING (doc_id) GROUP BY doc_id
-""" if lines.EDITS == 1 else None
+"""
+
+_KEPT_TEXTS = rf"""{_LINE_TABLES}, cut_up AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), known AS (
+  SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS clean FROM cut_up
+), stays AS (
+  SELECT doc_id, k.line, pos, clean,
+    clean = '' OR NOT gone AND row_number() OVER (PARTITION BY doc_id, clean ORDER BY pos) = 1 AS stays
+  FROM known k LEFT JOIN judged j USING (doc_id) WHERE clean = '' OR j.line = clean
+), rebuilt AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS text,
+    count(*) FILTER (clean <> '') > 0 AND count(*) FILTER (clean <> '' AND stays) = 0 AS emptied
+  FROM (SELECT DISTINCT * FROM stays) GROUP BY doc_id
+)
+SELECT d.* REPLACE (CASE WHEN d.text IS NOT NULL THEN r.text END AS text)
+FROM documents d LEFT JOIN rebuilt r USING (doc_id) WHERE NOT coalesce(emptied, false)
+"""
 
 LICENSES = rf"""
 WITH d AS (
@@ -237,3 +257,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_base, p.
   coalesce(m.score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN per_doc p USING (doc_id) LEFT JOIN matched m USING (doc_id)
 """
+
+
+def over(body: str, stage: str) -> str:
+    """The same SQL over the rows of ``stage`` instead of all documents."""
+    body = body.strip()
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}documents AS (SELECT * FROM {stage}), {body.removeprefix(start)}"
+    raise ValueError("SQL that starts with WITH is wanted")
+
+
+PIPELINE = f"""
+WITH good AS (
+  SELECT d.* FROM documents d JOIN ({QUALITY}) q USING (doc_id) WHERE q.kept
+), lined AS ({over(_KEPT_TEXTS, "good")}
+), single AS (
+  SELECT d.* FROM lined d JOIN ({over(NEAR, "lined")}) q USING (doc_id) WHERE q.kept
+), clean AS (
+  SELECT d.* FROM single d JOIN ({over(DECONTAMINATION, "single")}) q USING (doc_id) WHERE NOT q.contaminated
+)
+SELECT d.*, unnest(range(1, taken // size + 1))::INT AS epoch FROM clean d JOIN ({over(MIXING, "clean")}) q USING (doc_id) WHERE taken > 0
+"""
