@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks import answers, classification, generated, ingest, search, streams
+from checks import answers, classification, generated, ingest, roundtrips, search, streams
 
 ALL: dict = {
     **classification.QUERIES,
@@ -11,4 +11,5 @@ ALL: dict = {
     **answers.QUERIES,
     **generated.QUERIES,
     **streams.QUERIES,
+    **roundtrips.QUERIES,
 }
