@@ -246,6 +246,28 @@ def class_weights(spark, sf_dir):
     return weights.select("source", "n", F.round("weight", 9).alias("weight"))
 
 
+_CLASS_WORDS = {c: f"{c}one {c}two {c}three" for c in KNOWN_CATEGORIES}
+
+
+@query(
+    "train_on_disjoint_words",
+    f"SELECT 'doc-' || doc_id AS id, {sql_choice(KNOWN_CATEGORIES, 'doc_id')} AS predicted, true AS sure FROM documents",
+)
+def train_on_disjoint_words(spark, sf_dir):
+    """Where the words of classes have nothing in common, every prediction must be the class itself."""
+    docs = table(spark, sf_dir, "documents")
+    own = choice(KNOWN_CATEGORIES, F.col("doc_id"))
+    words = choice(list(_CLASS_WORDS.values()), F.col("doc_id"))
+    rows = docs.select(
+        F.concat(F.lit("doc-"), "doc_id").alias("id"), F.lit("same title").alias("title"), words.alias("description"), own.alias("category")
+    )
+    model, numbers = classifier.train_classifier(rows)
+    if numbers["accuracy"] != 1.0:
+        raise ValueError(f"accuracy {numbers['accuracy']} where classes are apart")
+    judged = classifier.predict(model, rows.drop("category"))
+    return judged.select("id", "predicted", (F.col("confidence") > 0.9).alias("sure"))
+
+
 @query("train_and_predict", None)
 def train_and_predict(spark, sf_dir):
     """Learn the keyword rule from the labelled documents, then judge all documents."""

@@ -229,12 +229,29 @@ def count_vectors(spark, sf_dir):
     return vector_count(corpus(spark, sf_dir))
 
 
-@query("built_vectors", None)
+# The built-in vectors of all documents.
+_VECTORS = f"""texts AS (
+  SELECT id, title || ' ' || description || CASE WHEN length(resolution) > 0 THEN ' Resolution: ' || resolution ELSE '' END AS t FROM incidents),
+words AS (SELECT id, unnest(regexp_extract_all(lower(t), '[\\pL\\pN_]{{2,}}')) AS word FROM texts),
+tf AS (SELECT id, ('0x' || substr(md5(word), 1, 8))::BIGINT % {embedding.DIMENSION} AS place, count(*)::DOUBLE AS tf FROM words GROUP BY ALL),
+idf AS (SELECT place, ln(((SELECT count(*) FROM incidents) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) AS idf FROM tf GROUP BY place),
+raw AS (SELECT id, place, tf * idf AS w FROM tf JOIN idf USING (place)),
+vectors AS (SELECT id, place, coalesce(w / nullif(sqrt(sum(w * w) OVER (PARTITION BY id)), 0), 0)::FLOAT::DOUBLE AS w FROM raw)"""
+
+
+@query(
+    "built_vectors",
+    f"""WITH {DOCUMENT_INCIDENTS}, {_VECTORS},
+sums AS (SELECT id, sum(w * w) AS square, sum(w * (place % 7 - 3)) AS tilt FROM vectors GROUP BY id)
+SELECT id, category, round(sqrt(coalesce(square, 0)), 4) AS length, round(coalesce(tilt, 0), 2) AS tilt FROM incidents LEFT JOIN sums USING (id)""",
+)
 def built_vectors(spark, sf_dir):
-    """Vectors of all documents from the built-in embedder."""
+    """Vectors of all documents from the built-in embedder, by their length and a weighted sum."""
     vectors, _ = embedding.build_vectors(document_incidents(spark, sf_dir))
-    length = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    return vectors.select("id", "category", F.round(F.sqrt(length), 4).alias("length"))
+    wide = vectors.withColumn("vec", F.col("vec").cast("array<double>"))
+    length = F.aggregate("vec", F.lit(0.0), lambda total, x: total + x * x)
+    tilt = F.aggregate(F.transform("vec", lambda x, i: x * (i % 7 - 3)), F.lit(0.0), lambda total, x: total + x)
+    return wide.select("id", "category", F.round(F.sqrt(length), 4).alias("length"), F.round(tilt, 2).alias("tilt"))
 
 
 @query(
@@ -259,11 +276,18 @@ def embed_with_callers_model(spark, sf_dir):
     )
 
 
-@query("retrieve_for_incidents", None)
+@query(
+    "retrieve_for_incidents",
+    f"""WITH {DOCUMENT_INCIDENTS}, {_VECTORS},
+scores AS (SELECT a.id AS query_id, b.id AS incident_id, sum(a.w * b.w) AS score FROM vectors a JOIN vectors b USING (place) GROUP BY ALL)
+SELECT {_FOUND.replace(SHOWN, 'round(round(score, 6), 3)')} FROM (SELECT query_id, incident_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, incident_id))::INT AS rank
+  FROM scores) JOIN incidents ON incident_id = id WHERE rank <= 3 AND score >= 0.3""",
+)
 def for_incidents(spark, sf_dir):
     """Every document against all documents, by text; it finds itself first, or a copy of it."""
     incidents = document_incidents(spark, sf_dir)
     vectors, embedder = embedding.build_vectors(incidents)
     vectors = cut(vectors, "vectors")
     found = retrieve_for_incidents(incidents, incidents, vectors, 3, 0.3, embedder)
-    return similarity.search_view(found)
+    shown = similarity.search_view(found)
+    return shown.withColumn("similarity_score", F.round("similarity_score", 3))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +24,20 @@ VECTOR_FILTER_COLUMNS = ["category", "severity", "created_at"]
 
 
 def fit_embedder(texts: DataFrame, text_col: str = "text", dim: int = DIMENSION) -> PipelineModel:
-    """Hashed TF-IDF vectors: no vocabulary is kept, so the size stays fixed."""
+    """Hashed TF-IDF vectors: no vocabulary is kept, so the size stays fixed.
+
+    A word's place is the first 32 bits of its MD5 modulo ``dim``, which other engines
+    compute alike.
+    """
+    places = (
+        f"SELECT *, transform(_words, w -> cast(cast(conv(substr(md5(w), 1, 8), 16, 10) AS bigint) % {dim} AS string)) AS _places "
+        "FROM __THIS__"
+    )
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=WORD, gaps=False),
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim),
+            SQLTransformer(statement=places),
+            CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], "_places", "_tf"),
             IDF(inputCol="_tf", outputCol="_tfidf"),
             Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0),
         ]
@@ -40,7 +49,7 @@ def embed(df: DataFrame, embedder: PipelineModel, text_col: str = "text", out: s
     return (
         embedder.transform(df)
         .withColumn(out, vector_to_array("_unit", "float32"))
-        .drop("_words", "_tf", "_tfidf", "_unit")
+        .drop("_words", "_places", "_tf", "_tfidf", "_unit")
     )
 
 
