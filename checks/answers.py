@@ -30,10 +30,8 @@ from triagelake.functions.responses import (
 from triagelake.functions.text import two_decimals
 from triagelake.operators import evaluation, generation, prompts, similarity
 from triagelake.operators.classify import classify
-from triagelake.operators.embedding import build_vectors
 from triagelake.plans.analyze import analyze
 from triagelake.schema import KNOWN_CATEGORIES, SEVERITIES
-from triagelake.session import cut
 
 QUERIES: dict = {}
 
@@ -48,7 +46,7 @@ def query(name: str, sql: str | None):
 
 # --- prompts -------------------------------------------------------------------
 
-_TEMPLATE = "T {title} ({category}, {severity})\n{description}\n{{past}}\n{similar_incidents}\nend"
+PROMPT_TEMPLATE = "T {title} ({category}, {severity})\n{description}\n{{past}}\n{similar_incidents}\nend"
 
 _HITS = f"""{SCORES},
 ranked AS (SELECT query_id, incident_id, least(greatest(round(score, 6), 0), 1) AS score,
@@ -96,7 +94,7 @@ def build_prompts(spark, sf_dir):
     asked = classify(document_incidents(spark, sf_dir)).withColumn(
         "query_id", F.substring("id", 5, 20).cast("bigint")
     )
-    built = prompts.build_prompts(asked, _found(spark, sf_dir), _TEMPLATE)
+    built = prompts.build_prompts(asked, _found(spark, sf_dir), PROMPT_TEMPLATE)
     return built.select("query_id", F.md5("prompt").alias("digest"))
 
 
@@ -295,9 +293,9 @@ def _reply_or_error(text: str, kind: int):
 
 # A turn asks with the vector of the row its number points to, on its own terms.
 ASKED = """asked AS (SELECT conv_id * 100 + turn AS query_id, role || repeat('!', (turn % 4)::INT) AS title, text AS description,
-  (conv_id * 100 + turn) % 500 AS vec_id, (conv_id + turn) % 4 + 1 AS k, ((conv_id + turn) % 5) / 10.0 AS least FROM conversations)"""
+  (conv_id * 100 + turn) % 500 AS vec_id, (conv_id + turn) % 4 + 1 AS k, ((conv_id + turn) % 5) / 10.0 AS least, conv_id FROM conversations)"""
 
-_RELAXED = f"""{SCORES},
+RELAXED = f"""{SCORES},
 ranked AS (SELECT a.query_id, incident_id, score, k, least,
     row_number() OVER (PARTITION BY a.query_id ORDER BY score DESC, incident_id) AS rank
   FROM asked a JOIN scores s ON s.query_id = a.vec_id),
@@ -309,7 +307,7 @@ blocks AS ({_HITS.split("blocks AS (", 1)[1].rsplit(")", 1)[0]}),
 listed AS (SELECT query_id, string_agg(rank || ':' || incident_id || ':' || printf('%.6f', score::DOUBLE) || ':' || md5(description)
     || ':' || source || ':' || epoch_us(created_at), ',' ORDER BY rank) AS hits FROM found GROUP BY query_id)"""
 
-_ASKED_PROMPT = """'T ' || title || ' (' || t.category || ', ' || severity || ')' || chr(10) || description
+ASKED_PROMPT = """'T ' || title || ' (' || t.category || ', ' || severity || ')' || chr(10) || description
   || chr(10) || '{past}' || chr(10) || coalesce(similar_incidents, 'No similar incidents found.') || chr(10) || 'end'"""
 
 
@@ -345,12 +343,12 @@ def listed_hits(hits="similar_incidents"):
 @query(
     "analyze",
     f"""WITH {DOCUMENT_INCIDENTS}, {ASKED},
-{rules_sql.keyword_scores('asked', 'query_id', "title || ' ' || description")}, {_RELAXED},
+{rules_sql.keyword_scores('asked', 'query_id', "title || ' ' || description")}, {RELAXED},
 judged AS (SELECT *, {rules_sql.severity_case("lower(title || ' ' || description)")} AS severity FROM asked)
 SELECT query_id, t.category AS predicted_category, severity AS predicted_severity,
        round(t.confidence, 6) AS category_confidence, {_ANALYZED['root_cause']} AS root_cause_hypothesis,
        {_ANALYZED['citations']} AS citations, {_ANALYZED['attempts']} AS attempts, hits,
-       CASE WHEN length(title) % 4 < 2 THEN md5({_ASKED_PROMPT}) ELSE 'LLM analysis unavailable' END AS summary
+       CASE WHEN length(title) % 4 < 2 THEN md5({ASKED_PROMPT}) ELSE 'LLM analysis unavailable' END AS summary
 FROM judged JOIN by_text t USING (query_id) LEFT JOIN blocks USING (query_id) LEFT JOIN listed USING (query_id)""",
 )
 def analyzed(spark, sf_dir):
@@ -358,7 +356,7 @@ def analyzed(spark, sf_dir):
     asked = asked_turns(table(spark, sf_dir, "conversations"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     done = analyze(
-        asked.join(vectors, "vec_id"), document_incidents(spark, sf_dir), corpus(spark, sf_dir), echo_by_title, template=_TEMPLATE
+        asked.join(vectors, "vec_id"), document_incidents(spark, sf_dir), corpus(spark, sf_dir), echo_by_title, template=PROMPT_TEMPLATE
     )
     return done.select(
         "query_id",

@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import rules_sql
-from checks.answers import outcome_sql, stand_in_by_title
+from checks.answers import (
+    ASKED,
+    ASKED_PROMPT,
+    PROMPT_TEMPLATE,
+    RELAXED,
+    asked_turns,
+    echo_by_title,
+    listed_hits,
+    outcome_sql,
+)
 from checks.tables import (
     DOCUMENT_INCIDENTS,
     SCORES,
@@ -15,8 +24,7 @@ from checks.tables import (
     document_incidents,
     table,
 )
-from triagelake.operators.embedding import build_vectors
-from triagelake.session import cut, scratch_path
+from triagelake.session import scratch_path
 from triagelake.sources.incidents import write_incidents
 from triagelake.streaming import streams
 
@@ -111,35 +119,40 @@ def search_stream(spark, sf_dir):
     return spark.read.parquet(out).drop("batch_id")
 
 
-_OUTCOME = outcome_sql("role")
+_OUTCOME = outcome_sql("title")
 _PROBLEMS = """concat_ws('; ', CASE WHEN conv_id % 9 = 0 THEN 'title must be 1 to 500 characters' END,
-  CASE WHEN length(text) NOT BETWEEN 1 AND 10000 THEN 'description must be 1 to 10000 characters' END)"""
+  CASE WHEN length(description) NOT BETWEEN 1 AND 10000 THEN 'description must be 1 to 10000 characters' END)"""
 
 
 @query(
     "analyze_stream",
-    f"""WITH asked AS (SELECT *, conv_id * 100 + turn AS query_id, nullif({_PROBLEMS}, '') AS problem FROM conversations),
-{rules_sql.keyword_scores('asked', 'query_id', "role || ' ' || text")}
+    f"""WITH {DOCUMENT_INCIDENTS}, {ASKED},
+{rules_sql.keyword_scores('asked', 'query_id', "title || ' ' || description")}, {RELAXED},
+judged AS (SELECT *, {rules_sql.severity_case("lower(title || ' ' || description)")} AS severity, nullif({_PROBLEMS}, '') AS problem FROM asked)
 SELECT query_id, problem IS NULL AS success, problem AS error,
        CASE WHEN problem IS NULL THEN t.category END AS predicted_category,
-       CASE WHEN problem IS NULL THEN {rules_sql.severity_case("lower(role || ' ' || text)")} END AS predicted_severity,
+       CASE WHEN problem IS NULL THEN severity END AS predicted_severity,
        CASE WHEN problem IS NULL THEN {_OUTCOME['attempts']} END AS attempts,
-       CASE WHEN problem IS NULL THEN {_OUTCOME['root_cause']} END AS root_cause_hypothesis
-FROM asked JOIN by_text t USING (query_id)""",
+       CASE WHEN problem IS NULL THEN {_OUTCOME['root_cause']} END AS root_cause_hypothesis,
+       CASE WHEN problem IS NULL THEN hits END AS hits,
+       CASE WHEN problem IS NULL THEN CASE WHEN length(title) % 4 < 2 THEN md5({ASKED_PROMPT}) ELSE 'LLM analysis unavailable' END END AS summary
+FROM judged JOIN by_text t USING (query_id) LEFT JOIN blocks USING (query_id) LEFT JOIN listed USING (query_id)""",
 )
 def analyze_stream(spark, sf_dir):
-    incidents = document_incidents(spark, sf_dir)
-    vectors, embedder = build_vectors(incidents)
-    arriving = table_stream(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"),
-        F.when(F.col("conv_id") % 9 == 0, "").otherwise(F.col("role")).alias("title"),
-        F.col("text").alias("description"),
-    )
+    """All turns as they arrive, each on its own terms; some are out of bounds."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    turns = table_stream(spark, sf_dir, "conversations")
+    asked = asked_turns(turns)
+    bad = F.floor(F.col("query_id") / 100) % 9 == 0
+    arriving = asked.withColumn("title", F.when(bad, "").otherwise(F.col("title"))).join(vectors, "vec_id").drop("vec_id")
     out, checkpoint = scratch_path(spark, "analyzed"), scratch_path(spark, "analyzed-checkpoint")
     finish(
         streams.analyze_stream(
-            arriving, incidents, cut(vectors, "vectors"), stand_in_by_title, out, checkpoint, embedder=embedder
+            arriving, document_incidents(spark, sf_dir), corpus(spark, sf_dir), echo_by_title, out, checkpoint, template=PROMPT_TEMPLATE
         )
     )
     done = spark.read.parquet(out)
-    return done.select("query_id", "success", "error", "predicted_category", "predicted_severity", "attempts", "root_cause_hypothesis")
+    return done.select(
+        "query_id", "success", "error", "predicted_category", "predicted_severity", "attempts", "root_cause_hypothesis",
+        listed_hits().alias("hits"), F.col("analysis_summary").alias("summary"),
+    )
