@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions.binding import bind
-from triagelake.llm.words import lower_ascii, plain_words, text_key, whole, windows
+from triagelake.llm.words import apart, lower_ascii, plain_words, text_key, whole, windows
 from triagelake.session import cut
 
 WINDOW = 10
@@ -137,9 +137,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     """
     if remove not in ("spans", "documents"):
         raise ValueError("remove is 'spans' or 'documents'")
-    rows = with_hits(docs, benchmark, docs.columns, size)
+    packed, back = apart(docs, ("doc_id", "text"))
+    rows = with_hits(packed, benchmark, packed.columns, size)
     if remove == "documents":
-        return rows.where(F.size("_hits") == 0).select(*docs.columns)
+        return back(rows.where(F.size("_hits") == 0))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"({word}{gap}*)"), F.lit(1))
@@ -151,4 +152,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     whole_places = F.sequence(F.lit(0), F.size("_words") - 1)
     kept = bind(F.array_except(whole_places, places), lambda at: bind(pieces, lambda p: F.transform(at, lambda i: F.get(p, i))))
     clean = F.concat(head, F.array_join(kept, ""))
-    return rows.withColumn("text", F.when(F.size("_hits") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    return back(rows.withColumn("text", F.when(F.size("_hits") > 0, clean).otherwise(F.col("text"))))

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triagelake.llm.quality import n_symbols
-from triagelake.llm.words import spaced_words
+from triagelake.llm.words import apart, spaced_words
 from triagelake.session import cut
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -161,8 +161,6 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
         & F.col("source").eqNullSafe(F.col("_from"))
         & (F.size(spaced_words(F.col("text"))) == F.col("_size"))
     )
-    return (
-        docs.join(taken, same)
-        .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .drop("_id", "_from", "_size", "_copies")
-    )
+    packed, back = apart(docs.drop("epoch"), ("doc_id", "source", "text"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
+    return back(packed.join(taken, same).withColumn("epoch", copies), "epoch")

@@ -163,6 +163,11 @@ def quality_cascade(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + OWN_RU
     return docs.withColumn("rejected_by", rejected_by(F.col("text"), order_rules(docs, rules)))
 
 
+def keep_good(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + OWN_RULES) -> DataFrame:
+    """``docs`` without the rows that a rule rejects; all columns stay."""
+    return docs.where(rejected_by(F.col("text"), order_rules(docs, rules)).isNull())
+
+
 def quality_report(docs: DataFrame) -> DataFrame:
     """The base counts of every document and the verdict of all rules."""
     ordered = order_rules(docs, OWN_RULES)

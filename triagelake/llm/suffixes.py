@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.llm.words import text_key
+from triagelake.llm.words import apart, text_key
 from triagelake.session import cut
 
 LENGTH = 400
@@ -494,4 +494,5 @@ def drop_repeated_bytes(docs: DataFrame, most_runs: int = MOST_RUNS) -> DataFram
             columns = [pa.array(texts, batch.column(c).type) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _with_spans(docs, most_runs).mapInArrow(run, docs.schema)
+    packed, back = apart(docs, ("doc_id", "text"))
+    return back(_with_spans(packed, most_runs).mapInArrow(run, packed.schema))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -12,6 +14,24 @@ PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def apart(docs: DataFrame, needed: Sequence[str]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with all but the needed columns packed into one, and a function that unpacks them.
+
+    So a column of the caller cannot clash with one that an operator adds on its way.
+    """
+    others = [c for c in docs.columns if c not in needed]
+    packed = docs.select(
+        *[c for c in docs.columns if c in needed],
+        *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("_rest")] if others else []),
+    )
+
+    def back(out: DataFrame, *more: str) -> DataFrame:
+        own = [F.col(c) if c in needed else F.col("_rest").getField(c).alias(c) for c in docs.columns]
+        return out.select(*own, *[c for c in more if c not in docs.columns])
+
+    return packed, back
+
+
 def whole(text: Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(text, F.lit(""))
