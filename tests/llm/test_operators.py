@@ -339,14 +339,15 @@ def test_chain_feeds_earlier_categories(spark):
         first = i % 3 == 0
         rows.append((i, ("alpha " if first else "") + sentence(rng, 30), int(first), int(first)))
     labelled = spark.createDataFrame(rows, "doc_id long, text string, one int, two int")
-    chain = toxicity.fit_chain(labelled, ("one", "two"))
+    marks = labelled.drop("text")
+    chain = toxicity.fit_chain(labelled, marks, ("one", "two"))
     assert chain["weights"][1][len(chain["active"])] > 0.3
     out = by_id(toxicity.chain_probabilities(labelled.select("doc_id", "text"), chain), "p_two")
     assert all((out[i][0] > 0.5) == bool(y) for i, _, _, y in rows)
     kept = toxicity.keep_clean(labelled, chain, "two", 0.5)
     assert kept.columns == labelled.columns and kept.count() == 200
     with pytest.raises(ValueError):
-        toxicity.fit_chain(labelled.limit(0), ("one", "two"))
+        toxicity.fit_chain(labelled, marks.limit(0), ("one", "two"))
 
 
 def test_empty_tables(spark):

@@ -11,6 +11,7 @@ bound limits. Scoring runs over all texts where they lie.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator, Sequence
 
@@ -30,6 +31,8 @@ FOLDS = 3
 FEATURES = 2**20
 # Beginnings of words that are features beside the whole word.
 STEMS = (4, 6, 8)
+# Words that are scored together.
+BLOCK = 300
 # Features must stand in so many labelled rows.
 LEAST_ROWS = 3
 ITERATIONS = 40
@@ -38,11 +41,22 @@ PENALTY = 3e-4
 REMEMBERED = 500_000
 
 
-def distinct_words(text: str | None) -> set[bytes]:
-    """Words between white space, ASCII in lower case, without punctuation at their ends."""
-    words = {w.strip(b".,;:!?\"'()[]{}#*$%&|<>-") for w in (text or "").encode().lower().split()}
-    words.discard(b"")
-    return words
+def distinct_words(words: list[bytes]) -> set[bytes]:
+    """Words without punctuation at their ends."""
+    found = {w.strip(b".,;:!?\"'()[]{}#*$%&|<>-") for w in words}
+    found.discard(b"")
+    return found
+
+
+def split_words(text: str | None) -> list[bytes]:
+    """Runs between white space, ASCII in lower case."""
+    return (text or "").encode().lower().split()
+
+
+def blocks(words: list[bytes]) -> list[list[bytes]]:
+    """Consecutive words in blocks of ``BLOCK``; a rest under half a block joins the last one."""
+    cuts = list(range(0, max(1, len(words) - BLOCK // 2), BLOCK))
+    return [words[a:b] for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True)]
 
 
 def word_features(word: bytes) -> list[int]:
@@ -91,22 +105,38 @@ def minimised(loss, start: np.ndarray, rounds: int, memory: int = 8) -> np.ndarr
     return x
 
 
+class Sums:
+    """Sums of values over runs of a given length each."""
+
+    def __init__(self, lengths: np.ndarray) -> None:
+        self.n = len(lengths)
+        self.some = np.flatnonzero(lengths)
+        self.starts = (np.cumsum(lengths) - lengths)[self.some]
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if len(self.some):
+            out[self.some] = np.add.reduceat(values, self.starts)
+        return out
+
+
 class Rows:
-    """Sparse rows of ones, plus a few dense columns."""
+    """Sparse rows of ones, kept by row and by column, plus a few dense columns."""
 
     def __init__(self, rows: list[np.ndarray], size: int, dense: np.ndarray) -> None:
-        self.lengths = np.array([len(r) for r in rows])
-        self.columns = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        self.row_of = np.repeat(np.arange(len(rows)), self.lengths)
+        lengths = np.array([len(r) for r in rows], np.int64)
+        self.columns = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        self.by_row = Sums(lengths)
+        row_of = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+        self.rows = row_of[np.argsort(self.columns, kind="stable")]
+        self.by_column = Sums(np.bincount(self.columns, minlength=size))
         self.size, self.dense = size, dense
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
-        words = np.bincount(self.row_of, weights[self.columns], len(self.lengths))
-        return words + self.dense @ weights[self.size :]
+        return self.by_row.of(weights[self.columns]) + self.dense @ weights[self.size :]
 
     def gradient(self, errors: np.ndarray) -> np.ndarray:
-        words = np.bincount(self.columns, errors[self.row_of], self.size)
-        return np.concatenate([words, self.dense.T @ errors])
+        return np.concatenate([self.by_column.of(errors[self.rows]), self.dense.T @ errors])
 
 
 def fitted(rows: Rows, target: np.ndarray) -> np.ndarray:
@@ -128,23 +158,26 @@ def squashed(z: np.ndarray) -> np.ndarray:
     return np.clip(z, -10, 10)
 
 
-def fit_rows(texts: list[str | None], targets: np.ndarray, folds: np.ndarray) -> dict:
-    """The chain for targets in columns: active features, and weights per category."""
-    known: dict[bytes, list[int]] = {}
-    raw = []
-    for text in texts:
-        row: list[int] = []
-        for word in distinct_words(text):
-            if word not in known:
-                known[word] = word_features(word)
-            row += known[word]
-        raw.append(np.array(row, np.int64))
-    known.clear()
-    in_rows = np.bincount(np.concatenate([np.unique(r) for r in raw]) if raw else [], minlength=FEATURES)
+def text_features(text: str | None) -> np.ndarray:
+    return np.array(sorted(f for w in distinct_words(split_words(text)) for f in word_features(w)), np.int32)
+
+
+def fit_rows(raw: list[np.ndarray], targets: np.ndarray, folds: np.ndarray) -> dict:
+    """The chain for targets in columns: active features, and weights per category.
+
+    ``raw`` has the features of each row; it is emptied on the way, as it is the bulk of the memory.
+    """
+    in_rows = np.zeros(FEATURES, np.int32)
+    for row in raw:
+        in_rows[np.unique(row)] += 1
     active = np.flatnonzero(in_rows >= LEAST_ROWS)
-    place = np.full(FEATURES, -1, np.int64)
-    place[active] = np.arange(len(active))
-    rows = [p[p >= 0] for p in (place[r] for r in raw)]
+    place = np.full(FEATURES, -1, np.int32)
+    place[active] = np.arange(len(active), dtype=np.int32)
+    rows = []
+    for i, row in enumerate(raw):
+        there = place[row]
+        rows.append(there[there >= 0])
+        raw[i] = there[:0]
 
     n, categories = targets.shape
     odds = np.zeros((n, 0))
@@ -164,35 +197,48 @@ def fit_rows(texts: list[str | None], targets: np.ndarray, folds: np.ndarray) ->
     return {"active": active, "weights": weights}
 
 
-def labelled_sample(labelled: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
-    """About ``bound`` labelled rows at most, the same ones whenever it is asked."""
-    n = labelled.count()
+def labels_sample(labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
+    """About ``bound`` labels at most, the same ones whenever it is asked."""
+    n = labels.count()
     if n <= bound:
-        return labelled
-    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < int(2**32 * bound / n))
+        return labels
+    return labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < int(2**32 * bound / n))
 
 
-def fit_chain(labelled: DataFrame, categories: Sequence[str] = CHAIN, bound: int = MAX_LABELLED) -> dict:
-    """The chain of ``categories``, in order. ``labelled`` has doc_id, text and a 0/1 column for each.
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CHAIN, bound: int = MAX_LABELLED) -> dict:
+    """The chain of ``categories``, in order, from the texts of ``docs`` and ``labels``.
 
-    Rows with a null in any category are left out; repeated rows count as often as they
-    stand. A category with one value gets a model that leans to it. Without labelled rows there is
+    ``labels`` has doc_id and a 0/1 column per category. Rows with a null in any of them are
+    left out, labels of unknown ids not used; repeated rows count as often as they stand. A
+    category with one value gets a model that leans to it. Without labelled rows there is
     nothing to learn and an error says so.
     """
     names = list(categories)
-    complete = labelled.dropna(subset=names).select("doc_id", "text", *[F.col(c).cast("double").alias(c) for c in names])
-    sample = labelled_sample(cut(complete, "labelled"), bound)
+    complete = labels.dropna(subset=["doc_id", *names]).select(
+        F.col("doc_id").alias("_id"), *[F.col(c).cast("double").alias(f"_mark_{c}") for c in names]
+    )
+    sample = cut(labels_sample(complete.withColumnRenamed("_id", "doc_id"), bound), "labels")
+    # The sample is bounded, so the texts stay where they are.
+    sample = docs.select(F.col("doc_id").alias("_of"), "text").join(F.broadcast(sample), F.col("_of") == F.col("doc_id")).drop("_of")
+    sample = sample.withColumnsRenamed({f"_mark_{c}": c for c in names})
     sample = sample.withColumn("_fold", F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(FOLDS)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b for b in batches if b.num_rows]
+        # Texts become features as they come; only those are held.
+        found = []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("text", "doc_id", "_fold", *names)]
+            for text, doc_id, fold, *marks in zip(*columns, strict=True):
+                found.append((doc_id, fold, marks, text_features(text)))
         if not found:
             return
-        gathered = pa.Table.from_batches(found)
-        order = np.lexsort((np.array(gathered.column("text").to_pandas().fillna("")), gathered.column("doc_id").to_numpy()))
-        gathered = gathered.take(pa.array(order))
-        targets = np.column_stack([gathered.column(c).to_numpy() for c in names])
-        model = fit_rows(gathered.column("text").to_pylist(), targets, gathered.column("_fold").to_numpy())
+        # One order of the rows, whatever order they came in, gives one model.
+        found.sort(key=lambda r: (r[0] is None, r[0] or 0, r[3].tobytes(), r[2]))
+        targets = np.array([r[2] for r in found], np.float64)
+        folds = np.array([r[1] or 0 for r in found])
+        raw = [r[3] for r in found]
+        found.clear()
+        model = fit_rows(raw, targets, folds)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     found = sample.repartition(1).mapInArrow(run, "model binary").collect()  # one row; features bound its size
@@ -202,14 +248,18 @@ def fit_chain(labelled: DataFrame, categories: Sequence[str] = CHAIN, bound: int
 
 
 def chain_probabilities(docs: DataFrame, chain: dict) -> DataFrame:
-    """doc_id and ``p_<category>`` of every row; a null text is an empty one."""
+    """doc_id and ``p_<category>`` of every row; a null text is an empty one.
+
+    A text is scored block by block and has the highest probability of its blocks, so a
+    passage counts the same in a long text as in a short one.
+    """
     names = [f"p_{c}" for c in chain["categories"]]
     known = len(chain["active"])
     # Only weights that count travel; words' scores per category are sums of them.
     model = {
         "active": chain["active"],
         "words": np.column_stack([w[:known] for w in chain["weights"]]).astype(np.float64),
-        "dense": [w[known:] for w in chain["weights"]],
+        "dense": [w[known:].tolist() for w in chain["weights"]],
     }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,13 +279,14 @@ def chain_probabilities(docs: DataFrame, chain: dict) -> DataFrame:
         for batch in batches:
             out = np.zeros((batch.num_rows, len(names)))
             for i, text in enumerate(batch.column("text").to_pylist()):
-                scores = [s for w in sorted(distinct_words(text)) if (s := word_score(w)) is not none]
-                total = np.sum(scores, axis=0) if scores else none
-                odds: list[float] = []
-                for c, dense in enumerate(model["dense"]):
-                    z = total[c] + float(np.dot(dense, [*odds, 1.0]))
-                    odds.append(float(squashed(z)))
-                    out[i, c] = 1 / (1 + np.exp(-min(50.0, max(-50.0, z))))
+                for block in blocks(split_words(text)):
+                    scores = [s for w in sorted(distinct_words(block)) if (s := word_score(w)) is not none]
+                    total = np.sum(scores, axis=0) if scores else none
+                    odds: list[float] = []
+                    for c, dense in enumerate(model["dense"]):
+                        z = total[c] + sum(w * x for w, x in zip(dense, [*odds, 1.0], strict=True))
+                        odds.append(min(10.0, max(-10.0, z)))
+                        out[i, c] = max(out[i, c], 1 / (1 + math.exp(-min(50.0, max(-50.0, z)))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), *[pa.array(out[:, c]) for c in range(len(names))]],
                 names=["doc_id", *names],
@@ -250,15 +301,14 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``labels`` (doc_id, quality, toxic) covers some of the documents. Repeated rows, null ids
     and extra columns of ``docs`` do not matter; labels of unknown ids are not used.
     """
-    marks = labels.select(F.col("doc_id").alias("_id"), (1 - F.col("quality")).alias("low_quality"), "toxic")
-    labelled = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id")).drop("_id")
-    chain = fit_chain(labelled)
+    marks = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = fit_chain(docs, marks)
     return chain_probabilities(docs, chain).withColumn("toxic", F.col("p_toxic") >= LIMIT)
 
 
 def keep_clean(docs: DataFrame, chain: dict, category: str = "toxic", limit: float = LIMIT) -> DataFrame:
     """``docs`` without rows of the category; all columns stay."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    scored = chain_probabilities(docs.withColumn("doc_id", key), chain).where(F.col(f"p_{category}") >= limit)
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    scored = chain_probabilities(docs.select(key.alias("doc_id"), "text"), chain).where(F.col(f"p_{category}") >= limit)
     gone = cut(scored.select(F.col("doc_id").alias("_gone")).distinct(), "toxic-texts")
-    return docs.join(gone, key == F.col("_gone"), "left_anti")
+    return docs.join(gone, key == gone["_gone"], "left_anti")
