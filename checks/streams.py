@@ -77,8 +77,8 @@ def classify_stream(spark, sf_dir):
 @query(
     "ingest_stream",
     f"""WITH {DOCUMENT_INCIDENTS}
-SELECT id, category, md5(description) AS digest, epoch_us(created_at) AS created_us, 1 AS n, NULL AS error FROM incidents
-UNION ALL SELECT 'bad-' || id, NULL, md5(description), NULL, 2, 'invalid source: fax' FROM incidents WHERE source = 'manual'""",
+SELECT id, category, md5(description) AS digest, epoch_us(created_at) AS created_us, 1::BIGINT AS n, NULL::VARCHAR AS error FROM incidents
+UNION ALL SELECT 'bad-' || id, NULL, md5(description), NULL, 2::BIGINT, 'invalid source: fax' FROM incidents WHERE source = 'manual'""",
 )
 def ingest_stream(spark, sf_dir):
     """Files in which every incident occurs twice, and rows from an unknown source among them."""
@@ -108,7 +108,7 @@ def ingest_stream(spark, sf_dir):
 @query(
     "search_stream",
     f"""WITH {SCORES}, {DOCUMENT_INCIDENTS}
-SELECT query_id, rank, incident_id, title, category, severity, least(greatest({SHOWN}, 0), 1) AS similarity_score, NULL AS error FROM (
+SELECT query_id, rank, incident_id, title, category, severity, least(greatest({SHOWN}, 0), 1) AS similarity_score, NULL::VARCHAR AS error FROM (
   SELECT query_id, incident_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, incident_id))::INT AS rank FROM scores)
 JOIN incidents ON incident_id = id WHERE rank <= 10 AND score >= 0""",
 )

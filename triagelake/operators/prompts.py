@@ -33,16 +33,16 @@ Please fix the issue and provide a valid JSON response."""
 # Our own wording; callers with a template of theirs pass it in.
 DEFAULT_TEMPLATE = """A new incident has come in. Work out what is behind it, using the past incidents below.
 
-## New Incident
+## What was reported
 Title: {title}
 Description: {description}
 Category: {category}
 Severity: {severity}
 
-## Similar Past Incidents
+## What happened before
 {similar_incidents}
 
-## Answer
+## What to send back
 
 Reply with one JSON object and nothing else, with these keys:
 {{
