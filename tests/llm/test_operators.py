@@ -374,3 +374,25 @@ def test_words_of_plain_versions_agree(spark, awkward):
     for i, (a, b) in by_id(rows, "a", "b").items():
         text = awkward[i] or ""
         assert a == WORD.findall(text) and b == PLAIN.findall(text.translate(plain.LOWER))
+
+
+def test_crowds_are_compared_by_blocks(spark, monkeypatch):
+    """Documents that share much but too little, a few linked pairs among them."""
+    monkeypatch.setattr(neardup, "FEW_PAIRS", 0.0)
+    monkeypatch.setattr(neardup, "CROWD_BLOCK", 5)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(120)]
+    texts = [" ".join([*passage, *(f"u{i}.{k}" for k in range(26 + i % 7))]) for i in range(40)]
+    texts += [t.replace(" p60 ", " q60 ", 1) for t in rng.sample(texts, 6)]
+    rng.shuffle(texts)
+    found = by_id(neardup.near_duplicates(frame(spark, texts)), "n_shingles", "component_id")
+    assert found == plain.near_duplicates(list(enumerate(texts)))
+
+
+def test_common_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 120))) for _ in range(17)]
+    got = neardup.common_counts(sets[:9], sets[9:], width=64)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[9:]] for a in sets[:9]]

@@ -7,8 +7,10 @@
    of copies cost one row per task.
 3. Classes that share a band key are candidates. First every class of a bucket is held
    against the smallest one of the bucket: pairs grow with the rows, not with their square.
-   What links is merged. Only where a bucket still holds several components are its other
-   pairs formed, inside the join and across components alone.
+   What links is merged. While buckets hold many pairs across components, they are held
+   against other members of theirs in turn, which merges a crowd of near copies quickly.
+   Pairs across components that are left are then formed, inside the join, where a bucket has
+   few; documents of crowded buckets are compared by blocks, which return links alone.
 4. Signatures are compared by counting equal two-bit cells, corrected for cells that agree
    by chance. Pairs far under the threshold are dropped, the rest is decided on full sets.
 """
@@ -39,6 +41,14 @@ LANES = 8  # longs that hold MINIMA cells of BITS bits
 # Estimates have a standard deviation of about 0.034 at the threshold; six of them below it a pair is dropped.
 LEAST_ESTIMATE = 0.55
 
+# Buckets with more pairs across components than so many times their rows are crowded: further stars
+# come first, then comparison by blocks.
+FEW_PAIRS = 2.0
+# Stars in each bucket and turn.
+STARS = 8
+# Documents of a crowd that a task compares with as many others.
+CROWD_BLOCK = 128
+
 SCHEMA = "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>, bands array<long>"
 
 
@@ -164,26 +174,116 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", bind(words, shingles).alias("shingles"))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) of ``pairs`` that link, on full sets."""
+def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sizes and signatures leave a link possible."""
     sizes = classes.select(F.col("node").alias("_n"), F.col("n_shingles").alias("size"), "sig")
     near = (
         pairs.join(sizes.withColumnsRenamed({"_n": "_u", "size": "nu", "sig": "su"}), F.col("u") == F.col("_u"))
         .join(sizes.withColumnsRenamed({"_n": "_v", "size": "nv", "sig": "sv"}), F.col("v") == F.col("_v"))
         .where(alike_in_size(F.col("nu"), F.col("nv")) & (estimate(F.col("su"), F.col("sv")) >= LEAST_ESTIMATE))
-        .select("u", "v", "nu", "nv")
     )
-    near = cut(near, "near-pairs")
-    wanted = cut(near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct(), "near-nodes")
+    return cut(near.select("u", "v"), "near-pairs")
+
+
+def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of ``nodes`` (doc_id). Of an id on several rows, each set counts."""
+    wanted = cut(nodes.distinct(), "near-nodes")
     found = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    # Of an id that stands on several rows, any of the sets may confirm.
-    sets = cut(shingle_sets(found).distinct(), "near-sets")
+    return cut(shingle_sets(found).distinct(), "near-sets")
+
+
+def confirmed(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that link, on full sets."""
     both = near.join(sets.withColumnsRenamed({"doc_id": "_v", "shingles": "right"}), F.col("v") == F.col("_v")).join(
         sets.withColumnsRenamed({"doc_id": "_u", "shingles": "left"}), F.col("u") == F.col("_u")
     )
     common = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - common
-    return both.where(100 * common >= PERCENT * union).select("u", "v").distinct()
+    return cut(both.where(100 * common >= PERCENT * union).select("u", "v").distinct(), "near-links")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right."""
+    lengths = [len(x) for x in (*left, *right)]
+    values, place, held = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    shared = held[place] > 1
+    # Shingles of one set alone add nothing; the others become columns, so many at a time.
+    column = (np.cumsum(held > 1) - 1)[place]
+    row, column = row[shared], column[shared]
+    total = np.zeros((len(left), len(right)))
+    for start in range(0, int(column.max()) + 1 if len(column) else 0, width):
+        here = (column >= start) & (column < start + width)
+        marks = np.zeros((len(lengths), width), np.float32)
+        marks[row[here], column[here] - start] = 1
+        total += marks[: len(left)] @ marks[len(left) :].T
+    return total
+
+
+def crowd_links(crowd: DataFrame) -> DataFrame:
+    """Links (u, v) across components within each crowd, by pairs of bounded blocks.
+
+    ``crowd`` has crowd, node, component, sig and shingles. A task holds two blocks and
+    returns links alone.
+    """
+    sizes = crowd.groupBy(F.col("crowd").alias("_crowd")).agg(F.ceil(F.count("*") / CROWD_BLOCK).cast("int").alias("blocks"))
+    rows = crowd.join(cut(sizes, "crowd-sizes"), F.col("crowd") == F.col("_crowd")).withColumn(
+        "block", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int")
+    )
+    fields = ["node", "component", "sig", "shingles"]
+    first = rows.select("crowd", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *fields)
+    second = rows.select(
+        F.col("crowd").alias("r_crowd"),
+        F.explode(F.sequence(F.lit(0), F.col("block"))).alias("r_i"),
+        F.col("block").alias("r_j"),
+        *[F.col(c).alias(f"r_{c}") for c in fields],
+    )
+
+    def link(a: pa.Table, b: pa.Table) -> pa.Table:
+        if a.num_rows == 0 or b.num_rows == 0:
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        b = b.rename_columns([c.removeprefix("r_") for c in b.column_names])
+        nodes = [t.column("node").to_numpy() for t in (a, b)]
+        parts = [t.column("component").to_numpy() for t in (a, b)]
+        sets = [[np.array(x, np.int64) for x in t.column("shingles").to_pylist()] for t in (a, b)]
+        sigs = [np.array(t.column("sig").to_pylist(), np.int64).view(np.uint64) for t in (a, b)]
+        x = sigs[0][:, None, :] ^ sigs[1][None, :, :]
+        differing = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=2)
+        chance = 1 / 2**BITS
+        near = ((1 - differing / MINIMA) - chance) / (1 - chance) >= LEAST_ESTIMATE
+        near &= parts[0][:, None] != parts[1][None, :]
+        rows_, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        found: list[tuple[int, int]] = []
+        if len(rows_):
+            some = [sets[0][r] for r in rows_], [sets[1][c] for c in columns]
+            common = common_counts(*some)
+            n = [np.array([len(x) for x in part]) for part in some]
+            linked = 100 * common >= PERCENT * (n[0][:, None] + n[1][None, :] - common)
+            linked &= near[np.ix_(rows_, columns)]
+            found = [(int(nodes[0][rows_[r]]), int(nodes[1][columns[c]])) for r, c in np.argwhere(linked)]
+        return pa.table({"u": pa.array([p[0] for p in found], pa.int64()), "v": pa.array([p[1] for p in found], pa.int64())})
+
+    grouped = first.groupBy("crowd", "i", "j").cogroup(second.groupBy("r_crowd", "r_i", "r_j"))
+    return grouped.applyInArrow(link, "u long, v long")
+
+
+def open_buckets(shared: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, node, component) of buckets that hold several components, and per such bucket
+    its rows and the pairs across components."""
+    merged = merged.select(F.col("node").alias("_node"), "component")
+    placed = shared.join(merged, F.col("node") == F.col("_node"), "left").select(
+        "key", "node", F.coalesce("component", "node").alias("component")
+    )
+    placed = cut(placed, "placed")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").cast("double").alias("n"))
+    sizes = sizes.groupBy(F.col("key").alias("_key")).agg(
+        F.count("*").alias("parts"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("inside")
+    )
+    # Two members: the first star has tried their only pair.
+    sizes = sizes.where("parts > 1 and rows > 2").select("_key", "rows", ((F.col("rows") * F.col("rows") - F.col("inside")) / 2).alias("across"))
+    sizes = cut(sizes, "open-keys")
+    rows = placed.join(sizes.select("_key"), F.col("key") == F.col("_key"), "left_semi")
+    return cut(rows, "open-buckets"), sizes
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -218,38 +318,58 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "buckets",
     )
     stars = shared.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    links = cut(confirmed(stars, classes, docs), "star-links")
-    merged = cut(components(links), "star-components")
-
-    # Buckets that still hold several components.
-    placed = shared.join(merged.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component")
-    )
-    placed = cut(placed, "placed")
-    open_keys = (
-        placed.groupBy("key")
-        .agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_n"))
-        # Two members: the star has tried their only pair.
-        .where("_a < _b and _n > 2")
-        .select(F.col("key").alias("_key"))
-    )
-    open_keys = cut(open_keys, "open-keys")
+    near = promising(stars, classes)
+    sets = sets_of(near.select(F.col("u").alias("doc_id")).union(near.select("v")), docs)
+    merged = cut(components(confirmed(near, sets)), "components")
+
+    rest, sizes = open_buckets(shared, merged)
+    sets = sets_of(rest.select(F.col("node").alias("doc_id")), docs)
+    before, turn = float("inf"), 0
+    while True:
+        totals = sizes.agg(F.sum("rows").alias("rows"), F.sum("across").alias("across")).first()
+        left = totals["across"] or 0.0
+        if left <= FEW_PAIRS * (totals["rows"] or 0.0) or left > 0.8 * before:
+            break
+        # Many pairs: stars around a few members of each bucket, in the order of hashes that change
+        # by the turn. Links of a crowd merge it in a turn or two, with a few pairs per row.
+        orders = [F.struct(F.xxhash64(F.lit(turn * STARS + i), "node").alias("h"), "node", "component") for i in range(STARS)]
+        chosen = rest.groupBy(F.col("key").alias("_key")).agg(F.array(*[F.min(order) for order in orders]).alias("centers"))
+        chosen = cut(chosen.select("_key", F.explode(F.array_distinct("centers")).alias("center")), "centers")
+        tries = rest.join(chosen, F.col("key") == F.col("_key")).where("component <> center.component")
+        tries = tries.select(F.least("node", "center.node").alias("u"), F.greatest("node", "center.node").alias("v")).distinct()
+        known = merged.select(F.col("component").alias("u"), F.col("node").alias("v"))
+        merged = cut(components(confirmed(promising(tries, classes), sets).unionByName(known)), "components")
+        rest, sizes = open_buckets(rest.select("key", "node"), merged)
+        before, turn = left, turn + 1
+
+    # What is left: pairs of a bucket where they are few. Crowded buckets that will not merge hold
+    # documents that share much but too little; those that hang together are compared by blocks.
+    few = F.col("across") <= FEW_PAIRS * F.col("rows")
     detail = classes.select(F.col("node").alias("_node"), "n_shingles", "sig")
-    left = placed.join(open_keys, F.col("key") == F.col("_key"), "left_semi").join(detail, F.col("node") == F.col("_node"))
-    left = cut(left.select("key", "node", "component", "n_shingles", "sig"), "open-buckets")
-    right = left.select(*[F.col(c).alias(f"r_{c}") for c in left.columns])
-    rest = left.join(
-        right,
+    one = rest.join(sizes.where(few), F.col("key") == F.col("_key"), "left_semi").join(detail, F.col("node") == F.col("_node"))
+    one = cut(one.drop("_node"), "open-details")
+    other = one.select(*[F.col(c).alias(f"r_{c}") for c in one.columns])
+    pairs = one.join(
+        other,
         (F.col("key") == F.col("r_key"))
         & (F.col("node") < F.col("r_node"))
         & (F.col("component") != F.col("r_component"))
         & alike_in_size(F.col("n_shingles"), F.col("r_n_shingles"))
         & (estimate(F.col("sig"), F.col("r_sig")) >= LEAST_ESTIMATE),
     ).select(F.col("node").alias("u"), F.col("r_node").alias("v"))
-    rest = cut(rest.distinct().join(stars, ["u", "v"], "left_anti"), "open-pairs")
-    more = confirmed(rest, classes, docs)
-
-    named = cut(components(links.unionByName(more).unionByName(several)), "components")
+    pairs = cut(pairs.distinct().join(stars, ["u", "v"], "left_anti"), "near-pairs")
+    links = merged.select(F.col("component").alias("u"), F.col("node").alias("v")).unionByName(confirmed(pairs, sets))
+    crowded = cut(rest.join(sizes.where(~few), F.col("key") == F.col("_key"), "left_semi"), "crowded-buckets")
+    if not crowded.isEmpty():
+        heads_of = cut(crowded.groupBy(F.col("key").alias("_key")).agg(F.min("node").alias("u")), "bucket-heads")
+        hangs = crowded.join(heads_of, F.col("key") == F.col("_key")).select("u", F.col("node").alias("v"))
+        crowds = cut(components(hangs), "crowds").select(F.col("node").alias("_in"), F.col("component").alias("crowd"))
+        members_of = crowded.select("node", "component").distinct().join(crowds, F.col("node") == F.col("_in"))
+        members_of = members_of.join(detail.select("_node", "sig"), F.col("node") == F.col("_node"))
+        members_of = members_of.join(sets, F.col("node") == F.col("doc_id")).select("crowd", "node", "component", "sig", "shingles")
+        links = links.unionByName(cut(crowd_links(cut(members_of, "crowd-rows")), "crowd-links"))
+
+    named = cut(components(links.unionByName(several)), "components")
     named = named.withColumnsRenamed({"node": "_node", "component": "_component"})
     linked = members.join(named, F.col("node") == F.col("_node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("_component", "node").alias("component_id")
@@ -267,4 +387,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     all stay.
     """
     gone = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
