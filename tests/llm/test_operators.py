@@ -320,6 +320,34 @@ def test_reputation_blocks_bad_hosts_and_shrinks_small_ones(spark):
     assert found[601] == "allow" and found[602] == "allow"
 
 
+def test_levels_of_hosts(spark):
+    wanted = {
+        "www.good.co.uk": ("good.co.uk", "co.uk"), "good.co.uk": ("good.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+        "a.github.io": ("a.github.io", "github.io"), "b.s3.amazonaws.com": ("b.s3.amazonaws.com", "s3.amazonaws.com"),
+        "a.example.com:8080": ("example.com", "com"), "example.com.": ("example.com", "com"), "me:pw@x.com.au:1": ("x.com.au", "com.au"),
+        "10.0.1.2": ("10.0.1.2", "10.0.1.2"), "10.0.1.2:80": ("10.0.1.2", "10.0.1.2"), "[::1]:80": ("[::1]", "[::1]"),
+        "localhost": ("localhost", "localhost"), "": ("", ""),
+    }
+    hosts = spark.createDataFrame([(h,) for h in wanted], "host string")
+    found = hosts.select("host", urls.registered_domain(F.col("host")), urls.suffix(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in found} == wanted
+    own = hosts.where("host = 'www.good.co.uk'").select(urls.registered_domain(F.col("host"), ["good.co.uk"])).first()[0]
+    assert own == "www.good.co.uk"
+    with pytest.raises(ValueError):
+        urls.suffix(F.col("host"), [f"s{i}.x" for i in range(urls.MAX_SUFFIXES + 1)])
+
+
+def test_a_bad_registrant_leaves_others_under_its_suffix_alone(spark):
+    pages = [(i, "http://www.spam.co.uk/x") for i in range(300)] + [(1000 + i, f"http://h{i % 30}.good{i % 6}.co.uk/x") for i in range(240)]
+    pages += [(2000, "http://shop.good1.co.uk/"), (2001, "http://new.spam.co.uk:8080/")]
+    marks = [(i, False) for i in range(300)] + [(1000 + i, True) for i in range(240)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    judged = urls.url_verdicts(df, spark.createDataFrame(marks, "page_id long, good boolean"))
+    found = {r["page_id"]: r["verdict"] for r in judged.collect()}
+    assert found[2000] == "allow" and found[1000] == "allow"
+    assert found[0] == "block" and found[2001] == "block"
+
+
 def test_toxicity_on_rows_not_learned_from(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     mine = labels.where("doc_id % 4 <> 0")

@@ -5,11 +5,13 @@ priors: the suffix towards all pages, the registered domain towards its suffix,
 towards its domain. How strongly a level pulls is estimated from the spread of good rates
 among its members (method of moments). A page whose host's lower posterior bound is under
 the limit is blocked. Hosts without labels stand at the posterior of the nearest level
-that has them.
+that has them. Suffixes of several labels (co.uk) come from a bounded list, a parameter; a
+suffix is the last label where none of them fits. An IP address is its own domain and suffix.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,59 @@ LIMIT = 0.5
 # Bounds of a prior's strength in labelled pages.
 STRENGTH = (2.0, 1000.0)
 
+# Suffixes of several labels under which anyone can register, by their last label.
+_SHARED = {
+    "uk": "ac co gov ltd me net nhs org plc police sch",
+    "au": "asn com edu gov id net org",
+    "nz": "ac co geek gen govt iwi kiwi maori mil net org school",
+    "jp": "ac ad co ed go gr lg ne or",
+    "kr": "ac co go ne or pe re",
+    "cn": "ac com edu gov net org",
+    "tw": "com edu gov idv net org",
+    "hk": "com edu gov idv net org",
+    "sg": "com edu gov net org per",
+    "my": "com edu gov mil name net org",
+    "th": "ac co go in mi net or",
+    "id": "ac co go my net or sch web",
+    "ph": "com edu gov net ngo org",
+    "vn": "com edu gov net org",
+    "in": "ac co edu firm gen gov ind net nic org res",
+    "pk": "com edu gov net org",
+    "bd": "ac com edu gov net org",
+    "lk": "ac com edu gov net org",
+    "za": "ac co gov law mil net nom org web",
+    "ke": "ac co go me ne or sc",
+    "ng": "com edu gov net org",
+    "eg": "com edu gov net org",
+    "il": "ac co gov k12 muni net org",
+    "sa": "com edu gov med net org sch",
+    "tr": "av bel com edu gen gov k12 net org web",
+    "ua": "com edu gov in kiev kyiv lviv net odessa org",
+    "pl": "com edu gov info net org waw",
+    "pt": "com edu gov org",
+    "es": "com edu gob nom org",
+    "gr": "com edu gov net org",
+    "at": "ac co gv or",
+    "hu": "co info org",
+    "br": "art blog com edu eco gov ind jus leg mil net org",
+    "ar": "com edu gob int net org tur",
+    "mx": "com edu gob net org",
+    "co": "com edu gov net nom org",
+    "pe": "com edu gob net org",
+    "ve": "co com edu gob net org",
+    "uy": "com edu gub net org",
+    "ec": "com edu gob net org",
+    "io": "github gitlab readthedocs",
+    "com": "appspot blogspot firebaseapp herokuapp s3.amazonaws wordpress",
+    "net": "azurewebsites cloudfront",
+    "app": "netlify vercel web",
+    "dev": "fly pages workers",
+    "org": "neocities",
+}
+SUFFIXES = tuple(f"{part}.{last}" for last, parts in _SHARED.items() for part in parts.split())
+# Suffixes are a parameter that goes to every task; more than this are refused.
+MAX_SUFFIXES = 20_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -70,13 +125,42 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.lit(None).cast("struct<name:string,verdict:string>") if chain is F else chain
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels of a host (all of a shorter one)."""
-    return F.substring_index(host, ".", -2)
+def named(host: Column) -> Column:
+    """The host for its levels: without a user's name, a port and dots at the end."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+    return F.regexp_replace(bare, r"\.+$", "")
+
+
+def is_address(name: Column) -> Column:
+    """Whether it is an IP address, of version 6 in brackets."""
+    return name.rlike(r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$")
+
+
+def suffix(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The longest of ``suffixes`` that ends the host, or else its last label; addresses stay whole."""
+    return _levels(host, suffixes)[1]
+
+
+def registered_domain(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The suffix of a host and the label before it (all of a shorter one); addresses stay whole."""
+    return _levels(host, suffixes)[0]
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def _levels(host: Column, suffixes: Sequence[str]) -> tuple[Column, Column]:
+    if len(suffixes) > MAX_SUFFIXES:
+        raise ValueError(f"more than {MAX_SUFFIXES} suffixes")
+    name = named(host)
+    by_labels: dict[int, set[str]] = {}
+    for each in suffixes:
+        by_labels.setdefault(each.count(".") + 1, set()).add(each)
+    domain_of = F.when(is_address(name), name)
+    suffix_of = F.when(is_address(name), name)
+    for labels in sorted(by_labels, reverse=True):
+        end = F.substring_index(name, ".", -labels)
+        fits = end.isin(sorted(by_labels[labels]))
+        domain_of = domain_of.when(fits, F.substring_index(name, ".", -labels - 1))
+        suffix_of = suffix_of.when(fits, end)
+    return domain_of.otherwise(F.substring_index(name, ".", -2)), suffix_of.otherwise(F.substring_index(name, ".", -1))
 
 
 def _strength(n: Column, good: Column) -> Column:
@@ -96,7 +180,7 @@ def _strength(n: Column, good: Column) -> Column:
     return F.least(F.lit(STRENGTH[1]), F.greatest(F.lit(STRENGTH[0]), F.coalesce(found, F.lit(STRENGTH[1]))))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Posterior bound of every host of ``pages``.
 
     ``pages`` has page_id and host, ``outcomes`` page_id and good (boolean). Returns host,
@@ -110,8 +194,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     hosts = pages.select("host").distinct().withColumnRenamed("host", "_host")
     counts = hosts.join(labelled, F.col("_host") == F.col("host"), "left").select(
         F.col("_host").alias("host"),
-        registered_domain(F.col("_host")).alias("domain"),
-        suffix(F.col("_host")).alias("suffix"),
+        registered_domain(F.col("_host"), suffixes).alias("domain"),
+        suffix(F.col("_host"), suffixes).alias("suffix"),
         F.coalesce("n", F.lit(0.0)).alias("n"),
         F.coalesce("good", F.lit(0.0)).alias("good"),
     )
@@ -121,8 +205,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     domains = with_labels.groupBy("domain", "suffix").agg(
         *sums, _strength(F.col("n"), F.col("good")).alias("pull")
     )
-    suffixes = domains.groupBy("suffix").agg(*sums, _strength(F.col("n"), F.col("good")).alias("pull"))
-    top = suffixes.agg(*sums, _strength(F.col("n"), F.col("good")).alias("pull"))
+    ends = domains.groupBy("suffix").agg(*sums, _strength(F.col("n"), F.col("good")).alias("pull"))
+    top = ends.agg(*sums, _strength(F.col("n"), F.col("good")).alias("pull"))
 
     top = top.select(
         F.coalesce(F.try_divide("good", "n"), F.lit(0.5)).alias("top_mean"),
@@ -133,8 +217,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
         return (good + pull * mean) / (n + pull)
 
     # One row stands for all pages, so it reaches every suffix by an equal constant.
-    suffixes = (
-        suffixes.withColumn("_one", F.lit(1))
+    ends = (
+        ends.withColumn("_one", F.lit(1))
         .join(F.broadcast(top.withColumn("_one", F.lit(1))), "_one")
         .select(
             F.col("suffix").alias("_suffix"),
@@ -142,7 +226,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
             F.col("pull").alias("suffix_pull"),
         )
     )
-    domains = domains.join(suffixes, F.col("suffix") == F.col("_suffix")).select(
+    domains = domains.join(ends, F.col("suffix") == F.col("_suffix")).select(
         F.col("domain").alias("_domain"),
         shrunk(F.col("good"), F.col("n"), F.col("suffix_mean"), F.col("suffix_pull")).alias("domain_mean"),
         F.col("pull").alias("domain_pull"),
@@ -150,7 +234,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     placed = (
         counts.withColumn("_one", F.lit(1))
         .join(F.broadcast(top.withColumn("_one", F.lit(1))), "_one")
-        .join(suffixes, F.col("suffix") == F.col("_suffix"), "left")
+        .join(ends, F.col("suffix") == F.col("_suffix"), "left")
         .join(domains, F.col("domain") == F.col("_domain"), "left")
     )
     mean = F.coalesce("domain_mean", "suffix_mean", "top_mean")
@@ -167,14 +251,16 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, suffixes: Sequence[str] = SUFFIXES
+) -> DataFrame:
     """``pages`` with host, path, rule, bound and verdict (allow or block).
 
     A null url, or one without ``://``, has an empty host and path; it is judged like any
     other host. Columns of these names are replaced, repeated rows are judged alike.
     """
     parsed = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    bounds = host_reputation(parsed.select("page_id", "host"), outcomes).select(
+    bounds = host_reputation(parsed.select("page_id", "host"), outcomes, suffixes).select(
         F.col("host").alias("_of"), F.col("bound").alias("_bound")
     )
     bounds = cut(bounds, "host-bounds")
