@@ -228,6 +228,32 @@ def test_license_join_finds_every_block(spark):
     assert got == want and want
 
 
+def wrapped(words, rng, lead):
+    """Words over lines of a few words, each with what starts a comment."""
+    lines, at = [], 0
+    while at < len(words):
+        step = rng.randrange(3, 9)
+        lines.append(lead + " ".join(words[at : at + step]))
+        at += step
+    return "\n".join(lines)
+
+
+def test_licenses_wrapped_over_lines(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    rng = random.Random(7)
+    texts, want = [bsd, bsd.replace("\n", "\n\n * ")], ["bsd", "bsd"]
+    for label, notice in licenses.TEMPLATES[:5]:
+        for lead in ("", " * ", "# "):
+            words = [*sentence(rng, rng.randrange(90)).split(), *notice.split(), *sentence(rng, rng.randrange(90)).split()]
+            texts.append(wrapped(words, rng, lead))
+            want.append(label)
+    texts.append("mit of a thing\n" + wrapped(sentence(rng, 60).split(), rng, "") + "\nreleased under the license")
+    want.append("")
+    found = by_id(licenses.license_report(frame(spark, texts)), "labels", "score")
+    assert [found[i][0] for i in range(len(texts))] == want
+    assert all((found[i][1] >= licenses.CONTAINED) == bool(label) for i, label in enumerate(want))
+
+
 def test_token_counts(spark, awkward):
     from tokenizers import Tokenizer
 

@@ -1,28 +1,35 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line. It matches a template when it holds at least ``CONTAINED`` of the
-template's distinct words. Words are ordered by how many blocks of the corpus hold them,
+A block is a line, or a window of words over line ends. It matches a template when it holds
+at least ``CONTAINED`` of the template's distinct words. Words are ordered by how many blocks of the corpus hold them,
 rarest first. A block that matches shares one of the template's first
 ``size - needed + 1`` words in that order (prefix filter) and has at least ``needed`` of
 the templates' words (length filter); where the first shared word stands in both bounds
 what they can still share (positional filter). What passes is counted in full.
+
+Windows are twice as long as their template and start every half of it, so a notice with up
+to half as many words between its own falls into one whole. Only texts that hold enough of
+a template's words anywhere are cut into blocks; prefix filter and counts find them.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions.binding import bind
-from triagelake.llm.words import lower_ascii, plain_words, text_key, whole
+from triagelake.llm.words import PUNCTUATION, UPPER, lower_ascii, plain_words, text_key, whole
 from triagelake.session import cut
 
 # Phrase and label of the base scan.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
+_LOWER = str.maketrans(UPPER, UPPER.lower())
+
 # Notices as texts usually state them, with labels.
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
@@ -126,6 +133,75 @@ def template_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEM
     )
 
 
+def _sequences(templates: Sequence[tuple[str, str]]) -> list[tuple[int, str, list[str]]]:
+    """(number, label, words in order) of the templates that have words."""
+    found = []
+    for i, (label, text) in enumerate(templates):
+        words = [w for w in re.split(PUNCTUATION, text.translate(_LOWER)) if w]
+        if words:
+            found.append((i, label, words))
+    return found
+
+
+def notice_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
+    """Texts and the labels of templates that one of their blocks matches: doc_id, _key (of the text), label, score.
+
+    Blocks are the lines, and windows of words over line ends. ``score`` is the largest share
+    of a template with that label that a matching block holds.
+    """
+    spark = docs.sparkSession
+    sets = _sequences(templates)
+    vocabulary = sorted({w for _, _, words in sets for w in words})
+    if len(vocabulary) > MAX_TEMPLATE_WORDS:
+        raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} distinct words")
+    if not sets:
+        return spark.createDataFrame([], "doc_id long, _key long, label string, score double")
+
+    held = F.array_distinct(F.filter(plain_words(lower_ascii(whole(F.col("text")))), lambda w: w.isin(vocabulary)))
+    texts = docs.select("doc_id", "text", held.alias("held"))
+    counted = texts.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
+    frequency = {r["word"]: r["n"] for r in counted}  # at most one row per word of the templates
+    index = []
+    for _, label, words in sets:
+        distinct = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
+        needed = math.ceil(contained * len(distinct) - 1e-9)
+        prefix = distinct[: len(distinct) - needed + 1]
+        index += [(word, label, distinct, prefix, needed, len(words)) for word in prefix]
+    side = F.broadcast(
+        spark.createDataFrame(
+            index, "word string, label string, words array<string>, prefix array<string>, needed int, length int"
+        )
+    )
+    first = sorted({row[0] for row in index})
+    asked = texts.select("doc_id", "text", "held", F.explode(F.filter("held", lambda w: w.isin(first))).alias("word"))
+    # Each text and template meet at the first word of the prefix that the text holds.
+    passed = (
+        asked.join(side, "word")
+        .where(F.size("held") >= F.col("needed"))
+        .where(F.get(F.array_intersect("prefix", "held"), F.lit(0)) == F.col("word"))
+        .where(F.size(F.array_intersect("held", "words")) >= F.col("needed"))
+    )
+
+    def shared(block: Column) -> Column:
+        return F.size(F.array_intersect(block, F.col("words")))
+
+    stride = F.greatest(F.lit(1), F.floor(F.col("length") / 2).cast("int"))
+
+    def best_window(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words)), stride)
+        return F.array_max(F.transform(starts, lambda k: shared(F.slice(words, k, 2 * F.col("length")))))
+
+    lower = lower_ascii(whole(F.col("text")))
+    best_line = F.array_max(F.transform(F.split(lower, "\n"), lambda line: shared(plain_words(line))))
+    best = F.greatest(best_line, bind(plain_words(lower), best_window))
+    scored = passed.select("doc_id", text_key(F.col("text")).alias("_key"), "label", "needed", F.size("words").alias("size"), best.alias("best"))
+    return (
+        scored.groupBy("doc_id", "_key", "label")
+        .agg(F.max(F.when(F.col("best") >= F.col("needed"), F.col("best") / F.col("size"))).alias("score"))
+        .where("score is not null")
+    )
+
+
 def license_report(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -133,7 +209,7 @@ def license_report(docs: DataFrame) -> DataFrame:
     of a template that a block holds, if it matches, else 0. Rows that share an id are told
     apart by their texts.
     """
-    found = template_matches(docs).groupBy("doc_id", "_key").agg(
+    found = notice_matches(docs).groupBy("doc_id", "_key").agg(
         F.collect_set("label").alias("_labels"), F.max("score").alias("_score")
     )
     found = cut(found, "license-matches").withColumnsRenamed({"doc_id": "_id", "_key": "_text_key"})
