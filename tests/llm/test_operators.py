@@ -254,6 +254,22 @@ def test_licenses_wrapped_over_lines(spark):
     assert all((found[i][1] >= licenses.CONTAINED) == bool(label) for i, label in enumerate(want))
 
 
+def test_every_template_is_found_wrapped_and_told_from_others(spark):
+    rng = random.Random(17)
+    texts = []
+    for _, notice in licenses.TEMPLATES:
+        words = [*sentence(rng, rng.randrange(200)).split(), *notice.split(), *sentence(rng, rng.randrange(200)).split()]
+        texts.append(wrapped(words, rng, "// "))
+    texts += ["Permission is hereby granted, free of charge, to nobody", None]
+    found = by_id(licenses.license_report(frame(spark, texts)), "labels")
+    told = {*licenses.TELLING, "mpl-2.0", "mpl-1.1", "isc", "zlib", "unlicense", "cc0-1.0", "epl-2.0", "bsl-1.0"}
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        labels = found[i][0].split(",")
+        assert label in labels
+        assert not (told & set(labels)) - {label}, (label, labels)
+    assert found[len(texts) - 2] == ("",) and found[len(texts) - 1] == ("",)
+
+
 def test_token_counts(spark, awkward):
     from tokenizers import Tokenizer
 

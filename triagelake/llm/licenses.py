@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions.binding import bind
+from triagelake.llm.notices import NOTICES, TELLING, VERSIONS
 from triagelake.llm.words import PUNCTUATION, UPPER, lower_ascii, plain_words, text_key, whole
 from triagelake.session import cut
 
@@ -30,13 +31,14 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 
 _LOWER = str.maketrans(UPPER, UPPER.lower())
 
-# Notices as texts usually state them, with labels.
+# Notices as texts usually state them, with labels; those of ``NOTICES`` in their licences' own words.
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
     ("apache", "Licensed under the Apache License, Version 2.0."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    *NOTICES,
 )
 CONTAINED = 0.9
 # Templates are a parameter that goes to every task; more words than this are refused.
@@ -143,11 +145,17 @@ def _sequences(templates: Sequence[tuple[str, str]]) -> list[tuple[int, str, lis
     return found
 
 
+def _run(phrase: str | None) -> str | None:
+    """The words of a phrase as they stand in joined blocks."""
+    return phrase and " " + " ".join(w for w in re.split(PUNCTUATION, phrase.translate(_LOWER)) if w) + " "
+
+
 def notice_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """Texts and the labels of templates that one of their blocks matches: doc_id, _key (of the text), label, score.
 
     Blocks are the lines, and windows of words over line ends. ``score`` is the largest share
-    of a template with that label that a matching block holds.
+    of a template with that label that a matching block holds. Of a label in ``TELLING`` or
+    ``VERSIONS`` the block must hold those words one after the other, too.
     """
     spark = docs.sparkSession
     sets = _sequences(templates)
@@ -166,10 +174,11 @@ def notice_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
         distinct = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
         needed = math.ceil(contained * len(distinct) - 1e-9)
         prefix = distinct[: len(distinct) - needed + 1]
-        index += [(word, label, distinct, prefix, needed, len(words)) for word in prefix]
+        runs = [r for r in (_run(TELLING.get(label)), _run(VERSIONS.get(label))) if r]
+        index += [(word, label, distinct, prefix, needed, len(words), runs) for word in prefix]
     side = F.broadcast(
         spark.createDataFrame(
-            index, "word string, label string, words array<string>, prefix array<string>, needed int, length int"
+            index, "word string, label string, words array<string>, prefix array<string>, needed int, length int, runs array<string>"
         )
     )
     first = sorted({row[0] for row in index})
@@ -183,7 +192,9 @@ def notice_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     )
 
     def shared(block: Column) -> Column:
-        return F.size(F.array_intersect(block, F.col("words")))
+        joined = F.concat(F.lit(" "), F.array_join(block, " "), F.lit(" "))
+        tells = F.forall("runs", lambda r: joined.contains(r))
+        return F.when(tells, F.size(F.array_intersect(block, F.col("words")))).otherwise(0)
 
     stride = F.greatest(F.lit(1), F.floor(F.col("length") / 2).cast("int"))
 
