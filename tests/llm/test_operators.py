@@ -182,6 +182,45 @@ def test_lines(spark, edits):
     assert found == plain.lines(list(enumerate(texts)), edits, lines.LEAST_LENGTH)
 
 
+def test_lines_with_edits_that_grow(spark):
+    rng = random.Random(21)
+    pool = ["".join(rng.choice("abcde é") for _ in range(n)).strip() for n in (18, 21, 24, 30, 39, 41, 59, 61, 79, 85, 120, 178, 190, 260, 420)]
+
+    def changed(line):
+        some = list(line)
+        for _ in range(rng.randrange(len(line) // 20 + 2)):
+            at = rng.randrange(len(some))
+            some[at : at + rng.randrange(2)] = rng.choice(["", "x", "y"])
+        return "".join(some).strip() or "x"
+
+    texts = ["\n".join(changed(rng.choice(pool)) for _ in range(6)) for _ in range(60)] + [None, "", "\n\n"]
+    places = {}
+    for i, text in enumerate(texts):
+        for at, line in enumerate(dict.fromkeys(x for x in (text or "").split("\n") if x)):
+            places.setdefault(line, []).append((i, at))
+    later = {
+        max(a, b, key=lambda line: places[line][0])
+        for a in places for b in places
+        if a < b and abs(len(a) - len(b)) <= 30 and plain.distance(a, b) <= max(len(a), len(b)) // 20
+    }
+    gone = [0] * len(texts)
+    for line, where in places.items():
+        for i, _ in where:
+            gone[i] += line in later or i != where[0][0]
+    found = by_id(lines.line_report(frame(spark, texts)), "n_repeated")
+    assert [found[i][0] for i in range(len(texts))] == gone
+    assert any(len(line) > 150 for line in later) and any(len(line) < lines.LEAST_LENGTH for line in later)
+
+
+def test_distance_of_long_lines():
+    rng = random.Random(2)
+    for _ in range(300):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(60)))
+        b = "".join(rng.choice("abc") for _ in range(rng.randrange(60))) if rng.random() < 0.3 else a[:20] + a[23:40] + "xy" + a[41:]
+        for edits in (5, 6, 9, 20):
+            assert lines.within(a, b, edits) == (plain.distance(a, b) <= edits)
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(3000):
