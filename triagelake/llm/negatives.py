@@ -32,9 +32,11 @@ LOW, HIGH = 50, 95
 SCALE = 256
 
 SHARD_ROWS = 4096
-BLOCK_ROWS = 512
+BLOCK_ROWS = 1024
 LEAF_ROWS = 64
 SHRINK = 1.3
+# Balls opened at a time, at first and at most.
+FIRST_BALLS, MOST_BALLS = 8, 256
 # Scores up to here are whole numbers in double precision.
 EXACT = float(1 << 53)
 
@@ -269,22 +271,30 @@ def grow(points: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 class Windows:
-    """For each window, a query's range of scores, the best ``k`` rows found so far."""
+    """For each window, a query's range of scores, the best ``k`` rows found so far. Windows come query by query."""
 
     def __init__(self, query: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, same_label: bool) -> None:
         self.query, self.low, self.high, self.k, self.same_label = query, low.astype(float), high.astype(float), k, same_label
         self.least = self.low.copy()
+        self.first = np.searchsorted(query, np.arange(query[-1] + 1))
+        self.many = np.diff(np.append(self.first, len(query)))
         self.window = np.zeros(0, dtype=int)
         self.ids = np.zeros(0, dtype=np.int64)
         self.scores = np.zeros(0)
 
-    def open(self, below: np.ndarray, above: np.ndarray) -> np.ndarray:
-        """Windows (rows) that a node (columns) with such bounds can still add to."""
-        return (above[self.query] >= self.least[:, None]) & (below[self.query] <= self.high[:, None])
-
-    def add(self, windows: np.ndarray, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        window = np.concatenate([self.window, windows[rows]])
-        ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
+    def ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per query, the range of scores that can still add to one of its windows."""
+        return np.minimum.reduceat(self.least, self.first), np.maximum.reduceat(self.high, self.first)
+
+    def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows by query: each goes to all windows of the query that it fits in."""
+        many = self.many[queries]
+        hit = np.repeat(np.arange(len(queries)), many)
+        window = self.first[queries][hit] + np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many)
+        fits = (scores[hit] >= self.least[window]) & (scores[hit] <= self.high[window])
+        window, hit = window[fits], hit[fits]
+        window = np.concatenate([self.window, window])
+        ids, scores = np.concatenate([self.ids, ids[hit]]), np.concatenate([self.scores, scores[hit]])
         order = np.lexsort((ids, -scores, window))
         window, ids, scores = window[order], ids[order], scores[order]
         rank = np.arange(len(window)) - np.searchsorted(window, window)
@@ -295,37 +305,46 @@ class Windows:
 
 
 def searched(tree: CoverTree, block: pa.Table, dim: int, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, id, score) of the best rows of the tree, by best-first descent for the whole block."""
+    """(window, id, score) of the best rows of the tree, by best-first descent for the whole block.
+
+    The best balls are opened several at a time, few at first, more once the windows have filled.
+    """
     queries = matrix(block["v"], dim)
     own = block["id"].to_numpy()
     names = {name: code for code, name in enumerate(tree.names.tolist())}
     codes = np.array([names.get(x, -1) for x in block["label"].to_pylist()])
+
+    def still(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(open or not by query and node, greatest score of each node over open queries)."""
+        below, above = tree.bounds(queries, nodes)
+        least, most = windows.ranges()
+        wanted = (above >= least[:, None]) & (below <= most[:, None])
+        return wanted, np.where(wanted, above, -np.inf).max(axis=0)
+
     waiting: list[tuple[float, int]] = [(0.0, 0)]
+    together = FIRST_BALLS
     while waiting:
-        _, node = heappop(waiting)
-        below, above = tree.bounds(queries, np.array([node]))
-        wanted = np.nonzero(windows.open(below, above)[:, 0])[0]
-        if not len(wanted):
-            continue
-        if tree.first[node] >= 0:
-            children = np.arange(tree.first[node], tree.last[node])
-            below, above = tree.bounds(queries, children)
-            open_ = windows.open(below, above)
-            best = np.where(open_, above[windows.query], -np.inf).max(axis=0)
-            for child in np.nonzero(open_.any(axis=0))[0]:
+        nodes = np.array([heappop(waiting)[1] for _ in range(min(together, len(waiting)))])
+        together = min(2 * together, MOST_BALLS)
+        wanted, _ = still(nodes)
+        kept = wanted.any(axis=0)
+        nodes, wanted = nodes[kept], wanted[:, kept]
+        inner = tree.first[nodes] >= 0
+        if inner.any():
+            children = np.concatenate([np.arange(tree.first[n], tree.last[n]) for n in nodes[inner]])
+            opened, best = still(children)
+            for child in np.nonzero(opened.any(axis=0))[0]:
                 heappush(waiting, (-best[child], int(children[child])))
-            continue
-        start, stop = tree.start[node], tree.stop[node]
-        asked, place = np.unique(windows.query[wanted], return_inverse=True)
-        scores = queries[asked] @ tree.rows[start:stop].T
-        alike = codes[asked][:, None] == tree.codes[None, start:stop]
-        if windows.same_label:
-            fits = alike & (own[asked][:, None] != tree.ids[None, start:stop])
-        else:
-            fits = ~alike
-        scores = np.where(fits, scores, -np.inf)[place]
-        inside = (scores >= windows.least[wanted][:, None]) & (scores <= windows.high[wanted][:, None])
-        rows, columns = np.nonzero(inside)
-        if len(rows):
-            windows.add(wanted, rows, tree.ids[start:stop][columns], scores[rows, columns])
+        leaves = nodes[~inner]
+        if len(leaves):
+            rows = np.concatenate([np.arange(tree.start[n], tree.stop[n]) for n in leaves])
+            asked = np.nonzero(wanted[:, ~inner].any(axis=1))[0]
+            scores = queries[asked] @ tree.rows[rows].T
+            least, most = windows.ranges()
+            inside = (scores >= least[asked][:, None]) & (scores <= most[asked][:, None])
+            inside &= (codes[asked][:, None] == tree.codes[rows][None]) == windows.same_label
+            q, r = np.nonzero(inside)
+            other = own[asked[q]] != tree.ids[rows[r]]
+            q, r = q[other], r[other]
+            windows.add(asked[q], tree.ids[rows[r]], scores[q, r])
     return windows.window, windows.ids, windows.scores.astype(np.int64)
