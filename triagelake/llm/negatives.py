@@ -32,6 +32,8 @@ LOW, HIGH = 50, 95
 SCALE = 256
 
 SHARD_ROWS = 4096
+# Labels with fewer rows than such a part of a shard share shards.
+SMALL_PART = 8
 BLOCK_ROWS = 1024
 LEAF_ROWS = 64
 SHRINK = 1.3
@@ -96,12 +98,12 @@ def _scaled(vectors: DataFrame, scale: int) -> DataFrame:
 def _placed(rows: DataFrame) -> DataFrame:
     """Rows with their family and shard.
 
-    A family is a label with more rows than a shard holds, dealt out by id, or a pool of
+    A family is a label, dealt out by id if it has more rows than a shard holds, or a pool of
     small labels. Shards are numbered through, ``shards`` is their number; all per vector length.
     The running sum that numbers them is over one row per family.
     """
     labels = cut(rows.groupBy("dim", "label").agg(F.count("*").alias("n")), "labels")
-    large = F.col("n") > SHARD_ROWS
+    large = F.col("n") > SHARD_ROWS // SMALL_PART
     pools = labels.groupBy("dim").agg(F.ceil(F.sum(F.when(large, 0).otherwise(F.col("n"))) / SHARD_ROWS).alias("_pools"))
     labels = labels.join(pools, "dim").select(
         "dim",
