@@ -74,35 +74,59 @@ def classify_stream(spark, sf_dir):
     return spark.read.schema(judged.schema).parquet(out)
 
 
+_REVISED = "n_chars % 4 = 0"
+_REPEATED = "n_chars % 4 = 1"
+_RESTORED = "n_chars % 8 = 0"
+_UNSEEN = "n_chars % 5 = 0"
+
+
 @query(
     "ingest_stream",
-    f"""WITH {DOCUMENT_INCIDENTS}
-SELECT id, category, md5(description) AS digest, epoch_us(created_at) AS created_us, 1::BIGINT AS n, NULL::VARCHAR AS error FROM incidents
-UNION ALL SELECT 'bad-' || id, NULL, md5(description), NULL, 2::BIGINT, 'invalid source: fax' FROM incidents WHERE source = 'manual'""",
+    f"""WITH {DOCUMENT_INCIDENTS}, sized AS (SELECT i.*, d.n_chars FROM incidents i JOIN documents d ON i.id = 'doc-' || d.doc_id),
+revised AS (SELECT * REPLACE (description || ' (revised)' AS description, created_at - INTERVAL 300 DAY AS created_at) FROM sized WHERE {_REVISED}),
+unseen AS (SELECT * REPLACE ('late-' || id AS id, created_at - INTERVAL 700 DAY AS created_at) FROM sized WHERE {_UNSEEN}),
+arrived AS (
+  SELECT *, 'new' AS change, 1 AS version FROM sized UNION ALL SELECT *, 'overtaken', NULL FROM sized
+  UNION ALL SELECT *, 'changed', 2 FROM revised UNION ALL SELECT *, 'unchanged', 1 FROM sized WHERE {_REPEATED}
+  UNION ALL SELECT *, 'changed', 3 FROM sized WHERE {_RESTORED} UNION ALL SELECT *, 'new', 1 FROM unseen),
+now AS (SELECT * FROM arrived WHERE change IN ('new', 'changed') QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1)
+SELECT 'arrival' AS part, id, category, md5(description) AS digest, epoch_us(created_at) AS created_us, change, version::BIGINT AS version, NULL::VARCHAR AS error FROM arrived
+UNION ALL SELECT 'current', id, category, md5(description), epoch_us(created_at), NULL, NULL, NULL FROM now
+UNION ALL SELECT 'rejected', 'bad-' || id, NULL, md5(description), NULL, NULL, NULL, 'invalid source: fax' FROM sized WHERE source = 'manual'""",
 )
 def ingest_stream(spark, sf_dir):
-    """Files in which every incident occurs twice, and rows from an unknown source among them."""
+    """Three runs over one folder: every incident twice, then corrections dated back and repeats, then old versions
+    again and unseen incidents older than all before."""
+    sized = document_incidents(spark, sf_dir).join(
+        table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("id"), "n_chars"), "id"
+    )
+    bad = sized.where("source = 'manual'").withColumns({"id": F.concat(F.lit("bad-"), "id"), "source": F.lit("fax")})
+    revised = sized.where(_REVISED).withColumns(
+        {"description": F.concat("description", F.lit(" (revised)")), "created_at": F.col("created_at") - F.make_dt_interval(days=F.lit(300))}
+    )
+    unseen = sized.where(_UNSEEN).withColumns(
+        {"id": F.concat(F.lit("late-"), "id"), "created_at": F.col("created_at") - F.make_dt_interval(days=F.lit(700))}
+    )
     source = scratch_path(spark, "arriving")
-    incidents = document_incidents(spark, sf_dir)
-    bad = incidents.where("source = 'manual'").withColumns({"id": F.concat(F.lit("bad-"), "id"), "source": F.lit("fax")})
-    together = incidents.unionByName(bad)
-    write_incidents(together.unionByName(together), source, "json")
-    valid, rejected = streams.ingest_stream(spark, source, "400 days", pattern="*.json")
-    shown = ["id", F.md5("description").alias("digest")]
-    parts = {
-        "valid": valid.select(*shown, "category", F.unix_micros("created_at").alias("created_us"), F.lit(None).cast("string").alias("error")),
-        "rejected": rejected.select(
-            *shown, F.lit(None).cast("string").alias("category"), F.lit(None).cast("bigint").alias("created_us"),
-            F.array_join("errors", "; ").alias("error"),
-        ),
-    }
-    found = []
-    for name, part in parts.items():
-        out, checkpoint = scratch_path(spark, f"ingested-{name}"), scratch_path(spark, f"ingested-{name}-checkpoint")
-        finish(part.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
-        found.append(spark.read.schema(part.schema).parquet(out))
-    both = found[0].unionByName(found[1])
-    return both.groupBy("id", "category", "digest", "created_us", "error").agg(F.count("*").alias("n"))
+    parts = {name: (scratch_path(spark, f"{name}s"), scratch_path(spark, f"{name}s-checkpoint")) for name in ("arrival", "rejected")}
+    for run, rows in enumerate(
+        (sized.unionByName(sized).unionByName(bad), revised.unionByName(sized.where(_REPEATED)), sized.where(_RESTORED).unionByName(unseen))
+    ):
+        write_incidents(rows.drop("n_chars"), f"{source}/run={run}", "json")
+        streamed = streams.ingest_stream(spark, f"{source}/*", pattern="*.json")
+        for (out, checkpoint), stream in zip(parts.values(), streamed, strict=True):
+            finish(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
+    arrived, rejected = (spark.read.parquet(out) for out, _ in parts.values())
+    shown = ["id", "category", F.md5("description").alias("digest"), F.unix_micros("created_at").alias("created_us")]
+    return (
+        arrived.select(F.lit("arrival").alias("part"), *shown, "change", "version")
+        .unionByName(streams.current_versions(arrived).select(F.lit("current").alias("part"), *shown), allowMissingColumns=True)
+        .withColumn("error", F.lit(None).cast("string"))
+        .unionByName(
+            rejected.select(F.lit("rejected").alias("part"), "id", shown[2], F.array_join("errors", "; ").alias("error")),
+            allowMissingColumns=True,
+        )
+    )
 
 
 @query(

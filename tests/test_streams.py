@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 import numpy as np
 import pytest
@@ -35,29 +37,97 @@ def test_classify_equals_batch(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
 
 
-def test_ingest_keeps_the_first_of_an_id(spark, tmp_path):
-    def line(i, title, day, **kw):
-        return json.dumps({"id": i, "title": title, "description": "d", "source": "manual", "created_at": f"2024-06-{day:02d}T00:00:00Z", **kw})
+def incident(i, title, day, **more):
+    return json.dumps({"id": i, "title": title, "description": "d", "source": "manual", "created_at": f"2024-06-{day:02d}T00:00:00Z", **more})
 
+
+def write_to(stream, folder, name):
+    return stream.writeStream.format("parquet").option("path", str(folder / name)).option("checkpointLocation", str(folder / f"cp-{name}"))
+
+
+def arrived(spark, folder):
+    return sorted((r["id"], r["title"], r["change"], r["version"]) for r in spark.read.parquet(str(folder / "out")).collect())
+
+
+def test_ingest_sets_bad_rows_aside(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    source, refused = streams.ingest_stream(spark, str(folder), "10 days")
-
-    def writer(stream=source, name="out"):
-        return stream.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"cp-{name}"))
-
-    (folder / "1.jsonl").write_text("\n".join([line("a", "first", 1), line("b", "only", 1), "", line("x", "bad", 1, category="weather"), "{"]))
-    finish(writer())
-    (folder / "2.jsonl").write_text("\n".join([line("a", "second", 2), line("c", "new", 2)]))
-    finish(writer())
-    got = {r["id"]: r["title"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {"a": "first", "b": "only", "c": "new"}
-    finish(writer(refused, "refused"))
-    bad = spark.read.parquet(str(tmp_path / "refused")).collect()
-    assert sorted(r["errors"][0] for r in bad) == ["invalid category: weather", "malformed record"]
-    strict, _ = streams.ingest_stream(spark, str(folder), "10 days", mode="failfast")
+    source, refused = streams.ingest_stream(spark, str(folder))
+    (folder / "1.jsonl").write_text("\n".join([incident("a", "first", 1), "", incident("x", "bad", 1, category="weather"), "{"]))
+    finish(write_to(source, tmp_path, "out"))
+    finish(write_to(refused, tmp_path, "refused"))
+    assert arrived(spark, tmp_path) == [("a", "first", "new", 1)]
+    bad = spark.read.parquet(str(tmp_path / "refused"))
+    assert sorted(r["errors"][0] for r in bad.collect()) == ["invalid category: weather", "malformed record"]
+    assert not {"_digest", "_place"} & set(bad.columns)
+    strict, _ = streams.ingest_stream(spark, str(folder), mode="failfast")
     with pytest.raises(Exception, match="invalid category|malformed"):
-        finish(writer(strict, "strict"))
+        finish(write_to(strict, tmp_path, "strict"))
+    with pytest.raises(ValueError, match="unknown mode"):
+        streams.ingest_stream(spark, str(folder), mode="x")
+    with pytest.raises(ValueError, match="span of time"):
+        streams.ingest_stream(spark, str(folder), remember="a while")
+
+
+def test_ingest_takes_the_last_version_whatever_its_date(spark, tmp_path):
+    """One file a trigger: dates go back, versions come again, ids repeat inside a file."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    files = [
+        [incident("a", "one", 10), incident("b", "only", 10)],
+        [incident("c", "late", 10), incident("a", "two", 9), incident("a", "three", 1)],
+        [incident("d", "very late", 1), incident("b", "only", 10), incident("a", "three", 1)],
+        [incident("a", "one", 10), incident("b", "other", 10), incident("b", "only", 10), incident("e", "x", 2), incident("e", "x", 2)],
+    ]
+    wanted, held = [], {}
+    for i, lines in enumerate(files):  # the brute-force version: a dictionary that is written to line by line
+        (folder / f"{i}.jsonl").write_text("\n".join(lines))
+        os.utime(folder / f"{i}.jsonl", (1_700_000_000 + i, 1_700_000_000 + i))
+        last = {json.loads(x)["id"]: n for n, x in enumerate(lines)}
+        for n, x in enumerate(lines):
+            key, title = json.loads(x)["id"], json.loads(x)["title"]
+            if last[key] != n:
+                wanted.append((key, title, "overtaken", None))
+                continue
+            text, version = held.get(key, (None, 0))
+            change = "new" if text is None else "unchanged" if text == x else "changed"
+            held[key] = (x, version + (text != x))
+            wanted.append((key, title, change, held[key][1]))
+    stream, _ = streams.ingest_stream(spark, str(folder), max_files=1)
+    writer = write_to(stream, tmp_path, "out").trigger(availableNow=True).start()
+    writer.awaitTermination()
+    assert len([p for p in writer.recentProgress if p["numInputRows"]]) == 4
+    assert sorted(arrived(spark, tmp_path), key=repr) == sorted(wanted, key=repr)
+    now = streams.current_versions(spark.read.parquet(str(tmp_path / "out")))
+    assert {r["id"]: r["title"] for r in now.collect()} == {k: json.loads(x)["title"] for k, (x, _) in held.items()}
+    assert "change" not in now.columns and now.count() == 5
+
+
+def test_ingest_of_a_crowded_id(spark, tmp_path):
+    """An id that fills a batch over several files: one row is its version, all others are overtaken."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for f in range(4):
+        (folder / f"{f}.jsonl").write_text("\n".join(incident("hot", f"t{f}.{n}", 1 + n % 20) for n in range(300)))
+        os.utime(folder / f"{f}.jsonl", (1_700_000_000 + f, 1_700_000_000 + f))
+    stream, _ = streams.ingest_stream(spark, str(folder))
+    finish(write_to(stream, tmp_path, "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r["change"], r["version"]): r["n"] for r in got.groupBy("change", "version").agg(F.count("*").alias("n")).collect()} == {
+        ("new", 1): 1, ("overtaken", None): 1199,
+    }
+    assert streams.current_versions(got).first()["title"] == "t3.299"
+
+
+def test_ids_are_forgotten(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(2):
+        (folder / f"{i}.jsonl").write_text(incident("a", "same", 1))
+        stream, _ = streams.ingest_stream(spark, str(folder), remember="1 second")
+        finish(write_to(stream, tmp_path, "out"))
+        time.sleep(2)
+    assert arrived(spark, tmp_path) == [("a", "same", "new", 1)] * 2
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,9 +19,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from triagelake.operators.blocks import BlockTopK, RequestFilters, as_matrix
 from triagelake.operators.conform import clamp_score, validate_inputs
 from triagelake.operators.filters import Instant, filter_incidents, incident_predicate, lookup
+from triagelake.operators.written import read_blocks, written_files
 from triagelake.session import cut
 
-# Queries go to the tasks in broadcasts of this size; the corpus is read in place once for each.
+# A task holds so much of the corpus, and meets it with all queries, so much of them at a time.
+CORPUS_BYTES = 256 << 20
 QUERY_BYTES = 64 << 20
 # Corpora of many times this size are sampled first, for a floor under each query's last hit.
 SAMPLE_ROWS = 20_000
@@ -52,10 +53,11 @@ def topk_similar(
 ) -> DataFrame:
     """The ``k`` corpus rows of highest inner product for every query.
 
-    Every query meets every vector, as an exact search must, but pairs exist only
-    inside a task as blocks of a matrix product, and vectors of the corpus stay where
-    they are. A task passes on at most ``k`` rows per query. Ranks and the threshold
-    go by the score as it is; the score shown is rounded.
+    Every query meets every vector, but pairs exist only inside a task as blocks of a
+    matrix product, and vectors of the corpus stay where they are. A task passes on at
+    most ``k`` rows per query for each portion of the corpus that it holds. Ranks and the
+    threshold go by the score as it is; the score shown is rounded. `cells.topk_in_cells`
+    gives the same rows and skips what cannot matter.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -71,25 +73,23 @@ def topk_of_requests(
 
     ``requests`` has query_id, vec, ``_k`` and ``_threshold``, and any of categories,
     severities (arrays), after and before (timestamps); the corpus then has the columns
-    these look at. Queries are computed once and written; every broadcast holds a bounded
-    part of them.
+    these look at. Queries are computed once and written to the shared folder; tasks of the
+    corpus read them there, block by block, so neither the driver nor a task holds them all.
     """
     filters = [c for c in REQUEST_FILTERS if c in requests.columns]
     looked_at = sorted({REQUEST_FILTERS[c] for c in filters})
     corpus = corpus.select("id", F.col("vec").cast("array<float>").alias("vec"), *looked_at)
-    asked = requests.select("query_id", F.col("vec").cast("array<float>").alias("vec"), "_k", "_threshold", *filters)
+    own = [F.unix_micros(c).alias(c) if c in ("after", "before") else F.col(c) for c in filters]
+    asked = requests.select("query_id", F.col("vec").cast("array<float>").alias("vec"), "_k", "_threshold", *own)
     asked = cut(asked, "queries")
-    shape = asked.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim"), F.max("_k").alias("k")).first()
+    shape = asked.agg(F.max(F.size("vec")).alias("dim"), F.max("_k").alias("k")).first()
     row_bytes = 4 * max(shape["dim"] or 0, 0) + 100
-    parts = max(1, math.ceil(shape["n"] * row_bytes / query_bytes))
+    block_rows = max(1, query_bytes // row_bytes)
 
     def best(asked: DataFrame, corpus: DataFrame) -> DataFrame:
-        found = [
-            _against_all(asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part), corpus, exclude_self)
-            for part in range(parts)
-        ]
+        found = _against_all(asked, corpus, exclude_self, block_rows)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("incident_id"))
-        ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
+        ranked = found.withColumn("rank", F.row_number().over(order))
         return ranked.where((F.col("rank") <= (shape["k"] or 1)) & (F.col("rank") <= F.col("_k")))
 
     rows = corpus.count()
@@ -107,45 +107,59 @@ def shown(score: Column) -> Column:
     return F.round(score, SHOWN_DECIMALS)
 
 
-def _against_all(queries: DataFrame, corpus: DataFrame, exclude_self: bool) -> DataFrame:
-    """A bounded number of queries against each corpus partition in place."""
+def _against_all(asked: DataFrame, corpus: DataFrame, exclude_self: bool, block_rows: int) -> DataFrame:
+    """All written queries against each corpus partition in place."""
     schema = T.StructType(
         [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("query_id", asked.schema["query_id"].dataType),
             T.StructField("incident_id", corpus.schema["id"].dataType),
             T.StructField("score", T.DoubleType()),
             T.StructField("_k", T.IntegerType()),
         ]
     )
     arrow_schema = to_arrow_schema(schema)
-    # One broadcast: its size is bounded by the part of the queries it holds.
-    sent = queries.sparkSession.sparkContext.broadcast(queries.toArrow().combine_chunks())
+    files, columns = written_files(asked), asked.columns
+    filtered = bool(set(columns) & set(REQUEST_FILTERS))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        allowed = RequestFilters(table) if set(table.column_names) & set(REQUEST_FILTERS) else None
-        block = BlockTopK(
-            _one_array(table["query_id"]),
-            as_matrix(table["vec"]),
-            table["_k"].to_numpy(),
-            table["_threshold"].to_numpy(),
-            exclude_self,
-            allowed,
-        )
-        for batch in batches:
-            fields = {c: batch.column(c) for c in batch.schema.names if c not in ("id", "vec")}
-            block.add(batch.column("id"), as_matrix(batch.column("vec")), fields)
-        yield from block.result(arrow_schema).to_batches()
+        for held in portions(batches, CORPUS_BYTES):
+            parts = [
+                (
+                    batch.column("id"),
+                    as_matrix(batch.column("vec")),
+                    {c: batch.column(c) for c in batch.schema.names if c not in ("id", "vec")},
+                )
+                for batch in held
+            ]
+            for table in read_blocks(files, block_rows, columns):
+                block = BlockTopK(
+                    table["query_id"].combine_chunks(),
+                    as_matrix(table["vec"]),
+                    table["_k"].to_numpy(),
+                    table["_threshold"].to_numpy(),
+                    exclude_self,
+                    RequestFilters(table) if filtered else None,
+                )
+                for part in parts:
+                    block.add(*part)
+                yield from block.result(arrow_schema).to_batches()
 
     return corpus.mapInArrow(search, schema)
 
 
-def _one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-        if isinstance(column, pa.ChunkedArray):  # more than one chunk is left only when empty
-            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    return column
+def portions(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about ``most_bytes``."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= most_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def similar_to_incidents(

@@ -7,16 +7,15 @@ is run again after a failure leaves no duplicates.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from triagelake.operators.classify import classify
+from triagelake.operators.dedupe import latest_by_id
 from triagelake.operators.conform import ERRORS, conform_incidents, require_valid, split_valid, validate_inputs
 from triagelake.operators.generation import Responder
 from triagelake.operators.similarity import attach_incidents, search, topk_similar
@@ -24,46 +23,73 @@ from triagelake.plans.analyze import analyze
 from triagelake.plans.search import search_texts
 from triagelake.schema import CORRUPT, INCIDENT_FILE_SCHEMA
 from triagelake.session import temporary
+from triagelake.streaming.versions import REMEMBER, TOLD, arrivals
+
+KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def ingest_stream(
     spark: SparkSession,
     path: str,
-    watermark: str = "1 day",
+    remember: str = REMEMBER,
     pattern: str = "*.jsonl",
     max_files: int | None = None,
     mode: str = "quarantine",
 ) -> tuple[DataFrame, DataFrame]:
-    """``(valid, rejected)`` incidents from files that arrive in a folder.
-
-    Valid rows come once per id: of several inside the watermark the first to arrive stays.
-    Rejected rows carry their ``errors``; both are streams of their own.
-    mode="failfast" stops at the first bad record instead.
+    """``(arrivals, rejected)`` incidents from files that arrive in a folder.
+
+    Every valid row comes out once, with ``change``: new, changed or unchanged for the last version of its id in
+    a micro-batch, against the version that came last before; overtaken for a version that
+    was followed by another in the same batch. The last to arrive wins, whatever its
+    ``created_at``: back-dated and corrected incidents are as good as others. ``version`` counts
+    an id's changes; `current_versions` makes the table as it stands.
+
+    State holds a digest and a number per id, and forgets an id that has not changed for
+    ``remember``: should it come again, it is new. Order of arrival is that of batches, then
+    of files by modification time and name, then of lines. Rejected rows carry their
+    ``errors``; they are a stream of their own. mode="failfast" stops at the first bad record instead.
+
+    Both streams belong to a session of their own with the settings of ``spark``, but for two:
+    state of this kind lives in RocksDB, and a batch runs only when there are files (as
+    ids are forgotten by the clock, batches without any would never end).
     """
     if mode not in ("quarantine", "failfast"):
         raise ValueError(f"unknown mode: {mode}")
     reader = (
-        spark.readStream.schema(INCIDENT_FILE_SCHEMA)
+        _with_settings(spark, KEYED_STATE).readStream.schema(INCIDENT_FILE_SCHEMA)
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("pathGlobFilter", pattern)
     )
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    checked = conform_incidents(reader.json(path))
+    given = [c for c in INCIDENT_FILE_SCHEMA.fieldNames() if c != CORRUPT]
+    raw = reader.json(path).select(
+        "*",
+        # What the record says, before defaults are filled in: a default may be the present time.
+        F.sha2(F.to_json(F.struct(*given)), 256).alias("_digest"),
+        F.struct(F.unix_micros("_metadata.file_modification_time").alias("at"), "_metadata.file_path", "_metadata.file_block_start").alias("_place"),
+    )
+    checked = conform_incidents(raw)
     valid, rejected = split_valid(require_valid(checked) if mode == "failfast" else checked)
-    # An id that fills much of a batch is thinned out before rows move to their state.
-    thinned = valid.mapInArrow(first_of_each_id, valid.schema)
-    return thinned.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["id"]), rejected
-
-
-def first_of_each_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each id, and the latest row, so that the watermark moves as far as it would with all."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        _, first = np.unique(batch.column("id").to_numpy(zero_copy_only=False), return_index=True)
-        latest = np.argmax(batch.column("created_at").cast(pa.int64()).to_numpy(zero_copy_only=False))
-        yield batch.take(pa.array(np.unique([*first, latest])))
+    return arrivals(valid, remember), rejected.drop("_digest", "_place")
+
+
+def _with_settings(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session beside ``spark`` with its settings and some of its own."""
+    session = spark.newSession()
+    for key, value in {**spark.conf.getAll, **settings}.items():
+        if session.conf.isModifiable(key):
+            session.conf.set(key, value)
+    return session
+
+
+def current_versions(arrived: DataFrame) -> DataFrame:
+    """The incidents as they stand, from all arrivals that were written."""
+    told = arrived.where(F.col("change").isin(*TOLD))
+    return latest_by_id(told, [F.col("arrived_at"), F.col("version")]).drop("change", "version", "arrived_at")
 
 
 def classify_stream(
