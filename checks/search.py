@@ -15,7 +15,7 @@ from checks.tables import (
 )
 from triagelake.functions.text import embedding_text
 from triagelake.functions.vectors import l2_normalize
-from triagelake.operators import embedding, similarity
+from triagelake.operators import cells, embedding, similarity
 from triagelake.plans.search import retrieve_for_incidents
 from triagelake.session import cut, scratch_path
 from triagelake.sources.vectors import read_vectors, vector_count, write_vectors
@@ -38,17 +38,13 @@ _BEST = "(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, incident
     "l2_normalize",
     """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (vec_id + 1)) AS s FROM embeddings),
 n AS (SELECT vec_id, s, sqrt(list_dot_product(s, s)) AS norm FROM v)
-SELECT vec_id, round(s[1] / norm, 6) AS first_value, round(list_last(s) / norm, 6) AS last_value FROM n""",
+SELECT vec_id, (i - 1)::INT AS place, round(s[i] / norm, 6) AS value FROM n, unnest(range(1, len(s) + 1)) AS x(i)""",
 )
 def normalized(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") + 1))
     unit = vectors.select("vec_id", l2_normalize(scaled).alias("u"))
-    return unit.select(
-        "vec_id",
-        F.round(F.get("u", F.lit(0)), 6).alias("first_value"),
-        F.round(F.element_at("u", -1), 6).alias("last_value"),
-    )
+    return unit.select("vec_id", F.posexplode("u").alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -72,6 +68,19 @@ def topk_similar_in_blocks(spark, sf_dir):
     return similarity.topk_similar(vector_queries(spark, sf_dir), corpus(spark, sf_dir), k=3, threshold=0.25, query_bytes=1 << 16)
 
 
+@query(
+    "topk_in_cells",
+    f"""WITH {SCORES}
+SELECT query_id, incident_id, {SHOWN} AS score, rank FROM (SELECT query_id, incident_id, score, {_BEST} AS rank FROM scores)
+WHERE rank <= 4 AND score >= 0.2""",
+)
+def topk_in_cells(spark, sf_dir):
+    """From a table laid out by cell: cells whose bound stays under a query's floor are not read for it."""
+    path = scratch_path(spark, "cells")
+    cells.write_cells(corpus(spark, sf_dir), path, 24)
+    return cells.topk_in_cells(vector_queries(spark, sf_dir), *cells.read_cells(spark, path), 4, 0.2)
+
+
 @query(
     "similar_to_incidents",
     f"""WITH {SCORES}
