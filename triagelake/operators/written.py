@@ -16,6 +16,8 @@ SCHEMES = {"s3a": "s3", "s3n": "s3"}
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     """The store that ``uri`` lies in, and the path there."""
     scheme, _, rest = uri.partition(":")
+    if "/" in scheme:  # a path without a store
+        return fs.LocalFileSystem(), uri
     try:
         return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as error:
