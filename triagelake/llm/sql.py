@@ -181,6 +181,10 @@ FROM ruled LEFT JOIN judged USING (host)
 
 # Lines within one edit share a form with one character left out at the same place, or the
 # longer one without a character is the shorter.
+# The edit distance of SQL counts bytes: letters beyond ASCII are written as control characters first.
+_ONE_BYTE = [*range(1, 9), *range(14, 32)]
+_NARROW = " || ".join(f"chr({c})" for c in _ONE_BYTE)
+
 _LINE_TABLES = rf"""
 WITH raw AS (
   SELECT doc_id, list_filter(
@@ -191,16 +195,19 @@ WITH raw AS (
   SELECT doc_id, min(pos) AS pos, line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM raw) GROUP BY doc_id, line
 ), first AS (
   SELECT line, min(doc_id) AS doc, arg_min(pos, doc_id) AS pos, length(line) AS size FROM each_line GROUP BY line
+), alphabet AS (
+  SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS wide
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x7F]')) AS c FROM documents)
 ), long_lines AS (
-  SELECT *, row_number() OVER () AS id FROM first WHERE size >= {lines.LEAST_LENGTH}
-), cuts AS (
-  SELECT id, size, k, md5(substr(line, 1, k - 1) || substr(line, k + 1)) AS form FROM long_lines, unnest(range(1, size + 1)) AS x(k)
-), pairs AS (
-  SELECT a.id AS a, b.id AS b FROM cuts a JOIN cuts b ON a.form = b.form AND a.k = b.k AND a.size = b.size AND a.id < b.id
-  UNION SELECT cuts.id, s.id FROM cuts JOIN (SELECT id, md5(line) AS form FROM long_lines) s USING (form)
+  SELECT line, doc, pos, size, size // {lines.PER_EDIT} AS edits, translate(line, left(wide, {len(_ONE_BYTE)}), {_NARROW}) AS flat
+  FROM first, alphabet WHERE size >= {lines.PER_EDIT}
+), in_parts AS (
+  SELECT *, list_transform(range(0, edits + 1),
+    lambda k: substr(flat, k * size // (edits + 1) + 1, (k + 1) * size // (edits + 1) - k * size // (edits + 1))) AS parts FROM long_lines
 ), later AS (
   SELECT DISTINCT CASE WHEN (x.doc, x.pos) > (y.doc, y.pos) THEN x.line ELSE y.line END AS line
-  FROM pairs JOIN long_lines x ON x.id = a JOIN long_lines y ON y.id = b
+  FROM in_parts x JOIN in_parts y ON x.size <= y.size AND y.size - x.size <= y.edits AND x.line <> y.line
+  WHERE CASE WHEN len(list_filter(y.parts, lambda s: contains(x.flat, s))) > 0 THEN levenshtein(x.flat, y.flat) <= y.edits ELSE false END
 ), judged AS (
   SELECT doc_id, line, length(line) AS size, later.line IS NOT NULL OR doc_id > first.doc AS gone
   FROM each_line JOIN first USING (line) LEFT JOIN later USING (line)
