@@ -459,6 +459,26 @@ def test_chain_feeds_earlier_categories(spark):
         toxicity.fit_chain(labelled, marks.limit(0), ("one", "two"))
 
 
+def test_toxicity_of_awkward_rows(spark):
+    """Null, empty, very long, repeated texts, null and repeated ids, clashing columns, no documents."""
+    rng = random.Random(3)
+    rows = [(i, ("alpha " if i % 3 == 0 else "") + sentence(rng, 30)) for i in range(240)]
+    rows += [(300, None), (301, ""), (302, sentence(rng, 30_000)), (303, "alpha " * 5), (303, "alpha " * 5), (None, sentence(rng, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"p_toxic": F.lit("x"), "toxic": F.lit(7), "_fold": F.lit(1)})
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), int(i % 3 == 0)) for i in range(240)] + [(999, 1, 1)], "doc_id long, quality int, toxic int")
+    found = toxicity.toxicity_report(docs, labels)
+    assert found.columns == ["doc_id", "p_low_quality", "p_toxic", "toxic"]
+    out = found.collect()
+    assert len(out) == len(rows) and all(0 <= r["p_toxic"] <= 1 for r in out)
+    twice = [r["p_toxic"] for r in out if r["doc_id"] == 303]
+    assert len(twice) == 2 and twice[0] == twice[1] > 0.5
+    assert len({r["p_toxic"] for r in out if r["doc_id"] in (300, 301)}) == 1
+    assert toxicity.toxicity_report(docs.limit(0), labels).count() == 0
+    assert toxicity.toxicity_report(docs.limit(0), labels).dtypes == found.dtypes
+    with pytest.raises(ValueError, match="no labelled rows"):
+        toxicity.toxicity_report(docs, labels.limit(0))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     items = spark.createDataFrame([], "item_id long, text string")

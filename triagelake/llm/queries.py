@@ -24,7 +24,8 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.byte_report(table(spark, sf_dir, "documents"))
+    """``has_repeats``: some bytes of the text are removed."""
+    return suffixes.byte_report(table(spark, sf_dir, "documents")).withColumn("has_repeats", F.col("n_removed") > 0)
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

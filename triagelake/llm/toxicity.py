@@ -299,8 +299,11 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, p_low_quality, p_toxic, toxic.
 
     ``labels`` (doc_id, quality, toxic) covers some of the documents. Repeated rows, null ids
-    and extra columns of ``docs`` do not matter; labels of unknown ids are not used.
+    and extra columns of ``docs`` do not matter; labels of unknown ids are not used. No
+    documents give no rows; documents without any label are an error, as there is nothing to learn from.
     """
+    if docs.isEmpty():
+        return docs.sparkSession.createDataFrame([], "doc_id long, p_low_quality double, p_toxic double, toxic boolean")
     marks = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     chain = fit_chain(docs, marks)
     return chain_probabilities(docs, chain).withColumn("toxic", F.col("p_toxic") >= LIMIT)
