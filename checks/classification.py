@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
 from checks import rules_sql
@@ -23,7 +25,8 @@ from triagelake.functions import rules
 from triagelake.operators import classifier, metrics, profile, splitting
 from triagelake.operators.classify import classify
 from triagelake.schema import KNOWN_CATEGORIES
-
+from triagelake.session import scratch_path
+from triagelake.sources.models import load_model, save_model
 
 QUERIES: dict = {}
 
@@ -236,6 +239,25 @@ def tfidf_table(spark, sf_dir):
     )
 
 
+@query(
+    "saved_features",
+    f"""WITH {_TFIDF.replace("ORDER BY sum(tf) DESC, term LIMIT 5000", "")}
+SELECT term, count(*) AS documents, round(sum(weight), 4) AS weight, round(max(weight), 6) AS most FROM normed GROUP BY term""",
+)
+def saved_features(spark, sf_dir):
+    """Feature values of all texts and terms, from fitted stages that were saved and loaded."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "features")
+    PipelineModel(classifier.tfidf_features(docs, "text", classifier.MOST_FEATURES, _STOP_WORDS)).write().save(path)
+    stages = PipelineModel.load(path)
+    terms = next(s.vocabulary for s in stages.stages if isinstance(s, CountVectorizerModel))
+    names = spark.createDataFrame(list(enumerate(terms)), "place int, term string")
+    vectors = stages.transform(docs).select(F.unwrap_udt("features").alias("v"))
+    values = vectors.select(F.explode(F.arrays_zip(F.col("v.indices").alias("place"), F.col("v.values").alias("weight"))).alias("e")).select("e.*")
+    sums = values.groupBy("place").agg(F.count("*").alias("documents"), F.sum("weight").alias("weight"), F.max("weight").alias("most"))
+    return sums.join(names, "place").select("term", "documents", F.round("weight", 4).alias("weight"), F.round("most", 6).alias("most"))
+
+
 @query(
     "class_weights",
     """SELECT source, n, round(sum(n) OVER () / (count(*) OVER () * n), 9) AS weight
@@ -254,7 +276,7 @@ _CLASS_WORDS = {c: f"{c}one {c}two {c}three" for c in KNOWN_CATEGORIES}
     f"SELECT 'doc-' || doc_id AS id, {sql_choice(KNOWN_CATEGORIES, 'doc_id')} AS predicted, true AS sure FROM documents",
 )
 def train_on_disjoint_words(spark, sf_dir):
-    """Where the words of classes have nothing in common, every prediction must be the class itself."""
+    """Where the words of classes have nothing in common, every prediction must be the class itself; by the model as saved and loaded."""
     docs = table(spark, sf_dir, "documents")
     own = choice(KNOWN_CATEGORIES, F.col("doc_id"))
     words = choice(list(_CLASS_WORDS.values()), F.col("doc_id"))
@@ -264,7 +286,9 @@ def train_on_disjoint_words(spark, sf_dir):
     model, numbers = classifier.train_classifier(rows)
     if numbers["accuracy"] != 1.0:
         raise ValueError(f"accuracy {numbers['accuracy']} where classes are apart")
-    judged = classifier.predict(model, rows.drop("category"))
+    path = scratch_path(spark, "classifier")
+    save_model(model, path)
+    judged = classifier.predict(load_model(path), rows.drop("category"))
     return judged.select("id", "predicted", (F.col("confidence") > 1 / len(KNOWN_CATEGORIES)).alias("sure"))
 
 
