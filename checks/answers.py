@@ -293,7 +293,7 @@ def _reply_or_error(text: str, kind: int):
 
 # A turn asks with the vector of the row its number points to, on its own terms.
 ASKED = """asked AS (SELECT conv_id * 100 + turn AS query_id, role || repeat('!', (turn % 4)::INT) AS title, text AS description,
-  (conv_id * 100 + turn) % 500 AS vec_id, (conv_id + turn) % 4 + 1 AS k, ((conv_id + turn) % 5) / 10.0 AS least, conv_id FROM conversations)"""
+  (conv_id * 100 + turn) % (SELECT count(*) FROM embeddings) AS vec_id, (conv_id + turn) % 4 + 1 AS k, ((conv_id + turn) % 5) / 10.0 AS least, conv_id FROM conversations)"""
 
 RELAXED = f"""{SCORES},
 ranked AS (SELECT a.query_id, incident_id, score, k, least,
@@ -311,14 +311,15 @@ ASKED_PROMPT = """'T ' || title || ' (' || t.category || ', ' || severity || ')'
   || chr(10) || '{past}' || chr(10) || coalesce(similar_incidents, 'No similar incidents found.') || chr(10) || 'end'"""
 
 
-def asked_turns(turns):
+def asked_turns(turns, vectors):
+    """Turns that ask with one of so many ``vectors``."""
     key = F.col("conv_id") * 100 + F.col("turn")
     own = F.col("conv_id") + F.col("turn")
     return turns.select(
         key.alias("query_id"),
         F.concat("role", F.repeat(F.lit("!"), (F.col("turn") % 4).cast("int"))).alias("title"),
         F.col("text").alias("description"),
-        (key % 500).alias("vec_id"),
+        (key % vectors).alias("vec_id"),
         (own % 4 + 1).alias("top_k"),
         ((own % 5) / 10.0).alias("similarity_threshold"),
     )
@@ -353,7 +354,7 @@ FROM judged JOIN by_text t USING (query_id) LEFT JOIN blocks USING (query_id) LE
 )
 def analyzed(spark, sf_dir):
     """All turns as new incidents, all documents with a vector as past ones."""
-    asked = asked_turns(table(spark, sf_dir, "conversations"))
+    asked = asked_turns(table(spark, sf_dir, "conversations"), table(spark, sf_dir, "embeddings").count())
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     done = analyze(
         asked.join(vectors, "vec_id"), document_incidents(spark, sf_dir), corpus(spark, sf_dir), echo_by_title, template=PROMPT_TEMPLATE

@@ -166,7 +166,7 @@ def analyze_stream(spark, sf_dir):
     """All turns as they arrive, each on its own terms; some are out of bounds."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     turns = table_stream(spark, sf_dir, "conversations")
-    asked = asked_turns(turns)
+    asked = asked_turns(turns, vectors.count())
     bad = F.floor(F.col("query_id") / 100) % 9 == 0
     arriving = asked.withColumn("title", F.when(bad, "").otherwise(F.col("title"))).join(vectors, "vec_id").drop("vec_id")
     out, checkpoint = scratch_path(spark, "analyzed"), scratch_path(spark, "analyzed-checkpoint")
