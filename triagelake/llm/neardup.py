@@ -334,8 +334,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # by the turn. Links of a crowd merge it in a turn or two, with a few pairs per row.
         orders = [F.struct(F.xxhash64(F.lit(turn * STARS + i), "node").alias("h"), "node", "component") for i in range(STARS)]
         chosen = rest.groupBy(F.col("key").alias("_key")).agg(F.array(*[F.min(order) for order in orders]).alias("centers"))
-        chosen = cut(chosen.select("_key", F.explode(F.array_distinct("centers")).alias("center")), "centers")
-        tries = rest.join(chosen, F.col("key") == F.col("_key")).where("component <> center.component")
+        # Buckets of a crowd mostly choose the same stars: a row gathers those of its buckets, and meets each once.
+        named_by = F.transform("centers", lambda c: F.struct(c["node"].alias("node"), c["component"].alias("component")))
+        chosen = cut(chosen.select("_key", F.array_distinct(named_by).alias("centers")), "centers")
+        met = rest.join(chosen, F.col("key") == F.col("_key"))
+        met = met.withColumn("centers", F.filter("centers", lambda c: c["component"] != F.col("component"))).where(F.size("centers") > 0)
+        met = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("centers"))).alias("centers"))  # at most STARS a band
+        tries = met.select("node", F.explode("centers").alias("center"))
         tries = tries.select(F.least("node", "center.node").alias("u"), F.greatest("node", "center.node").alias("v")).distinct()
         known = merged.select(F.col("component").alias("u"), F.col("node").alias("v"))
         merged = cut(components(confirmed(promising(tries, classes), sets).unionByName(known)), "components")
