@@ -150,6 +150,22 @@ def test_contamination(spark, awkward):
     assert sorted(tuple(r[c] for c in names) for r in found.collect()) == plain.contamination(list(enumerate(awkward)), benchmark)
 
 
+def test_contamination_by_an_instruction_that_many_items_share(spark, monkeypatch):
+    shared = " ".join(f"s{i}" for i in range(12))
+    benchmark = [(i, f"{shared} own{i} " + " ".join(f"q{i}x{j}" for j in range(9))) for i in range(300)] + [(None, shared)]
+    items = spark.createDataFrame(benchmark, "item_id long, text string")
+    texts = [shared, f"{shared} own7 " + " ".join(f"q7x{j}" for j in range(9)), "clean", None, benchmark[4][1] + " " + benchmark[9][1]]
+    wanted = plain.contamination(list(enumerate(texts)), [x for x in benchmark if x[0] is not None])
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    for limit in (decontam.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
+        found = decontam.contamination_report(frame(spark, texts), items)
+        assert sorted(tuple(r[c] for c in names) for r in found.collect()) == wanted
+    known = decontam.benchmark_windows(decontam.window_items(items))
+    assert "array<bigint>" not in dict(known.dtypes).values()
+    assert known.select("items_key").distinct().count() == 1 + 300
+
+
 def test_decontaminate_removes_spans_or_documents(spark):
     passage = " ".join(f"p{i}" for i in range(12))
     items = spark.createDataFrame([(1, passage.upper())], "item_id long, text string")

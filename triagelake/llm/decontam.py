@@ -3,6 +3,8 @@
 The windows of a benchmark are its runs of ten normalised words; an item with fewer words
 is one window. A hash set of them goes to every task as a broadcast, each document's
 windows are looked up in it while it is scanned, and what is found is checked word by word.
+Which items hold a window stays out of the broadcast: a window bears the key of its set of
+items, and the sets are looked up once per combination of them, after the check.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from triagelake.llm.words import apart, lower_ascii, plain_words, text_key, whol
 from triagelake.session import cut
 
 WINDOW = 10
-# A benchmark of up to so many windows (about 64 MB) is broadcast; a larger one is joined by shuffle.
-BROADCAST_WINDOWS = 1_000_000
+# Windows of up to so many bytes are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 128 << 20
 
 
 def folded(words: Column) -> Column:
@@ -24,34 +26,49 @@ def folded(words: Column) -> Column:
     return F.transform(words, lambda w: F.lower(w))
 
 
-def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows: n (words), hash of the folded words, words (exact), items that hold it."""
+def window_items(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Distinct n (words), words (exact) of the windows, with every item_id that holds them."""
     items = benchmark.select("item_id", plain_words(lower_ascii(whole(F.col("text")))).alias("_w"))
     items = items.withColumn("n", F.least(F.size("_w"), F.lit(size))).where("n > 0")
-    each = items.select(
-        "item_id",
-        "n",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("_w") - F.col("n") + 1), lambda i: F.slice(F.col("_w"), i, F.col("n"))
-            )
-        ).alias("words"),
-    )
-    found = each.groupBy("n", "words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("n") + 1), lambda i: F.slice(F.col("_w"), i, F.col("n")))
+    return items.select("item_id", "n", F.explode(runs).alias("words")).distinct()
+
+
+def benchmark_windows(held: DataFrame) -> DataFrame:
+    """Distinct windows of ``window_items``: n, hash of the folded words, words, items_key.
+
+    Windows of the same items have the same ``items_key``. It is made of sums, so that no
+    window gathers its items, however many there are.
+    """
+    sums = [F.coalesce(F.bit_xor(F.xxhash64(F.lit(i), "item_id")), F.lit(0)) for i in range(2)]
+    found = held.groupBy("n", "words").agg(F.xxhash64(F.count("item_id"), *sums).alias("items_key"))
     return found.withColumn("hash", F.xxhash64(folded(F.col("words"))))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Per document that may hold windows: doc_id, key of its text, hits (at, words, items).
+def item_sets(held: DataFrame, known: DataFrame) -> DataFrame:
+    """items_key and every item_id of that set, read from one window of each set."""
+    window = F.struct("n", "words")
+    one = known.groupBy("items_key").agg(F.min_by(window, F.struct("hash", "words")).alias("_window"))
+    same = (F.col("n") == F.col("_window.n")) & (F.col("words") == F.col("_window.words"))
+    return one.join(held.where("item_id is not null"), same).select("items_key", "item_id")
+
+
+def bytes_of(known: DataFrame) -> int:
+    """About what the windows take as rows in memory."""
+    words = F.octet_length(F.array_join("words", "")) + 24 * F.size("words") + 96
+    return known.agg(F.sum(words.cast("long"))).first()[0] or 0
+
+
+def find_hits(docs: DataFrame, known: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Per document that may hold ``known`` windows: doc_id, key of its text, hits (at, words, items_key).
 
     ``at`` counts words from 0. Hits are by hash and still to be verified. They are kept per
     document, whose length bounds them.
     """
-    known = cut(benchmark_windows(benchmark, size), "benchmark-windows")
     lengths = sorted(r["n"] for r in known.select("n").distinct().collect())  # at most ``size`` numbers
     if not lengths:
         lengths = [size]
-    side = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
+    side = F.broadcast(known) if bytes_of(known) <= BROADCAST_BYTES else known
     words = folded(plain_words(F.col("text")))
 
     def all_windows(w: Column) -> Column:
@@ -71,15 +88,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Data
     spread = found.select("doc_id", "_key", "_length", F.posexplode("_each").alias("at", "hash"))
     numbers = F.array(*[F.lit(n) for n in lengths])
     hits = spread.join(side, "hash").where(F.get(numbers, F.col("_length")) == F.col("n"))
-    return hits.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("at", "words", "items")).alias("hits"))
+    return hits.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("at", "words", "items_key")).alias("hits"))
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], size: int = WINDOW) -> DataFrame:
-    """``columns`` of every row, its exact words and its verified hits, sorted by place.
+def with_hits(docs: DataFrame, known: DataFrame, columns: list[str], size: int = WINDOW) -> DataFrame:
+    """``columns`` of every row, its exact words and its verified hits on ``known`` windows, sorted by place.
 
     Rows that share an id are told apart by their texts; rows equal in both share their hits.
     """
-    found = cut(find_hits(docs, benchmark, size), "benchmark-hits").select(
+    found = cut(find_hits(docs, known, size), "benchmark-hits").select(
         F.col("doc_id").alias("_hit_id"), F.col("_key").alias("_hit_key"), F.col("hits").alias("_hits")
     )
     same = F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (text_key(F.col("text")) == F.col("_hit_key"))
@@ -111,15 +128,26 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, size: int = WIND
 
     A null text has no words, an empty benchmark no windows; neither is ever hit.
     """
-    rows = with_hits(docs, benchmark, ["doc_id"], size)
-    items = F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["items"])))
-    names = F.sort_array(F.transform(items, lambda i: i.cast("string")))
-    return rows.select(
+    held = cut(window_items(benchmark, size), "benchmark-items")
+    known = cut(benchmark_windows(held), "benchmark-windows")
+    rows = with_hits(docs, known, ["doc_id"], size).select(
         "doc_id",
         F.size("_words").cast("long").alias("n_words"),
         hit_words(F.col("_hits")).cast("long").alias("n_hit"),
-        names.alias("_names"),
-    ).select(
+        F.sort_array(F.array_distinct(F.transform("_hits", lambda h: h["items_key"]))).alias("_sets"),
+    )
+    rows = cut(rows, "contamination")
+    # Documents that hold the same passages ask for the same sets of items: once for all of them.
+    asked = rows.where("n_hit > 0").select(F.col("_sets").alias("_asked")).distinct()
+    each = asked.select("_asked", F.explode("_asked").alias("items_key")).join(item_sets(held, known), "items_key")
+    names = F.sort_array(F.collect_set(F.col("item_id").cast("string")))
+    named = each.groupBy("_asked").agg(names.alias("_names"))
+    none = F.array().cast("array<string>")
+    hit = rows.where("n_hit > 0").join(named, F.col("_sets") == F.col("_asked"), "left")
+    both = hit.select("doc_id", "n_words", "n_hit", F.coalesce("_names", none).alias("_names")).union(
+        rows.where("n_hit = 0").select("doc_id", "n_words", "n_hit", none)
+    )
+    return both.select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -138,7 +166,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     if remove not in ("spans", "documents"):
         raise ValueError("remove is 'spans' or 'documents'")
     packed, back = apart(docs, ("doc_id", "text"))
-    rows = with_hits(packed, benchmark, packed.columns, size)
+    known = cut(benchmark_windows(window_items(benchmark, size)), "benchmark-windows")
+    rows = with_hits(packed, known, packed.columns, size)
     if remove == "documents":
         return back(rows.where(F.size("_hits") == 0))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
