@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from triagelake.operators import conform, dedupe, filters, issues, profile
 from triagelake.schema import CATEGORIES, SEVERITIES, SOURCES
 from triagelake.session import scratch_path
 from triagelake.sources.incidents import read_incident_dir, read_incidents, write_incidents
+from triagelake.sources.titles import TitleTable, add_titles, open_titles, titles_now
 
 QUERIES: dict = {}
 
@@ -273,6 +275,23 @@ def dedupe_titles(spark, sf_dir):
     return dedupe.dedupe_titles(document_incidents(spark, sf_dir)).select("id", "title", F.md5("description").alias("digest"))
 
 
+@query(
+    "dedupe_titles_by_increments",
+    f"""WITH {DOCUMENT_INCIDENTS}
+SELECT id, title, md5(description) AS digest FROM incidents
+QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY created_at, id) = 1""",
+)
+def dedupe_titles_by_increments(spark, sf_dir):
+    """Three increments out of order of time, so that later ones overtake stored titles."""
+    incidents = document_incidents(spark, sf_dir)
+    kept = TitleTable(f"titles_{uuid.uuid4().hex}", scratch_path(spark, "titles"), buckets=8)
+    open_titles(spark, kept, incidents.schema)
+    part = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(3))
+    for n in (2, 0, 1):
+        add_titles(spark, kept, incidents.where(part == n))
+    return titles_now(spark, kept).select("id", "title", F.md5("description").alias("digest"))
+
+
 @query(
     "dedupe_titles_of_events",
     f"""WITH {EVENT_INCIDENTS}
