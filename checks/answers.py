@@ -226,7 +226,7 @@ def _reply(text: str, kind: int) -> str:
     raise ValueError("model is busy")
 
 
-def _stand_in(texts):
+def stand_in(texts):
     """A model whose mood follows from the length of what it is asked."""
     asked = [t.split("\n\nPrevious attempt failed validation:")[0] for t in texts]
     return [_reply_or_error(t, len(a) % 4) for t, a in zip(texts, asked)]
@@ -255,19 +255,21 @@ def outcome_sql(title: str) -> dict[str, str]:
     }
 
 
-@query(
-    "generation_rounds",
+ROUNDS_SQL = (
     """WITH asked AS (SELECT conv_id * 100 + turn AS query_id, length(text) % 4 AS kind FROM conversations)
 SELECT query_id, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS attempts, kind < 2 AS passed,
        CASE kind WHEN 2 THEN '""" + _FIELDS_MISSING + """'
                  WHEN 3 THEN 'LLM response is None' END AS generation_error,
        CASE WHEN kind = 3 THEN 'model is busy' END AS response_error
-FROM asked""",
+FROM asked"""
 )
+
+
+@query("generation_rounds", ROUNDS_SQL)
 def generation_rounds(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     asked = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("prompt"))
-    done = generation.generation_rounds(asked, _stand_in)
+    done = generation.generation_rounds(asked, stand_in)
     return done.select("query_id", "attempts", "passed", "generation_error", "response_error")
 
 

@@ -11,10 +11,12 @@ from checks.answers import (
     ASKED_PROMPT,
     PROMPT_TEMPLATE,
     RELAXED,
+    ROUNDS_SQL,
     asked_turns,
     echo_by_title,
     listed_hits,
     outcome_sql,
+    stand_in,
 )
 from checks.tables import (
     DOCUMENT_INCIDENTS,
@@ -27,6 +29,7 @@ from checks.tables import (
 from triagelake.session import scratch_path
 from triagelake.sources.incidents import write_incidents
 from triagelake.streaming import streams
+from triagelake.streaming.retries import generate_stream
 
 QUERIES: dict = {}
 
@@ -180,3 +183,17 @@ def analyze_stream(spark, sf_dir):
         "query_id", "success", "error", "predicted_category", "predicted_severity", "attempts", "root_cause_hypothesis",
         listed_hits().alias("hits"), F.col("analysis_summary").alias("summary"),
     )
+
+
+@query("generate_stream", ROUNDS_SQL)
+def generate_over_batches(spark, sf_dir):
+    """All turns in three micro-batches and two more with nothing in them, one round of the model in each."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("prompt"))
+    arriving, out = scratch_path(spark, "prompts"), scratch_path(spark, "generated")
+    checkpoint = scratch_path(spark, "generated-checkpoint")
+    for n in range(5):
+        part = asked.where(F.col("query_id") % 3 == n) if n < 3 else asked.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in asked.dtypes])
+        part.coalesce(1).write.mode("append").parquet(arriving)
+        finish(generate_stream(spark.readStream.schema(asked.schema).parquet(arriving), stand_in, out, checkpoint))
+    return spark.read.parquet(f"{out}/answers").select("query_id", "attempts", "passed", "generation_error", "response_error")

@@ -98,6 +98,24 @@ def check_answers(answered: DataFrame) -> DataFrame:
     )
 
 
+def ask_round(pending: DataFrame, fn: Responder, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """Send each pending prompt once, with what was wrong with the answer before, and check the answers.
+
+    ``pending`` has query_id, prompt, generation_error, ``_alone`` and what else the caller carries.
+    """
+    others = [c for c in pending.columns if c not in ("prompt", "generation_error")]
+    asked = pending.select(
+        *others, F.col("prompt").alias("_first"), with_feedback(F.col("prompt"), F.col("generation_error")).alias("prompt")
+    )
+    return check_answers(respond(asked, fn, batch_size))
+
+
+def to_ask_again(failed: DataFrame, *carried: str) -> DataFrame:
+    """Pending prompts of the next round. Those whose call failed are sent alone from then on."""
+    alone = F.col("_alone") | F.col("response_error").isNotNull()
+    return failed.select("query_id", F.col("_first").alias("prompt"), "generation_error", alone.alias("_alone"), *carried)
+
+
 def generation_rounds(
     prompts: DataFrame, fn: Responder, max_rounds: int = MAX_ROUNDS, batch_size: int = BATCH_SIZE
 ) -> DataFrame:
@@ -115,21 +133,14 @@ def generation_rounds(
     )
     finished = []
     for attempt in range(1, max_rounds + 1):
-        asked = pending.select(
-            "query_id",
-            F.col("prompt").alias("_first"),
-            with_feedback(F.col("prompt"), F.col("generation_error")).alias("prompt"),
-            "_alone",
-        )
-        answered = check_answers(respond(asked, fn, batch_size)).withColumn("attempts", F.lit(attempt))
+        answered = ask_round(pending, fn, batch_size).withColumn("attempts", F.lit(attempt))
         answered = cut(answered, f"answers-{attempt}")
         failed = answered.filter(~F.col("passed"))
         last = attempt == max_rounds or failed.isEmpty()
         finished.append(answered if last else answered.filter("passed"))
         if last:
             break
-        alone = F.col("_alone") | F.col("response_error").isNotNull()
-        pending = failed.select("query_id", F.col("_first").alias("prompt"), "generation_error", alone.alias("_alone"))
+        pending = to_ask_again(failed)
     return reduce(DataFrame.unionByName, finished).select(
         "query_id", "response", "response_error", "attempts", "passed", "generation_error"
     )
