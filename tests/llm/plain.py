@@ -151,3 +151,19 @@ def licenses(text):
     )
     at = [i for i, _ in found]
     return len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def notices(texts, templates, contained):
+    """{(number, label, score)} of templates that a line or a window over lines holds."""
+    found = set()
+    for i, text in enumerate(texts):
+        every = (text or "").split()
+        for label, notice in templates:
+            sequence = notice.split()
+            known = set(sequence)
+            blocks = [line.split() for line in (text or "").split("\n")]
+            blocks += [every[k : k + 2 * len(sequence)] for k in range(0, len(every), max(1, len(sequence) // 2))]
+            best = max(len(known & set(block)) for block in blocks)
+            if best >= contained * len(known) - 1e-9:
+                found.add((i, label, round(best / len(known), 9)))
+    return found

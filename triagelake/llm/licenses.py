@@ -1,15 +1,15 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
 A block is a line, or a window of words over line ends. It matches a template when it holds
-at least ``CONTAINED`` of the template's distinct words. Words are ordered by how many blocks of the corpus hold them,
-rarest first. A block that matches shares one of the template's first
+at least ``CONTAINED`` of the template's distinct words. Words that templates know are ordered by how many
+texts of the corpus hold them, rarest first. A block that matches shares one of the template's first
 ``size - needed + 1`` words in that order (prefix filter) and has at least ``needed`` of
 the templates' words (length filter); where the first shared word stands in both bounds
 what they can still share (positional filter). What passes is counted in full.
 
 Windows are twice as long as their template and start every half of it, so a notice with up
-to half as many words between its own falls into one whole. Only texts that hold enough of
-a template's words anywhere are cut into blocks; prefix filter and counts find them.
+to half as many words between its own falls into one whole. Whole texts pass the same filters
+and a count first; only those that hold enough of a template's words anywhere are cut into blocks.
 """
 
 from __future__ import annotations
@@ -74,67 +74,6 @@ def phrase_hits(text: Column, phrases: Sequence[tuple[str, str]] = PHRASES) -> C
     return F.when(whole(text).rlike(f"(?i){ends}"), bind(plain_words(lower_ascii(whole(text))), search)).otherwise(none)
 
 
-def _blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """doc_id, key of the text, block number and the block's distinct words that templates know."""
-    lines = docs.select("doc_id", text_key(F.col("text")).alias("_key"), F.posexplode(F.split(whole(F.col("text")), "\n")).alias("block", "line"))
-
-    def known(words: Column) -> Column:
-        return F.array_distinct(F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(vocabulary)))
-
-    return lines.select("doc_id", "_key", "block", known(plain_words(F.col("line"))).alias("words"))
-
-
-def template_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
-    """Blocks and the templates they match: doc_id, _key (of the text), block, label, score.
-
-    ``score`` is the share of the template's words that the block holds. Templates without a
-    word match nothing.
-    """
-    spark = docs.sparkSession
-    rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
-    rows = rows.select("template", "label", F.array_distinct(plain_words(lower_ascii(F.col("text")))).alias("words"))
-    sets = [(r["template"], r["label"], r["words"]) for r in rows.collect() if r["words"]]  # the caller's parameter
-    vocabulary = sorted({w for _, _, words in sets for w in words})
-    if len(vocabulary) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} distinct words")
-    needs = {t: math.ceil(contained * len(words) - 1e-9) for t, _, words in sets}
-    shape = "doc_id long, _key long, block int, label string, score double"
-    if not sets:
-        return spark.createDataFrame([], shape)
-
-    blocks = _blocks(docs, vocabulary).where(F.size("words") > 0)
-    counted = blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
-    frequency = {r["word"]: r["n"] for r in counted}  # at most one row per word of the templates
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
-    index = []
-    for t, label, words in sets:
-        order = sorted(rank[w] for w in words)
-        prefix = len(order) - needs[t] + 1
-        index += [(rank_, t, label, place, len(order), needs[t], order) for place, rank_ in enumerate(order[:prefix])]
-    side = F.broadcast(
-        spark.createDataFrame(index, "rank int, template int, label string, place int, size int, needed int, ranks array<int>")
-    )
-    ranks = F.broadcast(spark.createDataFrame(list(rank.items()), "word string, rank int"))
-    least = min(needs.values())
-    # The length filter leaves few blocks; only their words move.
-    spread = blocks.where(F.size("words") >= least).select("doc_id", "_key", "block", F.explode("words").alias("word"))
-    by_rank = (
-        spread.join(ranks, "word")
-        .groupBy("doc_id", "_key", "block")
-        .agg(F.sort_array(F.collect_set("rank")).alias("held"))
-    )
-    probes = by_rank.select("doc_id", "_key", "block", "held", F.posexplode("held").alias("at", "rank")).join(side, "rank")
-    can_share = F.least("place", "at") + F.least(F.col("size") - F.col("place"), F.size("held") - F.col("at"))
-    passed = probes.where((F.size("held") >= F.col("needed")) & (can_share >= F.col("needed")))
-    shared = F.size(F.array_intersect("held", "ranks"))
-    return (
-        passed.where(shared >= F.col("needed"))
-        .select("doc_id", "_key", "block", "label", (shared / F.col("size")).alias("score"))
-        .groupBy("doc_id", "_key", "block", "label")
-        .agg(F.max("score").alias("score"))
-    )
-
-
 def _sequences(templates: Sequence[tuple[str, str]]) -> list[tuple[int, str, list[str]]]:
     """(number, label, words in order) of the templates that have words."""
     found = []
@@ -169,9 +108,11 @@ def notice_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     texts = docs.select("doc_id", "text", held.alias("held"))
     counted = texts.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     frequency = {r["word"]: r["n"] for r in counted}  # at most one row per word of the templates
+    ranked = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
+    rank = {w: i for i, w in enumerate(ranked)}
     index = []
     for _, label, words in sets:
-        distinct = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
+        distinct = sorted(set(words), key=rank.__getitem__)
         needed = math.ceil(contained * len(distinct) - 1e-9)
         prefix = distinct[: len(distinct) - needed + 1]
         runs = [r for r in (_run(TELLING.get(label)), _run(VERSIONS.get(label))) if r]
@@ -182,19 +123,33 @@ def notice_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
         )
     )
     first = sorted({row[0] for row in index})
-    asked = texts.select("doc_id", "text", "held", F.explode(F.filter("held", lambda w: w.isin(first))).alias("word"))
+
+    def may_match(held: Column) -> Column:
+        """Length, prefix and positional filters for words in the order of ranks."""
+        place = F.array_position("words", F.get(F.array_intersect("prefix", held), F.lit(0)))
+        at = F.array_position(held, F.get(F.array_intersect("prefix", held), F.lit(0)))
+        left = F.least(F.size("words") - place, F.size(held) - at) + 1
+        return (F.size(held) >= F.col("needed")) & F.arrays_overlap("prefix", held) & (left >= F.col("needed"))
+
+    # The order is that of the first array.
+    asked = texts.where(F.arrays_overlap("held", F.lit(first))).withColumn("held", F.array_intersect(F.lit(ranked), "held"))
+    asked = asked.select("doc_id", "text", "held", F.explode(F.filter("held", lambda w: w.isin(first))).alias("word"))
     # Each text and template meet at the first word of the prefix that the text holds.
     passed = (
         asked.join(side, "word")
-        .where(F.size("held") >= F.col("needed"))
         .where(F.get(F.array_intersect("prefix", "held"), F.lit(0)) == F.col("word"))
+        .where(may_match(F.col("held")))
         .where(F.size(F.array_intersect("held", "words")) >= F.col("needed"))
     )
 
     def shared(block: Column) -> Column:
         joined = F.concat(F.lit(" "), F.array_join(block, " "), F.lit(" "))
         tells = F.forall("runs", lambda r: joined.contains(r))
-        return F.when(tells, F.size(F.array_intersect(block, F.col("words")))).otherwise(0)
+
+        def count(known: Column) -> Column:
+            return F.when(may_match(known) & tells, F.size(F.array_intersect(known, F.col("words")))).otherwise(0)
+
+        return bind(F.array_intersect("held", block), count)
 
     stride = F.greatest(F.lit(1), F.floor(F.col("length") / 2).cast("int"))
 
