@@ -2,6 +2,8 @@
 
 import random
 
+import duckdb
+import pandas as pd
 import public_tokenizers
 import pytest
 from plain import PLAIN, WORD
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 import plain
 from triagelake.llm import decontam, licenses, lines, mixing, neardup, quality, suffixes, tokens, toxicity, urls
+from triagelake.llm.sql import LICENSES
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, source string"
@@ -305,6 +308,20 @@ def test_licenses_wrapped_over_lines(spark):
     assert all((found[i][1] >= licenses.CONTAINED) == bool(label) for i, label in enumerate(want))
 
 
+def test_license_sql_on_wrapped_notices(spark):
+    rng = random.Random(23)
+    texts = [None, "", "Released under\nthe MIT License."]
+    for _, notice in licenses.TEMPLATES:
+        words = [*sentence(rng, rng.randrange(120)).split(), *notice.split(), *sentence(rng, rng.randrange(120)).split()]
+        for i in rng.sample(range(len(words)), len(words) // 15):
+            words[i] = rng.choice(words)
+        texts.append(wrapped(words, rng, "# "))
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    want = {r[0]: r[1:] for r in duckdb.sql(f"SELECT doc_id, {', '.join(names)} FROM ({LICENSES})").fetchall()}
+    assert by_id(licenses.license_report(frame(spark, texts)), *names) == want
+
+
 def test_every_template_is_found_wrapped_and_told_from_others(spark):
     rng = random.Random(17)
     texts = []

@@ -84,7 +84,7 @@ def _sequences(templates: Sequence[tuple[str, str]]) -> list[tuple[int, str, lis
     return found
 
 
-def _run(phrase: str | None) -> str | None:
+def joined_words(phrase: str | None) -> str | None:
     """The words of a phrase as they stand in joined blocks."""
     return phrase and " " + " ".join(w for w in re.split(PUNCTUATION, phrase.translate(_LOWER)) if w) + " "
 
@@ -115,7 +115,7 @@ def notice_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
         distinct = sorted(set(words), key=rank.__getitem__)
         needed = math.ceil(contained * len(distinct) - 1e-9)
         prefix = distinct[: len(distinct) - needed + 1]
-        runs = [r for r in (_run(TELLING.get(label)), _run(VERSIONS.get(label))) if r]
+        runs = [r for r in (joined_words(TELLING.get(label)), joined_words(VERSIONS.get(label))) if r]
         index += [(word, label, distinct, prefix, needed, len(words), runs) for word in prefix]
     side = F.broadcast(
         spark.createDataFrame(

@@ -237,6 +237,12 @@ SELECT d.* REPLACE (CASE WHEN d.text IS NOT NULL THEN r.text END AS text)
 FROM documents d LEFT JOIN rebuilt r USING (doc_id) WHERE NOT coalesce(emptied, false)
 """
 
+def runs_of(label: str) -> tuple[str, str]:
+    """The two runs of words that a block must hold for a label; a blank where there is none."""
+    first, second = (licenses.joined_words(of.get(label)) for of in (licenses.TELLING, licenses.VERSIONS))
+    return first or " ", second or " "
+
+
 LICENSES = rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all({lowered("text")}, '{PLAIN}') AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
@@ -246,13 +252,21 @@ WITH d AS (
   SELECT doc_id, k - 1 AS pos, label
   FROM d, phrases, unnest(range(1, len(w) - len(words) + 2)) AS x(k) WHERE w[k:k + len(words) - 1] = words
 ), t AS (
-  SELECT n, label, list_distinct(regexp_extract_all({lowered("text")}, '{PLAIN}')) AS words
-  FROM (VALUES {values([(i, *each) for i, each in enumerate(licenses.TEMPLATES)])}) AS v(n, label, text)
+  SELECT n, label, w AS sequence, list_distinct(w) AS words, ceil({licenses.CONTAINED} * len(list_distinct(w)) - 1e-9) AS needed, first_run, second_run
+  FROM (SELECT n, label, first_run, second_run, regexp_extract_all({lowered("text")}, '{PLAIN}') AS w
+    FROM (VALUES {values([(i, label, text, *runs_of(label)) for i, (label, text) in enumerate(licenses.TEMPLATES)])}) AS v(n, label, text, first_run, second_run))
+), near AS (
+  SELECT doc_id, w, l, t.* FROM (SELECT *, list_distinct(w) AS held FROM d) AS d, t WHERE len(list_intersect(words, held)) >= needed
 ), blocks AS (
-  SELECT doc_id, regexp_extract_all({lowered("line")}, '{PLAIN}') AS b FROM (SELECT doc_id, unnest(l) AS line FROM d)
+  SELECT doc_id, label, words, needed, first_run, second_run, regexp_extract_all({lowered("line")}, '{PLAIN}') AS b
+  FROM (SELECT *, unnest(l) AS line FROM near)
+  UNION ALL
+  SELECT doc_id, label, words, needed, first_run, second_run, w[k:k + 2 * len(sequence) - 1]
+  FROM near, unnest(range(1, len(w) + 1, greatest(1, len(sequence) // 2))) AS x(k)
 ), found AS (
-  SELECT doc_id, label, len(list_intersect(words, list_distinct(b)))::DOUBLE / len(words) AS score FROM blocks, t
-  WHERE len(list_intersect(words, list_distinct(b))) >= ceil({licenses.CONTAINED} * len(words) - 1e-9)
+  SELECT doc_id, label, len(list_intersect(words, list_distinct(b)))::DOUBLE / len(words) AS score FROM blocks
+  WHERE len(list_intersect(words, list_distinct(b))) >= needed
+    AND contains(' ' || array_to_string(b, ' ') || ' ', first_run) AND contains(' ' || array_to_string(b, ' ') || ' ', second_run)
 ), per_doc AS (
   SELECT doc_id, count(*) AS n, min(pos) AS low, max(pos) AS high, list(DISTINCT label) AS labels FROM base GROUP BY doc_id
 ), matched AS (
