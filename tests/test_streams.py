@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import streams as streams_of_tables
 from triagelake.operators import similarity
 from triagelake.operators.classify import classify
 from triagelake.streaming import streams
@@ -188,3 +189,21 @@ def test_analyze_marks_bad_rows(spark, tmp_path, base):
     assert {k: r["success"] for k, r in got.items()} == {"ok": True, "ok2": True, "bad": False}
     assert got["bad"]["error"] == "title must be 1 to 500 characters"
     assert got["ok"]["root_cause_hypothesis"] == "h" and got["ok"]["similar_incidents"][0]["incident_id"] == "d0"
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_tables_stream_from_a_file_and_from_a_folder(spark, tmp_path, files):
+    rows = [(i, f"text {i}") for i in range(9)]
+    written, held = tmp_path / "written", tmp_path / "tables" / "things.parquet"
+    spark.createDataFrame(rows, "id long, text string").repartition(max(files, 1)).write.parquet(str(written))
+    held.parent.mkdir()
+    parts = sorted(written.glob("part-*"))
+    if files:
+        held.mkdir()
+    for i, part in enumerate(parts):
+        part.rename(held / f"part-{i:04d}.parquet" if files else held)
+    (tmp_path / "tables" / "others.parquet").write_bytes(b"no table")
+    out = str(tmp_path / "out")
+    stream = streams_of_tables.table_stream(spark, str(tmp_path / "tables"), "things")
+    finish(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")))
+    assert sorted(map(tuple, spark.read.schema("id long, text string").parquet(out).collect())) == rows
