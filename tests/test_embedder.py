@@ -1,6 +1,9 @@
 """The built-in embedder in one step against its pipeline of stages."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
@@ -38,3 +41,27 @@ def test_null_and_no_texts(spark):
     model = embedding.fit_embedder(df, dim=8)
     assert not any({r["id"]: r["vec"] for r in embedding.embed(df, model).collect()}[2])
     assert embedding.embed(df.limit(0), embedding.fit_embedder(df.limit(0), dim=8)).count() == 0
+
+
+def test_texts_in_pieces_give_the_same_vectors(spark, monkeypatch):
+    texts = [*TEXTS, None] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").coalesce(1)
+    model = embedding.fit_embedder(df, dim=32)
+    whole = {r["id"]: r["vec"] for r in embedding.embed(df, model).collect()}
+    batches = [pa.record_batch([pa.array(texts, pa.string())], ["text"])]
+    monkeypatch.setattr(embedding, "PIECE_ROWS", 4)
+    monkeypatch.setattr(embedding.F, "arrow_udf", lambda kind: lambda fn: fn)
+    parts = list(embedding._hashed_vectors(embedding.built_in_weights(model))(b.column(0) for b in batches))
+    assert [len(p) for p in parts] == [4] * 7 + [2]
+    assert {i: v for i, v in enumerate(v for p in parts for v in p.to_pylist())} == whole
+
+
+def test_a_task_remembers_few_words():
+    place_of = embedding.word_places(64)
+    tracemalloc.start()
+    try:
+        placed = [place_of(f"word{i}") for i in range(300_000)]
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
+    assert placed[7] == place_of("word7") and len(set(placed)) == 64
