@@ -67,3 +67,49 @@ def test_tables_agree_with_the_full_count(spark, monkeypatch):
     full = sorted(map(tuple, classifier.tfidf_table(df, max_features=20).collect()))
     assert [r[:3] for r in quick] == [r[:3] for r in full]
     assert all(a[3:] == pytest.approx(b[3:]) for a, b in zip(quick, full, strict=True))
+
+
+class Batches:
+    """Stands in for a table: runs what a task would run, here."""
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, fn, schema):  # noqa: N802
+        return list(fn(iter(self.batches)))
+
+
+def test_a_task_counts_a_large_batch_in_pieces(texts, monkeypatch):
+    monkeypatch.setattr(heavy, "PIECE_TERMS", 100, raising=False)
+    met, shorten = [], heavy.shortened
+    monkeypatch.setattr(heavy, "shortened", lambda parts, kept: met.append(sum(map(len, parts))) or shorten(parts, kept))
+    rows = [pa.record_batch([pa.array([t for _, t in texts[:150]], pa.list_(pa.string()))], ["terms"]), pa.record_batch([pa.array([t for _, t in texts[150:]], pa.list_(pa.string()))], ["terms"])]
+    told = [r for b in heavy.summaries(Batches(rows), 50) for r in b.to_pylist()]
+    assert max(met) <= heavy.SLACK * 50 + 50 + 100
+    lacking = sum(r["n"] for r in told if r["term"] is None)
+    total = Counter(t for _, terms in texts for t in terms or [])
+    held = {r["term"]: r["n"] for r in told if r["term"] is not None}
+    assert all(held.get(t, 0) <= n <= held.get(t, 0) + lacking for t, n in total.items())
+
+
+def test_exact_counts_do_not_depend_on_pieces(spark, texts, monkeypatch):
+    terms = spark.createDataFrame(texts, "id long, terms array<string>").coalesce(1)
+    whole = heavy.counted_exactly(terms, ["all", "w1", "w2", "rare4.3", "none"])
+    monkeypatch.setattr(heavy, "PIECE_TEXTS", 7, raising=False)
+    batch = pa.record_batch([pa.array([t for _, t in texts], pa.list_(pa.string()))], ["terms"])
+    names = ["all", "w1", "w2", "rare4.3", "none"]
+    total, df = Counter(), Counter()
+    for _, held in texts:
+        total.update(held or [])
+        df.update(set(held or []))
+
+    class Summed(Batches):
+        def mapInArrow(self, fn, schema):  # noqa: N802
+            made = [r for b in fn(iter(self.batches)) for r in b.to_pylist()]
+            return spark.createDataFrame(made, schema)
+
+    found = heavy.counted_exactly(Summed([batch]), names)
+    assert sorted(found) == sorted(whole) == sorted((t, df[t], total[t]) for t in names if total[t])

@@ -23,6 +23,8 @@ from triagelake.session import cut
 KEPT_TERMS = 1 << 18
 SLACK = 2
 LARGER, TRIES = 4, 3
+# Terms and texts of a batch that a task counts at a time.
+PIECE_TERMS, PIECE_TEXTS = 1 << 18, 512
 # Candidates for each term that is wanted.
 CANDIDATES = 4
 
@@ -59,8 +61,8 @@ def summaries(terms: DataFrame, kept: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting, rows, taken = None, [], 0, 0
-        for batch in batches:
-            counts = batch.column("terms").flatten().value_counts()
+        for piece in flat_pieces(batches):
+            counts = piece.value_counts()
             waiting.append(pa.table({"term": counts.field("values"), "n": counts.field("counts")}))
             rows += len(counts)
             if rows > SLACK * kept:
@@ -75,6 +77,14 @@ def summaries(terms: DataFrame, kept: int) -> DataFrame:
     return terms.select("terms").mapInArrow(run, "term string, n long")
 
 
+def flat_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """All terms, at most ``PIECE_TERMS`` at a time: what a task counts does not grow with its batches."""
+    for batch in batches:
+        flat = batch.column("terms").flatten()
+        for start in range(0, len(flat), PIECE_TERMS):
+            yield flat.slice(start, PIECE_TERMS)
+
+
 def shortened(parts: list[pa.Table], kept: int) -> tuple[pa.Table, int]:
     """The summed counts, at most ``kept`` of them, and what was taken from each."""
     table = pa.concat_tables(parts).group_by("term").aggregate([("n", "sum")])
@@ -94,8 +104,7 @@ def counted_exactly(terms: DataFrame, candidates: Sequence[str]) -> list[tuple[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(names, pa.string())
         texts, totals = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-        for batch in batches:
-            lists = batch.column("terms")
+        for lists in (b.column("terms").slice(i, PIECE_TEXTS) for b in batches for i in range(0, b.num_rows, PIECE_TEXTS)):
             place = pc.index_in(lists.flatten(), value_set=known)
             found = np.nonzero(~np.asarray(place.is_null()))[0]
             at = pc.fill_null(place, 0).to_numpy()[found].astype(np.int64)
