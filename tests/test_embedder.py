@@ -61,7 +61,7 @@ def test_a_task_remembers_few_words():
     tracemalloc.start()
     try:
         placed = [place_of(f"word{i}") for i in range(300_000)]
-        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
     finally:
         tracemalloc.stop()
     assert placed[7] == place_of("word7") and len(set(placed)) == 64

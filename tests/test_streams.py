@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from checks import streams as streams_of_tables
 from triagelake.operators import similarity
 from triagelake.operators.classify import classify
+from checks.tables import document_incidents
+from triagelake.sources.incidents import write_incidents
 from triagelake.streaming import streams
 
 
@@ -207,3 +209,24 @@ def test_tables_stream_from_a_file_and_from_a_folder(spark, tmp_path, files):
     stream = streams_of_tables.table_stream(spark, str(tmp_path / "tables"), "things")
     finish(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")))
     assert sorted(map(tuple, spark.read.schema("id long, text string").parquet(out).collect())) == rows
+
+
+def test_lengths_of_incidents_come_without_a_shuffle_of_texts(spark, tmp_path):
+    rows = [(1, "a", "en", "x", 4), (2, "b", "fr", "x", 5), (2, "c", "de", None, None), (3, None, "en", "x", None), (None, "d", "en", "x", 8), (2, "b", "fr", "x", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    sized = streams_of_tables.sized_incidents(spark, str(tmp_path))
+    lengths = spark.createDataFrame([(f"doc-{r[0]}", r[4]) for r in rows if r[0] is not None], "id string, n_chars long")
+    joined = document_incidents(spark, str(tmp_path)).join(lengths, "id")
+    assert sorted(map(str, sized.select(joined.columns).collect())) == sorted(map(str, joined.collect())) and sized.count() == 11
+    plan = sized._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_packed_incident_files_are_streamed(spark, tmp_path):
+    rows = [("a", "t", "d" * 2000, "manual"), ("b", "t", "e" * 2000, "manual")]
+    df = spark.createDataFrame(rows, "id string, title string, description string, source string").withColumn("metadata", F.lit("{}"))
+    write_incidents(df.coalesce(1), str(tmp_path / "in"), "json", "gzip")
+    assert sum(p.stat().st_size for p in (tmp_path / "in").glob("*.json.gz")) < 1000
+    source, _ = streams.ingest_stream(spark, str(tmp_path / "in"), pattern="*.json.gz")
+    finish(write_to(source, tmp_path, "out"))
+    assert arrived(spark, tmp_path) == [("a", "t", "new", 1), ("b", "t", "new", 1)]

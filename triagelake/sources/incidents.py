@@ -40,27 +40,31 @@ def read_incident_dir(
     return read_incidents(spark, path, mode=mode, pattern=pattern)
 
 
-def write_incidents(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_incidents(df: DataFrame, path: str, fmt: str = "parquet", compression: str | None = None) -> None:
     """Replace ``path`` with the rows.
 
+    JSON lines are compressed only if asked for, as ``gzip`` for instance; file names then end in ``.json.gz``.
+
     Parquet is partitioned by category and sorted by time inside each file, so
     category filters prune folders and date filters skip row groups. The
     rebalance step splits categories that hold much of the data over several
     files and keeps small ones in a single file.
     """
+    packed = {} if compression is None else {"compression": compression}
     if fmt == "json":
         # Text that is no JSON is kept as a JSON string.
         as_text = F.try_variant_get(F.parse_json(F.to_json(F.struct("metadata"))), "$.metadata", "variant")
         as_object = F.coalesce(F.try_parse_json("metadata"), as_text)
         df.withColumn("metadata", as_object).write.mode("overwrite").option(
             "ignoreNullFields", "false"
-        ).json(path)
+        ).options(**packed).json(path)
     elif fmt == "parquet":
         (
             df.hint("rebalance", F.col("category"))
             .sortWithinPartitions("category", "created_at")
             .write.mode("overwrite")
             .partitionBy("category")
+            .options(**packed)
             .parquet(path)
         )
     else:
