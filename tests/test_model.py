@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from checks import classification
 from conftest import ids
 from triagelake.operators import classifier, metrics, splitting
 from triagelake.operators.classify import classify
@@ -48,6 +49,22 @@ def test_training(trained, labelled):
     assert judged["predicted_category"] in CATEGORIES and judged["predicted_severity"]
 
 
+def test_only_labelled_documents_are_judged_for_training(spark, tmp_path, monkeypatch):
+    docs = spark.range(20).selectExpr("id as doc_id", "'en' as lang", "'web' as source", "9L as n_chars", "'slow text' as text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(0, 20, 5).selectExpr("id as doc_id").write.parquet(f"{tmp_path}/labels.parquet")
+    judged = []
+
+    def seen(df, *args):
+        judged.append(df)
+        return classify(df, *args)
+
+    monkeypatch.setattr(classification, "classify", seen)
+    with pytest.raises(ValueError, match="need at least 10"):
+        classification.train_and_predict(spark, str(tmp_path))
+    assert sorted(r["id"] for r in judged[0].collect()) == ["doc-0", "doc-10", "doc-15", "doc-5"]
+
+
 def test_too_few_rows(labelled):
     with pytest.raises(ValueError, match="need at least 10"):
         classifier.train_classifier(labelled.limit(5))
