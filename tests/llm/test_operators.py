@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 import plain
 from triagelake.llm import decontam, licenses, lines, mixing, neardup, quality, suffixes, tokens, toxicity, urls
 from triagelake.llm.sql import LICENSES
+from triagelake.session import SHUFFLE_CLEANUP
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, source string"
@@ -231,6 +233,46 @@ def test_lines_with_edits_that_grow(spark):
     assert any(len(line) > 150 for line in later) and any(len(line) < lines.LEAST_LENGTH for line in later)
 
 
+def test_lines_in_bands_of_lengths(spark, monkeypatch):
+    """Similar lines are found within a band of lengths and over its ends, with all shuffles deleted on the way."""
+    monkeypatch.setattr(lines, "BANDS", 4)
+    monkeypatch.setattr(lines, "BAND_POINTS", 1)
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("abcde é") for _ in range(n)).strip() for n in (22, 40, 41, 60, 79, 80, 100, 160, 200)]
+
+    def changed(line):
+        some = list(line)
+        for _ in range(rng.randrange(len(line) // 20 + 2)):
+            at = rng.randrange(len(some))
+            some[at : at + rng.randrange(2)] = rng.choice(["", "x", "y"])
+        return "".join(some).strip() or "x"
+
+    # Repeats inside a line: a key stands at several places.
+    texts = [changed(rng.choice(pool)) for _ in range(70)] + [changed("abcdefghijkl" * 12) for _ in range(6)]
+    firsts = spark.createDataFrame([(len(x),) for x in set(texts)], "length int")
+    lows = lines.band_lows(firsts)
+    assert lows[0] == lines.PER_EDIT and len(lows) == 4 and lows == sorted(set(lows))
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    found = by_id(lines.line_report(frame(spark, texts)), "n_repeated")
+    assert spark.conf.get(SHUFFLE_CLEANUP) == before
+    for i, b in enumerate(texts):
+        gone = any(abs(len(a) - len(b)) <= 10 and (a == b or min(len(a), len(b)) and max(len(a), len(b)) >= 20 and min(len(a), len(b)) >= 20
+                   and plain.distance(a, b) <= max(len(a), len(b)) // 20) for a in texts[:i])
+        assert found[i] == (int(gone),), b
+    over = [low for low in lows[1:] if any(len(a) < low <= len(b) and plain.distance(a, b) <= len(b) // 20 for a in texts for b in texts)]
+    assert over
+
+
+def test_sketches_bound_the_edits():
+    rng = random.Random(8)
+    for _ in range(200):
+        a = "".join(rng.choice("abcé\U0001f600") for _ in range(rng.randrange(1, 600)))
+        b = "".join(x for x in a if rng.random() > 0.02) + "z" * rng.randrange(3)
+        lengths = np.array([len(a), len(b)])
+        x, y = (np.frombuffer(s, np.uint8).astype(int) for s in lines.sketches([a, b], lengths))
+        assert np.abs(x - y).sum() <= 2 * plain.distance(a, b) if len(a) < 60 else np.abs(x - y).sum() <= 2 * (len(a) - len(b) + 2 * b.count("z"))
+
+
 def test_distance_of_long_lines():
     rng = random.Random(2)
     for _ in range(300):
