@@ -263,6 +263,46 @@ def test_lines_in_bands_of_lengths(spark, monkeypatch):
     assert over
 
 
+def test_near_copies_are_not_all_paired(spark, monkeypatch):
+    """Of a large group few pairs are compared in rows; lines that these do not settle are held against all in blocks."""
+    monkeypatch.setattr(lines, "BLOCK", 10)
+    rng = random.Random(17)
+    base = "".join(rng.choice("abcdefgh ij") for _ in range(100)).replace(" ", "k", 1)
+
+    def replaced(edits):
+        some = list(base)
+        for at in rng.sample(range(len(base)), edits):
+            some[at] = rng.choice("xyz")
+        return "".join(some)
+
+    # Near copies, copies too far from each other, and lines that only share a passage.
+    texts = [replaced(2) for _ in range(45)] + [replaced(8) for _ in range(20)]
+    texts += ["".join(rng.choice("lmnop") for _ in range(n)) + base[:50] for n in (45, 46, 48, 50, 50, 52)]
+    rng.shuffle(texts)
+    seen, similar_pairs = [], lines.similar_pairs
+
+    def counted(pairs, edits):
+        seen.append(pairs.count())
+        return similar_pairs(pairs, edits)
+
+    monkeypatch.setattr(lines, "similar_pairs", counted)
+    found = by_id(lines.line_report(frame(spark, texts)), "n_repeated")
+    for i, b in enumerate(texts):
+        assert found[i] == (int(any(plain.distance(a, b) <= max(len(a), len(b)) // 20 for a in texts[:i])),), b
+    assert sum(seen) < 4 * len(texts)
+
+
+def test_edit_distances_of_many_pairs():
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("abcé\U0001f600") for _ in range(rng.randrange(130)))
+        b = "".join(rng.choice([x, x + "a", ""]) if rng.random() < 0.06 else x for x in a)
+        pairs += [(a, b), (b, a[:60] + a[61:])]
+    wanted = [plain.distance(a, b) <= max(len(a), len(b)) // 20 for a, b in pairs]
+    assert lines.all_similar(pairs).tolist() == wanted and 0 < sum(wanted) < len(pairs)
+
+
 def test_sketches_bound_the_edits():
     rng = random.Random(8)
     for _ in range(200):
