@@ -1,5 +1,8 @@
 """The operators against plain versions, and on awkward tables."""
 
+import contextlib
+import io
+import os
 import random
 
 import duckdb
@@ -292,6 +295,45 @@ def test_near_copies_are_not_all_paired(spark, monkeypatch):
     assert sum(seen) < 4 * len(texts)
 
 
+def test_lines_that_meet_in_blocks_are_not_copied(spark, monkeypatch):
+    """All lines of like lengths are met, whatever the blocks, and no line is copied for the blocks that it meets."""
+    import xxhash
+
+    from triagelake.session import cut
+
+    monkeypatch.setattr(lines, "BLOCK", 7)
+    monkeypatch.setattr(lines, "OTHERS", 5)
+    monkeypatch.setattr(lines, "MET", 60)
+    rng = random.Random(23)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(20, 90))) for _ in range(60)]
+    texts += ["".join(rng.choice(["", x + "e", "f"]) if rng.random() < 0.04 else x for x in rng.choice(texts)) for _ in range(90)]
+    texts = [t for t in dict.fromkeys(texts) if len(t) >= 20]
+    rng.shuffle(texts)
+    lengths = np.array([len(t) for t in texts])
+    rows = [(i, len(t), bytearray(s), t) for i, (t, s) in enumerate(zip(texts, lines.sketches(texts, lengths), strict=True))]
+    table = cut(spark.createDataFrame(rows, "line_id long, length int, sketch binary, line string"))
+    done = {i for i in range(len(texts)) if xxhash.xxh3_64_intdigest(str(i)) % 5 == 0}
+    settled = cut(spark.createDataFrame([(i,) for i in done], "line_id long"))
+    near = [any(plain.distance(a, b) <= max(len(a), len(b)) // 20 for a in texts[:i]) for i, b in enumerate(texts)]
+    found = lines.settled_in_blocks(table, settled)
+    assert sorted(r["line_id"] for r in found.collect()) == [i for i, yes in enumerate(near) if yes and i not in done]
+    assert sum(near) > 20
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        found.explain()
+    assert "MapInArrow" in out.getvalue() and "Generate" not in out.getvalue()
+
+
+def test_tables_of_line_dedup_go_when_it_is_done(spark, tmp_path):
+    from triagelake.session import shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    texts = [f"a line of some words that stands here {i % 7} times, number {i}" for i in range(30)]
+    assert lines.line_report(frame(spark, texts)).count() == 30
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared_dir(spark))) - before}
+    assert left <= {"lines", "repeated-lines"}
+
+
 def test_edit_distances_of_many_pairs():
     rng = random.Random(9)
     pairs = []
