@@ -100,3 +100,28 @@ def test_read_dump(spark, tmp_path):
     df = read_raw_issues(spark, str(path), repo="a/b")
     assert ids(issues.drop_pull_requests(df)) == [1]
     assert df.first()["repo"] == "a/b"
+
+
+def test_arrays_of_the_round_trip_are_bounded(spark, tmp_path, monkeypatch):
+    """More rows make more files, not larger arrays, and none is lost."""
+    import datetime as dt
+    import os
+
+    from checks import roundtrips
+
+    monkeypatch.setattr(roundtrips, "ARRAY_CHARS", 3_000)
+    paths, scratch_path = [], roundtrips.scratch_path
+
+    def noted(spark, name):
+        paths.append(scratch_path(spark, name))
+        return paths[-1]
+
+    monkeypatch.setattr(roundtrips, "scratch_path", noted)
+    rows = [(i, i % 9, "F" if i % 2 else "O", 1.0, dt.date(2024, 1, 1 + i % 28), "1-URGENT") for i in [*range(1, 121), 5, 5]]
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    found = roundtrips.raw_issues_round_trip(spark, str(tmp_path)).where("layout = 'array'").collect()
+    assert sorted(r["id"] for r in found) == sorted(r[0] for r in rows)
+    folder = next(p for p in paths if "/issue-arrays-" in p)
+    sizes = [os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder) if f.startswith("part-")]
+    assert len(sizes) > 7 and max(sizes) < 4_500
