@@ -148,3 +148,28 @@ def test_confusions(judged):
     assert tuple(metrics.accuracy(judged.limit(0)).first()) == (0, 0, 0.0)
     sample = metrics.sample_predictions(judged, 4)
     assert ids(sample.filter("correct")) == [0, 1] and ids(sample.filter("not correct")) == [4, 5]
+
+
+def test_vocabulary_is_counted_in_rows(spark, monkeypatch):
+    """Terms in the order of their counts, then of the terms; cut anywhere, over partitions too; weights as plain ones."""
+
+    def no_fit(self, dataset, params=None):
+        raise AssertionError("terms are counted as objects")
+
+    monkeypatch.setattr(classifier.CountVectorizer, "fit", no_fit)
+    texts = [f"w{i % 5} w{i % 5} v{i % 7} rare{i} all" for i in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    cut_up = []
+    for t in texts:
+        words = t.split()
+        cut_up.append(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+    df = {term: sum(term in terms for terms in cut_up) for terms in cut_up for term in terms}
+    total = {term: sum(terms.count(term) for terms in cut_up) for term in df}
+    known = sorted((t for t in df if 2 <= df[t] <= 0.95 * len(texts)), key=lambda t: (-total[t], t))
+    for most in (1, 4, 9, len(known), classifier.MOST_FEATURES):
+        counter, scale = classifier.tfidf_features(docs, "text", most, [])[-3:-1]
+        assert counter.vocabulary == known[:most]
+        wanted = [math.log((1 + len(texts)) / (df[t] + 1)) + 1 for t in known[:most]]
+        assert list(scale.getScalingVec()) == pytest.approx(wanted, abs=1e-12)
+    with pytest.raises(ValueError, match="no term"):
+        classifier.tfidf_features(docs.limit(1), "text", 5, [])
